@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text handled at once inside a Python worker. A single longer text is handled alone.
@@ -67,7 +68,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes (a long row stands alone)."""
     if batch.num_rows == 0:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if i > start and total + n > limit:

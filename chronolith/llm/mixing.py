@@ -52,11 +52,11 @@ def inverse(schedule: Schedule, share: Column) -> Column:
     return F.least(out, F.lit(1.0))
 
 
-def _clean(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns) beside the columns the mix works on; no clash with columns of the input."""
+def _clean(docs: DataFrame, carry: Sequence[str] | None) -> DataFrame:
+    """``row`` (the columns to carry) beside the columns the mix works on; no clash with columns of the input."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(
-        F.struct("*").alias("row"),
+        F.struct(*(carry or docs.columns)).alias("row"),
         F.col("doc_id").alias("id"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -84,8 +84,8 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule], budget: float, max_
     )
 
 
-def mix(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """``row`` (the input's columns as a struct), ``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``position``.
+def mix(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, budget: float = BUDGET, max_repeats: int = MAX_REPEATS, carry: Sequence[str] | None = None) -> DataFrame:
+    """``row`` (the input's columns as a struct, or only those of ``carry``: then no text is shuffled), ``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``position``.
 
     One row per input row. ``taken`` counts the words of the row that the mix takes, repeats included; the copies are
     whole but for the one at which a source's target is reached. ``position`` is the time (0 to 1) at which the first
@@ -94,13 +94,15 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, budget: flo
     Null or empty texts have size 0 and are never taken; a null source is a source of its own, the last in turn; equal
     ids in a source are ordered by size, so repeated rows share what their run is given; an empty table gives no rows.
     """
-    return _placed(docs, schedules, budget, max_repeats).drop("src", "turn", "before", "id", "order", "bucket", "super")
+    placed = _placed(docs, schedules, budget, max_repeats, carry)
+    return placed.orderBy(F.coalesce("position", F.lit(2.0)), "order").drop("src", "turn", "before", "id", "order", "bucket", "super")
 
 
-def _placed(docs: DataFrame, schedules: Sequence[Schedule], budget: float, max_repeats: int) -> DataFrame:
+def _placed(docs: DataFrame, schedules: Sequence[Schedule], budget: float, max_repeats: int, carry: Sequence[str] | None = None) -> DataFrame:
     prepare(docs.sparkSession)
-    rows = _clean(docs)
-    narrow = materialize(rows.select("src", "size", "order"), "mix-sizes")
+    rows = _clean(docs, carry)
+    narrow = materialize(rows if carry else rows.select("src", "size", "order"), "mix-sizes")
+    rows = narrow if carry else rows
     buckets = max(1, math.ceil(narrow.count() / BUCKET))
     bucket = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2.0**32)).cast("long")
     level1 = (

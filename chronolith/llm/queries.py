@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import mixing
+from chronolith.llm import html_extract, licenses, mixing, quality, token_store
 from chronolith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,11 +15,35 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
-    return mixed.orderBy("position")
+    mixed = mixing.mix(docs, carry=["doc_id"])
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing}
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = token_store.write(docs, token_store.tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_store.digest(store)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_token_store": op2_token_store,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_license_scan": op9_license_scan,
+}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": r"""
