@@ -92,3 +92,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of a sorted partition by their first ``keys`` columns: (key, rows without the key). Holds one run at a time."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to any more (it does so when the driver's garbage is collected)."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

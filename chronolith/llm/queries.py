@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import html_extract, licenses, mixing, quality, token_store
+from chronolith.llm import html_extract, licenses, minhash, mixing, quality, token_store
 from chronolith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +37,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_token_store": op2_token_store,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
