@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import embed_dedup, html_extract, licenses, minhash, mixing, quality, repeats, token_store
+from chronolith.llm import embed_dedup, html_extract, licenses, minhash, mixing, piece_sampling, quality, quotes, repeats, token_store
 from chronolith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(store)
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), piece_sampling.model_path(), k=2)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -52,6 +60,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_token_store": op2_token_store,
+    "op3_quotation_linking": op3_quotation_linking,
+    "op4_piece_sampling": op4_piece_sampling,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_repeats": op6_repeats,
     "op7_quality_rules": op7_quality_rules,
