@@ -113,7 +113,7 @@ class Texts:
         low = np.where(whole, low, np.uint64(0))
         pad = np.zeros(width - 1, np.uint64)
         places = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
-        return places, owner[places], h[places]
+        return places, owner[places], mix64(h[places])  # least hashes are small ones: spread them again
 
 
 class Anchors:
