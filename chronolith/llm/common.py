@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: UTF-8 bytes of text handled at once inside a Python worker. A single longer text is handled alone.
 CHUNK_BYTES = 2_000_000
 #: Rows of one Arrow batch; keeps a batch of long texts far below a worker's memory.
-BATCH_ROWS = "512"
+BATCH_ROWS, BATCH_BYTES = "512", "4m"
 _ROOT = str(Path(__file__).resolve().parents[2])
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -28,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -7,11 +7,10 @@ next chunk. Blocks are rows of a Parquet table in the shared folder, so Spark co
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +18,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, partitions, prepare, slices, utf8
+from chronolith.llm.common import materialize, mix64, partitions, prepare, slices, utf8
 
 MAGIC = b"DAC1"
 #: Tokens of a block; a longer document has a block of its own.
 BLOCK_TOKENS = 32_768
 RANK_BITS = 512
 MARK = b"\x01"
-_STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n])")
-#: Words whose ids a worker remembers, and the longest it remembers.
-MEMORY, MEMORY_BYTES = 800_000, 64
+_FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+_BASE = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
+MEMORY = 2_000_000
 STORE_DDL = "part int, block int, first_doc long, at long, n_docs int, n_tokens long, payload binary"
 
 
@@ -43,73 +46,151 @@ class WordEncoder:
 
     Splitting at ASCII white space first gives the same ids as encoding the text at once: the tokenizer drops white
     space and lets no token or normalisation cross it. It lower-cases, so A-Z may be folded before; and it starts a new
-    token at a stop or comma between a letter and white space, so a space may be put there. Ids of words are remembered;
-    new words are encoded many at once, with a control character of a known id between them.
+    token at a stop or comma between a letter or digit and white space, so a word may end there. Words are found, hashed
+    and looked up for a whole chunk at a time in an open-addressing table (a word is its 64-bit hash); new words are
+    encoded many at once, with a control character of a known id between them.
     """
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.spelled, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.spelled, self.bare):
+            t.normalizer = None
+        self.spelled.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.powers = self.inverses = np.ones(1, np.uint64)
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
+        self.slots = 1 << 16
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.values = np.full(self.slots, -1, np.int32)
+        self.hashes = np.zeros(1024, np.uint64)
+        self.start = np.zeros(1024, np.int32)
+        self.length = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
+        self.count = self.used = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for new ones."""
+        mask = np.uint64(self.slots - 1)
+        slot = (h & mask).astype(np.int64)
+        out = self.values[slot]
+        open_at = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(open_at):
+            slot[open_at] = (slot[open_at] + 1) & (self.slots - 1)
+            found = self.values[slot[open_at]]
+            out[open_at] = found
+            open_at = open_at[(found >= 0) & (self.keys[slot[open_at]] != h[open_at])]
+        return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if MARK not in w]
-        rows = [b" \x01 ".join(plain[i : i + 512]).decode("utf-8") + " \x01" for i in range(0, len(plain), 512)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)), np.uint32)
+    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = self.values[slot] < 0
+            self.keys[slot[free]], self.values[slot[free]] = h[free], numbers[free]
+            left = self.values[slot] != numbers
+            h, numbers, slot = h[left], numbers[left], (slot[left] + 1) & (self.slots - 1)
+
+    def _learn(self, words: list[bytes], h: np.ndarray) -> None:
+        """Encode new words: a-z words and other words of letters need none of the tokenizer's normalising."""
+        plain, letters, letter_texts, rest, odd = [], [], [], [], []
+        for k, w in enumerate(words):
+            if w.isalpha():
+                plain.append(k)
+            elif MARK in w:
+                odd.append(k)
+            elif w.isascii():
+                rest.append(k)
+            else:
+                low = w.decode("utf-8").lower()
+                if low.isalpha() and max(low) < "\u0180":
+                    letters.append(k)
+                    letter_texts.append(low)
+                else:
+                    rest.append(k)
+        self._many(self.bare, h[plain], [words[k].decode("ascii") for k in plain], "\u0101")
+        self._many(self.spelled, h[letters], letter_texts, "\x01")
+        self._many(self.tokenizer, h[rest], [words[k].decode("utf-8") for k in rest], "\x01")
+        for k in odd:
+            own = np.array(self.tokenizer.encode(words[k].decode("utf-8"), add_special_tokens=False).ids, np.uint32)
+            self._add(h[k : k + 1], own, np.zeros(1, np.int64), np.array([len(own)]))
+
+    def _many(self, tokenizer, h: np.ndarray, texts: list[str], mark: str) -> None:
+        between = f" {mark} "
+        rows = [between.join(texts[i : i + 512]) + between for i in range(0, len(texts), 512)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(rows, add_special_tokens=False)), np.uint32)
         stops = np.flatnonzero(ids == self.mark)
         starts = np.concatenate([[0], stops[:-1] + 1])[: len(stops)]
-        self._add(plain, ids, starts, stops - starts)
-        for w in words:
-            if MARK in w:
-                own = np.array(self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, np.uint32)
-                self._add([w], own, np.zeros(1, np.int64), np.array([len(own)]))
-
-    def _add(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        k, n = len(self.known), len(words)
+        self._add(h, ids, starts, stops - starts)
+
+    def _add(self, h: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = self.count, len(h)
         while k + n > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.hashes = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.hashes))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k : k + n], self.length[k : k + n] = starts + self.used, lengths
+        self.start[k : k + n], self.length[k : k + n], self.hashes[k : k + n] = starts + self.used, lengths, h
         self.used += len(ids)
-        self.known.update(zip(words, range(k, k + n), strict=True))
+        self.count = k + n
+        if 2 * self.count > self.slots:
+            while 2 * self.count > self.slots:
+                self.slots *= 4
+            self.keys = np.zeros(self.slots, np.uint64)
+            self.values = np.full(self.slots, -1, np.int32)
+            self._insert(self.hashes[: self.count], np.arange(self.count, dtype=np.int32))
+        else:
+            self._insert(h, np.arange(k, k + n, dtype=np.int32))
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of the words of folded text that begins and ends with a space."""
+        b = np.frombuffer(data, np.uint8)
+        space = b == 32
+        stop = (b == 46) | (b == 44)
+        stop[1:-1] &= _ALNUM[b[:-2]] & space[2:]
+        stop[[0, -1]] = False
+        begin = ~space
+        begin[1:] &= space[:-1] | stop[1:]
+        end = ~space
+        end[:-1] &= space[1:] | stop[1:]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        if len(self.powers) <= len(b):
+            n = 2 * len(b) + 1
+            self.powers, self.inverses = np.full(n, _BASE), np.full(n, _INVERSE)
+            for x in (self.powers, self.inverses):
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_LETTERS[b] * self.powers[: len(b)], out=sums[1:])
+        return starts, ends, mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of ids of each."""
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = _STOP.sub(rb" \g<0>", t.lower()).split()
-            counts[i] = len(own)
-            words += own
-        if len(self.known) > MEMORY:
+        data = (b" " + b" ".join(texts) + b" ").translate(_FOLD)
+        starts, ends, h = self._words(data)
+        if self.count > MEMORY:
             self._reset()
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        new = list({words[i] for i in missing})
-        if new:
-            self._learn(new)
-            at[missing] = [self.known[words[i]] for i in missing]
-        lengths = self.length[at]
+        at = self._find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            self._learn([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], fresh)
+            at[missing] = self._find(h[missing])
+        lengths = self.length[at].astype(np.int64)
         stops = np.cumsum(lengths)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.flat[np.repeat(self.start[at] - (stops - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])]
-        if any(len(w) > MEMORY_BYTES for w in new):
-            self._reset()
-        return ids, np.diff(bounds)
+        edges = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        counts = np.concatenate([[0], stops])[np.searchsorted(starts, edges)]
+        return ids, np.diff(counts)
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -206,7 +287,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in STORE_DDL.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text", 1_000_000):
+            for piece in slices(batch, "text", 500_000):
                 ids, lengths = encoder.encode(utf8(piece.column("text")))
                 stops = np.cumsum(lengths)
                 for doc, stop, n in zip(piece.column("doc_id").to_pylist(), stops.tolist(), lengths.tolist(), strict=True):
