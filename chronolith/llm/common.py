@@ -115,3 +115,71 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+class HashIndex:
+    """64-bit hashes to numbers, whole arrays at a time: open addressing, so that lookups are plain gathers."""
+
+    def __init__(self, slots: int = 1 << 16) -> None:
+        self.slots, self.count = slots, 0
+        self.keys = np.zeros(slots, np.uint64)
+        self.values = np.full(slots, -1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not there."""
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        out = self.values[slot]
+        away = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(away):
+            slot[away] = (slot[away] + 1) & (self.slots - 1)
+            found = self.values[slot[away]]
+            out[away] = found
+            away = away[(found >= 0) & (self.keys[slot[away]] != h[away])]
+        return out
+
+    def insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Add distinct new hashes."""
+        if 3 * (self.count + len(h)) > 2 * self.slots:
+            held = self.values >= 0
+            h, numbers = np.concatenate([self.keys[held], h]), np.concatenate([self.values[held], numbers])
+            while 3 * len(h) > 2 * self.slots:
+                self.slots *= 2
+            self.keys = np.zeros(self.slots, np.uint64)
+            self.values = np.full(self.slots, -1, np.int32)
+            self.count = 0
+        self.count += len(h)
+        numbers = numbers.astype(np.int32)
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = self.values[slot] < 0
+            self.keys[slot[free]], self.values[slot[free]] = h[free], numbers[free]
+            left = self.values[slot] != numbers
+            h, numbers, slot = h[left], numbers[left], (slot[left] + 1) & (self.slots - 1)
+
+
+class SpanHasher:
+    """64-bit hashes of any spans of a sequence of small numbers, by prefix sums of a polynomial."""
+
+    BASE = np.uint64(0xD1342543DE82EF95)
+    INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def sums(self, letters: np.ndarray) -> np.ndarray:
+        """Prefix sums of already mixed letters."""
+        n = len(letters)
+        if len(self.powers) <= n:
+            self.powers, self.inverses = np.full(2 * n + 1, self.BASE), np.full(2 * n + 1, self.INVERSE)
+            for x in (self.powers, self.inverses):
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum(letters * self.powers[:n], out=out[1:])
+        return out
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

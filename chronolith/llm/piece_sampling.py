@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronolith.llm.common import mix64, prepare, slices, utf8
+from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, mix64, prepare, slices, utf8
 
 #: Units whose lattices a worker remembers; beyond it the memory is emptied and filled anew.
 MEMORY = 300_000
@@ -35,14 +35,13 @@ SPACE = "▁"
 _LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
 _MARK = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_ALL = 0xFFFFFFFFFFFFFFFF
+_CODES = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Mixed 64-bit letters of code points."""
+    return _CODES[codes] if not len(codes) or codes.max() < 1 << 16 else mix64(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -51,6 +50,14 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _mixed(x: int) -> int:
+    """``mix64`` of one number."""
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & _ALL
+    return x ^ x >> 32
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashed 64-bit keys."""
     return ((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -90,27 +97,22 @@ class Lattices:
         crossing = [k for k in keys if re.search(r"[^ ] |\n|[A-Za-z][!-/:-@\[-`{-~]", k)]
         if crossing:
             raise ValueError(f"the model has pieces across units: {crossing[:3]}")
-        letters = [np.frombuffer(k.encode("utf-32-le"), np.uint32) for k in keys]
-        lengths = np.array([len(x) for x in letters])
-        h = self._hash(np.concatenate(letters), np.cumsum(lengths) - lengths, lengths)
-        order = np.argsort(h)
-        self.piece_hash, self.piece_id = h[order], np.array(ids, np.int64)[order]
+        lengths = np.array([len(k) for k in keys])
+        stops = np.cumsum(lengths)
+        self.hasher = SpanHasher()
+        sums = self.hasher.sums(_letters(np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)))
+        self.pieces = HashIndex(1 << 17)
+        self.pieces.insert(self.hasher.spans(sums, stops - lengths, stops), np.array(ids))
         self.longest = int(lengths.max())
         self._reset()
 
-    @staticmethod
-    def _hash(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        n = len(letters)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(letters.astype(np.uint64) + _GOLD) * _powers(_BASE, n), out=sums[1:])
-        return mix64((sums[starts + lengths] - sums[starts]) * _powers(_INVERSE, n + 1)[starts] + lengths.astype(np.uint64))
-
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = HashIndex()
         self.nodes = self.edges = 0
         self.first = np.zeros(4096, np.int32)
         self.cum = np.zeros(4096, np.float32)
         self.logp = np.zeros(4096, np.float32)
+        self.rest = np.zeros(4096, np.float32)
         self.token = np.zeros(4096, np.uint32)
         self.next = np.zeros(4096, np.int32)
 
@@ -118,31 +120,30 @@ class Lattices:
         while self.nodes + nodes + 1 > len(self.first):
             self.first = np.resize(self.first, 2 * len(self.first))
         while self.edges + edges > len(self.cum):
-            self.cum, self.logp, self.token, self.next = (np.resize(x, 2 * len(x)) for x in (self.cum, self.logp, self.token, self.next))
+            self.cum, self.logp, self.rest, self.token, self.next = (np.resize(x, 2 * len(x)) for x in (self.cum, self.logp, self.rest, self.token, self.next))
 
-    def learn(self, units: list[bytes]) -> None:
+    def learn(self, units: list[bytes], hashes: np.ndarray) -> None:
         """Build the lattices of new units: edges, backward sums by distance from the end, probabilities."""
-        letters = [np.frombuffer(u.decode("utf-8").encode("utf-32-le"), np.uint32) for u in units]
-        lengths = np.array([len(x) for x in letters], np.int64)
-        flat = np.concatenate(letters)
+        raw = b"".join(units)
+        flat = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        begins = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[np.cumsum([len(u) for u in units]) - 1]
+        lengths = np.diff(begins, prepend=0).astype(np.int64)
         n = len(flat)
         ends = np.repeat(np.cumsum(lengths), lengths)
         left = ends - np.arange(n)
         at = np.arange(n)
         from_node, size, piece = [], [], []
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(flat.astype(np.uint64) + _GOLD) * _powers(_BASE, n), out=sums[1:])
-        shift = _powers(_INVERSE, n + 1)
+        sums = self.hasher.sums(_letters(flat))
         single = np.zeros(n, bool)
         for k in range(1, self.longest + 1):
             starts = at[left >= k]
-            h = mix64((sums[starts + k] - sums[starts]) * shift[starts] + np.uint64(k))
-            found = np.searchsorted(self.piece_hash, h)
-            found[found == len(self.piece_hash)] = 0
-            hit = self.piece_hash[found] == h
+            if not len(starts):
+                break
+            found = self.pieces.find(self.hasher.spans(sums, starts, starts + k))
+            hit = found >= 0
             from_node.append(starts[hit])
             size.append(np.full(int(hit.sum()), k))
-            piece.append(self.piece_id[found[hit]])
+            piece.append(found[hit])
             if k == 1:
                 single[starts[hit]] = True
         # characters without a piece: their bytes, as a chain of nodes behind the others
@@ -186,25 +187,47 @@ class Lattices:
         ext = len(extra_from)
         stop_of = np.array([-1 if x <= n and ends[x - 1] == x else x for x in extra_next], np.int64) if ext else np.zeros(0, np.int64)
         self._room(n + ext, len(node) + ext)
+        with np.errstate(divide="ignore"):
+            rest = np.where(logp < 0, np.log(-np.expm1(logp)), -np.inf)
         base, ebase = self.nodes, self.edges
         m = len(node)
         self.first[base : base + n] = ebase + np.searchsorted(node, at)
         self.first[base + n : base + n + ext + 1] = ebase + m + np.arange(ext + 1)
-        for whole, own, chained in ((self.cum, cum, np.full(ext, 2.0)), (self.logp, logp, np.zeros(ext)), (self.token, piece, np.array(extra_piece, np.int64)), (self.next, np.where(follow < 0, -1, follow + base), np.where(stop_of < 0, -1, stop_of + base))):
+        for whole, own, chained in ((self.cum, cum, np.full(ext, 2.0)), (self.logp, logp, np.zeros(ext)), (self.rest, rest, np.full(ext, -np.inf)), (self.token, piece, np.array(extra_piece, np.int64)), (self.next, np.where(follow < 0, -1, follow + base), np.where(stop_of < 0, -1, stop_of + base))):
             whole[ebase : ebase + m] = own
             whole[ebase + m : ebase + m + ext] = chained
-        starts = base + np.cumsum(lengths) - lengths
-        self.known.update(zip(units, starts.tolist(), strict=True))
+        self.known.insert(hashes, base + np.cumsum(lengths) - lengths)
         self.nodes, self.edges = base + n + ext, ebase + m + ext
 
-    def roots(self, units: list[bytes]) -> np.ndarray:
-        """The first node of every unit."""
-        if len(self.known) > MEMORY:
+    def roots(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The first node of every unit of the texts, and the number of units of each. The model puts a space before
+        each text; an empty one has no units."""
+        if self.known.count > MEMORY:
             self._reset()
-        new = list(set(units).difference(self.known))
-        if new:
-            self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        live = [t for t in texts if t]
+        data = b" " + b"\0 ".join(live)
+        b = np.frombuffer(data, np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(t) + 2 for t in live])]).astype(np.int64)
+        space, line = b == 32, b == 10
+        begin = np.empty(len(b), bool)
+        begin[0] = True
+        begin[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1] | (_LETTER[b[:-1]] & _MARK[b[1:]])
+        begin[edges[1:-1]] = True
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], len(b))
+        ends[np.searchsorted(starts, edges[1:-1]) - 1] -= 1  # the byte between two texts belongs to neither
+        h = self.hasher.spans(self.hasher.sums(LETTERS[b]), starts, ends)
+        at = self.known.find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing) and live:
+            fresh, first = np.unique(h[missing], return_index=True)
+            first = missing[first]
+            self.learn([data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], fresh)
+            at[missing] = self.known.find(h[missing])
+        sizes = np.zeros(len(texts), np.int64)
+        if live:
+            sizes[[i for i, t in enumerate(texts) if t]] = np.diff(np.searchsorted(starts, np.append(edges[:-1], len(b))))
+        return at.astype(np.int64)[: int(sizes.sum())], sizes
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from every node to its unit's end: edges in order, and their number for every unit."""
@@ -243,22 +266,6 @@ class Lattices:
         return self.text_flat[np.repeat(self.text_start[ids] - (stops - lengths), lengths) + np.arange(total)].tobytes()
 
 
-def units_of(text: bytes) -> list[bytes]:
-    """A text's units, with the space the model puts before it."""
-    if not text:
-        return []
-    out = []
-    b = np.frombuffer(b" " + text, np.uint8)
-    raw = b.tobytes()
-    space, line = b == 32, b == 10
-    begin = np.zeros(len(b), bool)
-    begin[0] = True
-    begin[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1] | (_LETTER[b[:-1]] & _MARK[b[1:]])
-    cut = np.flatnonzero(begin).tolist()
-    out = [raw[i:j] for i, j in zip(cut, [*cut[1:], len(raw)], strict=True)]
-    return out
-
-
 class _Path:
     """One drawn segmentation: edges and, before each, the log-probability of the path so far."""
 
@@ -281,9 +288,7 @@ def sample(lattices: Lattices, texts: list[bytes], keys: list[int], k: int, seed
     """For every text up to k distinct segmentations, by falling perturbed log-probability: (ids, log-probability,
     perturbed log-probability, inclusion score)."""
     texts = [t.replace(b"\xe2\x96\x81", b" ") for t in texts]
-    parts = [units_of(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    roots = lattices.roots([u for p in parts for u in p])
+    roots, sizes = lattices.roots(texts)
     edge_to = np.cumsum(sizes)
     row_keys = mix64(np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64) + np.uint64(seed * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
     numbers = np.arange(int(sizes.sum())) - np.repeat(edge_to - sizes, sizes)
@@ -304,10 +309,10 @@ def sample(lattices: Lattices, texts: list[bytes], keys: list[int], k: int, seed
 
 def _search(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, roots: np.ndarray, unit_keys: np.ndarray, key: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
     def draw(*salt: int) -> float:
-        x = np.uint64(key)
-        for s in salt:
-            x = mix64(np.array([x ^ np.uint64((s * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)]))[0]
-        return float(uniform(np.array([x]))[0])
+        x = key
+        for v in salt:
+            x = _mixed(x ^ ((v * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _ALL))
+        return ((x >> 11) + 0.5) * 2.0**-53
 
     paths: list[_Path] = []
     #: (-variable, path, step, edges taken at that node)
@@ -317,9 +322,7 @@ def _search(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, roots: np.n
         """Queue the best sibling of the path's own steps; the others wait in order."""
         number = len(paths)
         paths.append(path)
-        local = lattices.logp[path.edges[fresh_from:]].astype(np.float64)
-        with np.errstate(divide="ignore"):
-            mass = path.before[fresh_from:] + np.where(local < 0, np.log(-np.expm1(local)), -np.inf)
+        mass = path.before[fresh_from:] + lattices.rest[path.edges[fresh_from:]]
         u = uniform(mix64(np.uint64(key) + np.arange(fresh_from, len(path.edges)).astype(np.uint64) * _GOLD) + np.uint64(number + 101))
         waiting = _truncated(mass, path.gumbel, u)
         best = np.argsort(-waiting, kind="stable")[: k + 1] if len(waiting) <= 4 * k + 4 else np.argpartition(-waiting, k)[: k + 1]
