@@ -197,11 +197,19 @@ def _texts(blob: bytes, z: bytes) -> Texts:
     return Texts(ids, lengths, zstandard.decompress(z) if zstandard.frame_content_size(z) else b"")
 
 
-def _ask(kind: int, chunk: int, keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """Questions sorted by ``keys`` as one row a bucket; the first column numbers them."""
-    number, starts = _by_bucket(keys, buckets)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-        yield kind, int(number[a]), chunk, pack(*[c[a:b] for c in columns])
+def _ask(kind: int, chunk: int, buckets: int, gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """Questions sorted by ``gram`` as one row a bucket: the number of its first, the hashes, and documents from a base."""
+    number, starts = _by_bucket(gram, buckets)
+    base = doc.min() if len(doc) else np.int64(0)
+    far = doc.astype(np.uint64) - base.astype(np.uint64)
+    near = far.astype(np.uint32) if len(far) and int(far.max()) < 1 << 32 else far
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(gram)], strict=True):
+        yield kind, int(number[a]), chunk, pack(np.array([a], np.uint32), gram[a:b], context[a:b], base.reshape(1), near[a:b])
+
+
+def _asked(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    first, gram, context, base, far = columns
+    return first[0] + np.arange(len(gram), dtype=np.uint32), gram, context, (base.astype(np.uint64) + far.astype(np.uint64)).astype(np.int64)
 
 
 def _questions(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
@@ -209,7 +217,7 @@ def _questions(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
         for batch in batches:
             for chunk, blob, z in zip(*(batch.column(c).to_pylist() for c in ("chunk", "blob", "z")), strict=True):
                 a = Anchors(_texts(blob, z), least)
-                out = list(_ask(ANSWER, chunk, a.q_gram, buckets, np.arange(len(a.q_gram), dtype=np.uint32), a.q_gram, a.q_context, a.q_doc))
+                out = list(_ask(ANSWER, chunk, buckets, a.q_gram, a.q_context, a.q_doc))
                 yield _rows(list(zip(*out, strict=True)) or [[]] * 4, ASKED)
 
     return chunks.select("chunk", "blob", "z").mapInArrow(run, ASKED_DDL)
@@ -217,6 +225,8 @@ def _questions(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
     """Buckets of a partition sorted by bucket: the chunks that ask, and their columns."""
+    import zstandard
+
     bucket, chunks, columns = None, [], []
     for batch in batches:
         for b, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "blob")), strict=True):
@@ -225,7 +235,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int
                 chunks, columns = [], []
             bucket = b
             chunks.append(chunk)
-            columns.append(unpack(blob))
+            columns.append(unpack(zstandard.decompress(blob) if blob[:4] == zstandard.FRAME_HEADER else blob))
     if chunks:
         yield bucket, chunks, columns
 
@@ -249,6 +259,7 @@ def _first_documents(asked: DataFrame, kind: int, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunks, columns in _gathered(batches):
+            columns = [_asked(c) for c in columns]
             number, gram, context, doc = (np.concatenate(c) for c in zip(*columns, strict=True))
             order = np.lexsort((doc, context, gram))
             g, c, d = gram[order], context[order], doc[order]
@@ -307,6 +318,9 @@ def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int) ->
     reach = least - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for chunk, rows in _met(batches):
             texts = _texts(rows[0][1], rows[0][2])
             a = Anchors(texts, least)
@@ -334,7 +348,7 @@ def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int) ->
                 number, cut = _by_bucket(a.gram[order], buckets)
                 for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
                     o = order[i:j]
-                    out.append((ANSWER, int(number[i]), chunk, pack(rank[o], a.doc[o], a.left[o].astype(np.uint8), a.right[o].astype(np.uint8), around[i:j].reshape(-1))))
+                    out.append((ANSWER, int(number[i]), chunk, squeeze(pack(rank[o], a.doc[o], a.left[o].astype(np.uint8), a.right[o].astype(np.uint8), around[i:j].reshape(-1)))))
             hot = np.flatnonzero(~covered & (own == CROWDED))
             grid = np.zeros((0, 2), np.int64)
             if len(hot):
@@ -349,7 +363,7 @@ def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int) ->
                 number = np.cumsum(first) - 1
                 head = order[first]
                 doc = a.doc[hot][which]
-                out += _ask(HOT_ANSWER, chunk, key[head], buckets, np.arange(len(head), dtype=np.uint32), key[head], string[head], doc[head])
+                out += _ask(HOT_ANSWER, chunk, buckets, key[head], string[head], doc[head])
                 grid = np.stack([begin[order], number], axis=1)
                 later = doc[order] > doc[head][number]
                 grid[later, 1] = -1
