@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -95,6 +97,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a worker shares an executor's limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows of a sorted partition by their first ``keys`` columns: (key, rows without the key). Holds one run at a time."""
     key, rows = None, []

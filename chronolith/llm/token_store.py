@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, mix64, partitions, prepare, slices, utf8
+from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, materialize, partitions, prepare, slices, trim, utf8
 
 MAGIC = b"DAC1"
 #: Tokens of a block; a longer document has a block of its own.
@@ -27,11 +27,8 @@ RANK_BITS = 512
 MARK = b"\x01"
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 2_000_000
+MEMORY = 600_000
 STORE_DDL = "part int, block int, first_doc long, at long, n_docs int, n_tokens long, payload binary"
 
 
@@ -58,46 +55,20 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spelled, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.spelled, self.bare):
-            t.normalizer = None
+        self.spelled, self.bare = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)  # one model in memory
         self.spelled.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.hasher = SpanHasher()
         self._reset()
 
     def _reset(self) -> None:
-        self.slots = 1 << 16
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.values = np.full(self.slots, -1, np.int32)
-        self.hashes = np.zeros(1024, np.uint64)
+        self.index = HashIndex()
         self.start = np.zeros(1024, np.int32)
         self.length = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.count = self.used = 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each word, -1 for new ones."""
-        mask = np.uint64(self.slots - 1)
-        slot = (h & mask).astype(np.int64)
-        out = self.values[slot]
-        open_at = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
-        while len(open_at):
-            slot[open_at] = (slot[open_at] + 1) & (self.slots - 1)
-            found = self.values[slot[open_at]]
-            out[open_at] = found
-            open_at = open_at[(found >= 0) & (self.keys[slot[open_at]] != h[open_at])]
-        return out
-
-    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        while len(h):
-            free = self.values[slot] < 0
-            self.keys[slot[free]], self.values[slot[free]] = h[free], numbers[free]
-            left = self.values[slot] != numbers
-            h, numbers, slot = h[left], numbers[left], (slot[left] + 1) & (self.slots - 1)
-
     def _learn(self, words: list[bytes], h: np.ndarray) -> None:
         """Encode new words: a-z words and other words of letters need none of the tokenizer's normalising."""
         plain, letters, letter_texts, rest, odd = [], [], [], [], []
@@ -133,21 +104,14 @@ class WordEncoder:
     def _add(self, h: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         k, n = self.count, len(h)
         while k + n > len(self.start):
-            self.start, self.length, self.hashes = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.hashes))
+            self.start, self.length = (np.resize(x, 2 * len(x)) for x in (self.start, self.length))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k : k + n], self.length[k : k + n], self.hashes[k : k + n] = starts + self.used, lengths, h
+        self.start[k : k + n], self.length[k : k + n] = starts + self.used, lengths
         self.used += len(ids)
         self.count = k + n
-        if 2 * self.count > self.slots:
-            while 2 * self.count > self.slots:
-                self.slots *= 4
-            self.keys = np.zeros(self.slots, np.uint64)
-            self.values = np.full(self.slots, -1, np.int32)
-            self._insert(self.hashes[: self.count], np.arange(self.count, dtype=np.int32))
-        else:
-            self._insert(h, np.arange(k, k + n, dtype=np.int32))
+        self.index.insert(h, np.arange(k, k + n, dtype=np.int32))
 
     def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words of folded text that begins and ends with a space."""
@@ -161,15 +125,7 @@ class WordEncoder:
         end = ~space
         end[:-1] &= space[1:] | stop[1:]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        if len(self.powers) <= len(b):
-            n = 2 * len(b) + 1
-            self.powers, self.inverses = np.full(n, _BASE), np.full(n, _INVERSE)
-            for x in (self.powers, self.inverses):
-                x[0] = 1
-                np.multiply.accumulate(x, out=x)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_LETTERS[b] * self.powers[: len(b)], out=sums[1:])
-        return starts, ends, mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        return starts, ends, self.hasher.spans(self.hasher.sums(LETTERS[b]), starts, ends)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of ids of each."""
@@ -177,13 +133,13 @@ class WordEncoder:
         starts, ends, h = self._words(data)
         if self.count > MEMORY:
             self._reset()
-        at = self._find(h)
+        at = self.index.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             fresh, first = np.unique(h[missing], return_index=True)
             first = missing[first]
             self._learn([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], fresh)
-            at[missing] = self._find(h[missing])
+            at[missing] = self.index.find(h[missing])
         lengths = self.length[at].astype(np.int64)
         stops = np.cumsum(lengths)
         total = int(stops[-1]) if len(stops) else 0
@@ -287,7 +243,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in STORE_DDL.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text", 500_000):
+            for piece in slices(batch, "text", 250_000):
                 ids, lengths = encoder.encode(utf8(piece.column("text")))
                 stops = np.cumsum(lengths)
                 for doc, stop, n in zip(piece.column("doc_id").to_pylist(), stops.tolist(), lengths.tolist(), strict=True):
@@ -299,6 +255,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFra
                     held_lengths.append(np.array([len(own)]))
                     held.append(own)
                     tokens += len(own)
+            trim()
         if held:
             yield flush()
 
@@ -315,7 +272,7 @@ def located(store: DataFrame) -> DataFrame:
     totals = store.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return store.join(totals, "part")
+    return store.join(F.broadcast(totals), "part")  # as many rows as the store was written in partitions
 
 
 def read(store: DataFrame) -> DataFrame:
