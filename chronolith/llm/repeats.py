@@ -15,7 +15,7 @@ A repeated string of ``least`` bytes holds, at the same place in all its occurre
 4. An anchor with more than ``HOT`` contexts would make one large bucket. Its strings are asked for one by one instead,
    again once a chunk.
 
-All steps are exact up to 128-bit hash collisions. ``maximal_repeats`` lists the maximal repeat groups of a few texts by
+All steps are exact up to collisions of 96 bits of hash (an anchor's 48 and its context's 48). ``maximal_repeats`` lists the maximal repeat groups of a few texts by
 a stack scan of the interval tree.
 """
 
@@ -159,7 +159,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         part, number = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
         size = 0
@@ -197,19 +197,30 @@ def _texts(blob: bytes, z: bytes) -> Texts:
     return Texts(ids, lengths, zstandard.decompress(z) if zstandard.frame_content_size(z) else b"")
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of 64-bit hashes, six bytes each."""
+    return np.ascontiguousarray((x >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+
+
+def _widen(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = b.reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def _ask(kind: int, chunk: int, buckets: int, gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
     """Questions sorted by ``gram`` as one row a bucket: the number of its first, the hashes, and documents from a base."""
     number, starts = _by_bucket(gram, buckets)
     base = doc.min() if len(doc) else np.int64(0)
     far = doc.astype(np.uint64) - base.astype(np.uint64)
     near = far.astype(np.uint32) if len(far) and int(far.max()) < 1 << 32 else far
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(gram)], strict=True):
-        yield kind, int(number[a]), chunk, pack(np.array([a], np.uint32), gram[a:b], context[a:b], base.reshape(1), near[a:b])
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(gram))[: len(starts)].tolist(), strict=True):
+        yield kind, int(number[a]), chunk, pack(np.array([a], np.uint32), _narrow(gram[a:b]), _narrow(context[a:b]), base.reshape(1), near[a:b])
 
 
 def _asked(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     first, gram, context, base, far = columns
-    return first[0] + np.arange(len(gram), dtype=np.uint32), gram, context, (base.astype(np.uint64) + far.astype(np.uint64)).astype(np.int64)
+    return first[0] + np.arange(len(far), dtype=np.uint32), _widen(gram), _widen(context), (base.astype(np.uint64) + far.astype(np.uint64)).astype(np.int64)
 
 
 def _questions(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
