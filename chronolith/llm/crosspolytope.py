@@ -43,7 +43,8 @@ def codes(x: np.ndarray, tables: int, depth: int, probes: int) -> np.ndarray:
         for k in range(depth):
             y = rotate(x, t * depth + k)
             size = np.abs(y)
-            near = np.argpartition(-size, NEAR - 1, axis=1)[:, :NEAR]
+            width = min(NEAR, size.shape[1])
+            near = np.argpartition(-size, width - 1, axis=1)[:, :width]
             value = np.take_along_axis(size, near, axis=1)
             order = np.argsort(-value, axis=1, kind="stable")
             near, value = np.take_along_axis(near, order, axis=1), np.take_along_axis(value, order, axis=1)

@@ -212,10 +212,13 @@ class Lattices:
         begin = np.empty(len(b), bool)
         begin[0] = True
         begin[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1] | (_LETTER[b[:-1]] & _MARK[b[1:]])
-        begin[edges[1:-1]] = True
+        between = edges[1:-1] - 1  # the byte between two texts is a unit of its own, left out
+        begin[between] = begin[between + 1] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(b))
-        ends[np.searchsorted(starts, edges[1:-1]) - 1] -= 1  # the byte between two texts belongs to neither
+        own = np.ones(len(starts), bool)
+        own[np.searchsorted(starts, between)] = False
+        starts, ends = starts[own], ends[own]
         h = self.hasher.spans(self.hasher.sums(LETTERS[b]), starts, ends)
         at = self.known.find(h)
         missing = np.flatnonzero(at < 0)
