@@ -67,7 +67,8 @@ def smoothed(daily: DataFrame, columns: Sequence[str] = SMOOTHED) -> DataFrame:
 def nearest_quantile(column: str, p: float) -> Column:
     """An aggregate: the value at the rank nearest to a quantile, no interpolation. A group is one subject's days."""
     values = F.sort_array(F.collect_list(column))
-    return F.try_element_at(values, (F.round((F.count(column) - 1) * F.lit(float(p))) + 1).cast("int"))
+    at = F.greatest(F.round((F.count(column) - 1) * F.lit(float(p))) + 1, F.lit(1.0))
+    return F.try_element_at(values, at.cast("int"))
 
 
 def axis_components(daily: DataFrame, axes: dict[str, dict[str, int]] = AXES) -> DataFrame:

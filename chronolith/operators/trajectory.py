@@ -151,12 +151,12 @@ def bands(predicted: DataFrame, axes: Sequence[str] = AXIS_NAMES, keys: Sequence
 
 
 def coverage(predicted: DataFrame, band_table: DataFrame, axes: Sequence[str] = AXIS_NAMES) -> DataFrame:
-    """Share of targets inside their band, and mean absolute errors of the model, of today's position, and of 0."""
+    """Share of targets inside their band (to 1e-9, as a band may be an error itself), and mean absolute errors of the model, of today's position, and of 0."""
     joined = predicted.join(F.broadcast(band_table), "horizon")
     measures = [F.count("*").alias("n")]
     for a in axes:
         e = F.col(f"{a}_target") - F.col(f"{a}_predicted")
-        measures += [F.avg(e.between(F.col(f"{a}_low"), F.col(f"{a}_high")).cast("double")).alias(f"{a}_inside"), F.avg(F.abs(e)).alias(f"{a}_mae"), F.avg(F.abs(F.col(f"{a}_target") - F.col(f"{a}_lag_0"))).alias(f"{a}_mae_hold"), F.avg(F.abs(f"{a}_target")).alias(f"{a}_mae_usual")]
+        measures += [F.avg(e.between(F.col(f"{a}_low") - F.lit(1e-9), F.col(f"{a}_high") + F.lit(1e-9)).cast("double")).alias(f"{a}_inside"), F.avg(F.abs(e)).alias(f"{a}_mae"), F.avg(F.abs(F.col(f"{a}_target") - F.col(f"{a}_lag_0"))).alias(f"{a}_mae_hold"), F.avg(F.abs(f"{a}_target")).alias(f"{a}_mae_usual")]
     return joined.groupBy("horizon").agg(*measures)
 
 

@@ -17,9 +17,7 @@ CARDS = ("steps", "sleep_hours", "resting_hr_bpm", "hrv_sdnn_ms", "hr_mean_bpm",
 def spreads(days: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``subject_id, feature, iqr`` by nearest ranks."""
     long = days.select("subject_id", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot("subject_id", list(columns), "feature", "v").filter("v IS NOT NULL")
-    values = F.sort_array(F.collect_list("v"))
-    at = lambda p: F.try_element_at(values, (F.round((F.count("v") - 1) * F.lit(p)) + 1).cast("int"))
-    return long.groupBy("subject_id", "feature").agg((at(0.75) - at(0.25)).alias("iqr"))
+    return long.groupBy("subject_id", "feature").agg((scores.nearest_quantile("v", 0.75) - scores.nearest_quantile("v", 0.25)).alias("iqr"))
 
 
 def _tail(df: DataFrame, n: int, fields: Sequence[Column | str], name: str) -> DataFrame:

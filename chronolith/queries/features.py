@@ -273,7 +273,7 @@ def nearest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.nearest_session(reports, sessions, "user_id", "ts").select("event_id", "session_id", "session_at", "gap_seconds"))
 
 
-@query(by_day("SELECT subject_id, CAST(date_trunc('month', date) AS DATE) AS month, unnest(['steps', 'sleep_hours']) AS series, unnest([round(avg(steps), 6), round(avg(sleep_hours), 6)]) AS value FROM days GROUP BY 1, 2"))
+@query(by_day("SELECT * FROM (SELECT subject_id, CAST(date_trunc('month', date) AS DATE) AS month, unnest(['steps', 'sleep_hours']) AS series, unnest([round(avg(steps), 6), round(avg(sleep_hours), 6)]) AS value FROM days GROUP BY 1, 2) WHERE value IS NOT NULL"))
 def monthly_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.monthly_mean(days(spark, sf_dir), ["steps", "sleep_hours"]))
 

@@ -175,7 +175,7 @@ def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trajectory.bands(held, ("activity",)).select("horizon", F.col("activity_low").alias("low"), F.col("activity_high").alias("high")))
 
 
-@query(by_day(f"SELECT * FROM (WITH {_POS}, {_LP}, bd AS (SELECT horizon, quantile_cont(activity_target - activity_lag_0, 0.1) AS lo, quantile_cont(activity_target - activity_lag_0, 0.9) AS hi FROM lp GROUP BY 1) SELECT horizon, CAST(count(*) AS BIGINT) AS n, round(avg((activity_target - activity_lag_0 BETWEEN lo AND hi)::INT), 4) AS inside, round(avg(abs(activity_target - activity_lag_0)), 6) AS mae, round(avg(abs(activity_target)), 6) AS mae_usual FROM lp JOIN bd USING (horizon) GROUP BY 1)"))
+@query(by_day(f"SELECT * FROM (WITH {_POS}, {_LP}, bd AS (SELECT horizon, quantile_cont(activity_target - activity_lag_0, 0.1) AS lo, quantile_cont(activity_target - activity_lag_0, 0.9) AS hi FROM lp GROUP BY 1) SELECT horizon, CAST(count(*) AS BIGINT) AS n, round(avg((activity_target - activity_lag_0 BETWEEN lo - 1e-9::DOUBLE AND hi + 1e-9::DOUBLE)::INT), 4) AS inside, round(avg(abs(activity_target - activity_lag_0)), 6) AS mae, round(avg(abs(activity_target)), 6) AS mae_usual FROM lp JOIN bd USING (horizon) GROUP BY 1)"))
 def band_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir)), horizons=(1, 7)).dropna()
     held = rows.withColumn("activity_predicted", F.col("activity_lag_0"))
