@@ -151,13 +151,20 @@ def nearest_session(reports: DataFrame, sessions: DataFrame, key: str, at: str,
     width = int(hours * 3600)
     epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     bucket = lambda c: F.floor(epoch(c) / (width * 1_000_000)).cast("long")
-    r = reports.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.array(bucket(at) - 1, bucket(at), bucket(at) + 1)))
+    points = reports.select(key, at).distinct().withColumn("__b", F.explode(F.array(bucket(at) - 1, bucket(at), bucket(at) + 1)))
     s = sessions.select(F.col(key).alias("__k"), F.col(at).alias("session_at"), F.col("session_id"), bucket(at).alias("__sb"))
     gap = F.abs(epoch(at) - epoch("session_at")) / F.lit(1e6)
-    met = r.join(s, (r[key] == s["__k"]) & (r["__b"] == s["__sb"])).withColumn("gap_seconds", gap).filter(F.col("gap_seconds") < width)
+    met = points.join(s, (points[key] == s["__k"]) & (points["__b"] == s["__sb"])).withColumn("gap_seconds", gap).filter(F.col("gap_seconds") < width)
     rank = F.struct("gap_seconds", "session_at", "session_id")
-    best = met.groupBy("__id").agg(F.min_by(F.struct("session_id", "session_at", "gap_seconds"), rank).alias("x"))
-    return reports.withColumn("__id", F.monotonically_increasing_id()).join(best, "__id", "left").select("*", "x.*").drop("__id", "x")
+    best = met.groupBy(key, at).agg(F.min_by(F.struct("session_id", "session_at", "gap_seconds"), rank).alias("x"))
+    return reports.join(best, [key, at], "left").select(*reports.columns, "x.*")
+
+
+def matched_by_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Rows of two logs that carry the same id, whatever type it was read as; ids that are no numbers match nothing."""
+    a = left.withColumn("__id", F.col(left_id).try_cast("long"))
+    b = right.withColumn("__jd", F.col(right_id).try_cast("long"))
+    return a.join(b, F.col("__id") == F.col("__jd")).drop("__id", "__jd")
 
 
 def monthly_mean(df: DataFrame, columns: Sequence[str], day: str = "date") -> DataFrame:

@@ -273,6 +273,14 @@ def nearest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.nearest_session(reports, sessions, "user_id", "ts").select("event_id", "session_id", "session_at", "gap_seconds"))
 
 
+@query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
+def matched_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two logs joined by an id that one of them holds as text."""
+    logs = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")).alias("log_id"), "o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return relational.matched_by_id(logs, lines, "log_id", "l_orderkey").select("o_orderkey", "l_linenumber", "l_quantity")
+
+
 @query(by_day("SELECT * FROM (SELECT subject_id, CAST(date_trunc('month', date) AS DATE) AS month, unnest(['steps', 'sleep_hours']) AS series, unnest([round(avg(steps), 6), round(avg(sleep_hours), 6)]) AS value FROM days GROUP BY 1, 2) WHERE value IS NOT NULL"))
 def monthly_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.monthly_mean(days(spark, sf_dir), ["steps", "sleep_hours"]))

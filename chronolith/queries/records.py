@@ -108,6 +108,13 @@ def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.catalogue(spark).groupBy("domain").agg(F.count("*").cast("int").alias("n_metrics"))
 
 
+@query("SELECT DISTINCT l_returnflag AS unit FROM lineitem")
+def unknown_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded units without a conversion, by distinct values."""
+    known = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, "kg").otherwise(F.col("l_returnflag"))
+    return units.unknown_units(table(spark, sf_dir, "lineitem").select(known.alias("unit")))
+
+
 _NAMES = ["Anna’s Apple Watch", "  iPhone (12) ", "Withings", "Zombies, Run!", "Health", "", "Some Gadget", "Sleep++", "Zepp (2)"]
 
 
