@@ -3,35 +3,27 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-from chronolith.llm.common import mix64
+from chronolith.llm.common import LETTERS, SpanHasher, mix64
 
-_WORDS: dict[bytes, int] = {}
-#: Words whose hash a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 400_000
+_FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
+_HASHER = SpanHasher()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, remembered between calls."""
-    if len(_WORDS) > MEMORY:
-        _WORDS.clear()
-    known = _WORDS
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words in order, A-Z lower-cased, words cut at ASCII white space."""
+    b = np.frombuffer(text.translate(_FOLD), np.uint8)
+    word = np.concatenate([[False], b != 32, [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return _HASHER.spans(_HASHER.sums(LETTERS[b]), edge[::2], edge[1::2])
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``size``-word shingles of a text, A-Z lower-cased, words cut at ASCII white space.
+    """Sorted distinct hashes of the ``size``-word shingles of a text.
 
     A text of fewer words (but one at least) has its whole word sequence as its only shingle; one without words has none.
     """
-    h = word_hashes(text.lower().split())
+    h = word_hashes(text)
     n = len(h)
     if n == 0:
         return h
