@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -54,17 +55,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.chronolith_path = path
     return out
 
 
+def stage(run):
+    """A pipeline stage ``run(spark, docs, sf_dir)``. As it begins, what earlier stages left in the shared folder goes:
+    their results have been written by then."""
+
+    @functools.wraps(run)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in list(_LEFT):
+            _delete(spark, path)
+        before = set(_TABLES)
+        out = run(spark, docs, sf_dir)
+        _LEFT.update(_TABLES - before)
+        return out
+
+    return wrapped
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote; only once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.chronolith_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.chronolith_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _TABLES.discard(path)
+    _LEFT.discard(path)
+
+
+#: Tables of this session in the shared folder, and those of pipeline stages that have returned.
+_TABLES: set[str] = set()
+_LEFT: set[str] = set()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -104,6 +132,20 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(run):
+    """A batch function that gives memory back now and then and when its task ends: workers go on to other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        for k, out in enumerate(run(batches)):
+            yield out
+            if k % 16 == 15:
+                trim()
+        trim()
+
+    return wrapped
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows of a sorted partition by their first ``keys`` columns: (key, rows without the key). Holds one run at a time."""
     key, rows = None, []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, prepare, runs
+from chronolith.llm.common import discard, lean, materialize, prepare, runs
 from chronolith.llm.components import components
 from chronolith.llm.crosspolytope import codes
 
@@ -58,6 +58,7 @@ def _units(vectors: DataFrame) -> DataFrame:
     names = ["vec_id", "width", "v", "a", "b"]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*_vectors(batch), strict=True)) or [[]] * 5
@@ -84,6 +85,7 @@ def _entries(classes: DataFrame, depth: int) -> DataFrame:
     tables, probes = TABLES[depth]
     names = ["key", "rep", "own", "q"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, blobs = np.array(batch.column("rep").to_pylist(), np.int64), batch.column("v").to_pylist()
@@ -108,6 +110,7 @@ def _entries(classes: DataFrame, depth: int) -> DataFrame:
 def _close(pairs: DataFrame, least: float) -> DataFrame:
     """Pairs ``rep, centre`` whose 8-bit cosine reaches ``least``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -121,6 +124,7 @@ def _close(pairs: DataFrame, least: float) -> DataFrame:
 def _cosines(pairs: DataFrame) -> DataFrame:
     """``x, y, cosine`` of pairs with their vectors ``vx, vy``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("vx").to_pylist(), batch.column("vy").to_pylist(), strict=True)
@@ -137,6 +141,7 @@ def _candidates(entries: DataFrame, least: float) -> DataFrame:
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "grp", "own", "q").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         for _, members in runs(batches, 3):
@@ -166,6 +171,7 @@ def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     two = dealt.join(placed, (dealt.y == placed.grp) & (dealt.j == placed.block)).select("x", "y", "i", "j", F.lit(1).alias("side"), "rep", "size", "v")
     rows = one.union(two).repartition("x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j", "side")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in runs(batches, 4):
             sides = [[r[1:] for r in found if r[0] == k] for k in (0, 1)]
@@ -230,6 +236,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         .otherwise(2)
     )
     settled = materialize(measured.withColumn("verdict", verdict), "vector-pairs")
+    discard(entries)
     all_linked = settled.filter("verdict = 1")
     compared = materialize(_compared(settled.filter("verdict = 2").select("x", "y"), members, cosine), "vector-compared")
 

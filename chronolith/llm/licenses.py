@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronolith.llm.common import prepare, slices, utf8
+from chronolith.llm.common import lean, prepare, slices, utf8
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -163,6 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _SCANNER
         _SCANNER = _SCANNER or Scanner()

@@ -5,7 +5,8 @@
 2. Documents with the same set form a class; only its smallest id goes on.
 3. Classes that share a band meet in a bucket. First every class is verified against one partner only, the bucket's
    smallest id it shares most bands with. Buckets that then hold more than one component are compared whole, in blocks
-   of ``BLOCK`` members (a large bucket is dealt out as pairs of blocks), so that no link that matters is lost.
+   of ``BLOCK`` members (strays against the bucket's main component and each other), so that no link that matters is
+   lost.
 4. Components of the verified links.
 
 Nothing is sampled or capped. Buckets and classes are counted with map-side sums; texts of candidates alone are shuffled.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, prepare, release, runs, slices, utf8
+from chronolith.llm.common import discard, lean, materialize, prepare, release, runs, slices, utf8
 from chronolith.llm.components import components
 from chronolith.llm.minhash_core import band_keys, shingles, sketches
 
@@ -50,6 +51,7 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, bands`` of every row."""
     bands = bands_for(percent)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
@@ -68,6 +70,7 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def compressed(docs: DataFrame) -> DataFrame:
     """``doc_id, z``: texts compressed, for a shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -106,6 +109,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     centres = dealt.select("b", "share").distinct().join(texts, F.col("b") == texts.doc_id).select("b", "share", F.lit(None).cast("long").alias("a"), "z")
     rows = members.union(centres).repartition("b", "share").sortWithinPartitions("b", "share", "a")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for (b, _), members in runs(batches, 2):
@@ -166,17 +170,29 @@ def forest(ids: list[int], groups: list[int], sets: list[np.ndarray], percent: i
 
 
 def compared(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components inside buckets: ``members`` has ``key, n, rep, component``."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component")
-    rows = dealt.join(texts, dealt.rep == texts.doc_id).select("key", "i", "j", "rep", "component", "z")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    """Links between components inside buckets: ``members`` has ``key, rep, component, major`` (a component of the bucket).
 
+    Members of ``major`` need no comparison with each other. The others meet its blocks and each other's, so a bucket of
+    near copies with some strays makes rows in proportion to its size times the blocks of strays.
+    """
+    own = F.col("component") == F.col("major")
+    blocks = lambda which: F.greatest(F.ceil(F.sum(which.cast("long")) / BLOCK), F.lit(1).cast("long"))
+    counts = members.groupBy("key").agg(blocks(own).alias("g"), blocks(~own).alias("s"))
+    sized = members.join(counts, "key")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    columns = ["key", "kind", "i", "j", "rep", "component"]
+    inner = sized.filter(own).withColumns({"kind": F.lit(0), "i": block("g"), "j": upto("s")}).select(*columns)
+    stray = sized.filter(~own)
+    outer = stray.withColumns({"kind": F.lit(0), "j": block("s"), "i": upto("g")}).select(*columns)
+    pairs = stray.filter("s > 1").withColumns({"kind": F.lit(1), "b": block("s"), "o": upto("s")}).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).select(*columns)
+    dealt = inner.union(outer).union(pairs)
+    rows = dealt.join(texts, dealt.rep == texts.doc_id).select("key", "kind", "i", "j", "rep", "component", "z")
+    rows = rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in runs(batches, 3):
+        for _, found in runs(batches, 4):
             yield _links(forest([r[0] for r in found], [r[1] for r in found], [shingles(opened(r[2]), size) for r in found], percent))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -210,9 +226,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     placed = met.join(known, met.rep == known.node, "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "minhash-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.col("rep"), F.lit(1))).alias("y"), F.first("n").alias("m"))
-    once = mixed.filter("low < high").groupBy("x", "y", "m").agg(F.min("key").alias("key")).select("key")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.col("rep"), F.lit(1))).alias("y"), F.first("n").alias("m"), F.min_by("component", "rep").alias("major"))
+    once = mixed.filter("low < high").groupBy("x", "y", "m").agg(F.min("key").alias("key"), F.first("major").alias("major")).select("key", "major")
     more = materialize(compared(placed.join(once, "key"), texts, size, percent), "minhash-more")
+    for done in (met, texts, links, placed):
+        discard(done)
     release(spark)
 
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -107,4 +107,40 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
          WHEN 1 THEN need * 2 / (1.0::DOUBLE + sqrt(1.0::DOUBLE + need * 4))
          ELSE need * 2 / (0.5::DOUBLE + sqrt(0.25::DOUBLE + need * 2)) END, 1.0::DOUBLE), 6) END AS position
 FROM r""",
+    "op5_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9::DOUBLE),
+r AS (SELECT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.component, e.vec_id) AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op6_repeats": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS INT), 100) AS s FROM (SELECT doc_id, h, unnest(range(CAST(len(h) // 2 - 49 AS BIGINT))) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS dup FROM w),
+p AS (SELECT doc_id, unnest(range(CAST(len(h) // 2 AS BIGINT))) AS i FROM d),
+g AS (SELECT p.doc_id, p.i, max(CASE WHEN f.dup THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone
+      FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+k AS (SELECT doc_id, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM g),
+a AS (SELECT k.doc_id, CAST(sum(gone::INT) AS BIGINT) AS n_removed, CAST(sum(first::INT) AS BIGINT) AS n_spans,
+        string_agg(substr(d.h, CAST(2 * k.i + 1 AS INT), 2), '' ORDER BY k.i) FILTER (NOT gone) AS kept
+      FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(a.n_removed, 0) AS n_removed, coalesce(a.n_spans, 0) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id""",
+    "op10_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (SELECT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
 }

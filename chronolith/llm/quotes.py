@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, prepare, slices
+from chronolith.llm.common import lean, materialize, prepare, slices
 from chronolith.llm.components import components
 
 #: Normalised characters that a passage needs to link messages.
@@ -107,6 +107,7 @@ def linked(messages: DataFrame) -> DataFrame:
     """
     prepare(messages.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
