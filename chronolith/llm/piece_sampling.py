@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, mix64, prepare, slices, utf8
+from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, lean, mix64, prepare, slices, utf8
 
 #: Units whose lattices a worker remembers; beyond it the memory is emptied and filled anew.
 MEMORY = 300_000
@@ -298,71 +298,96 @@ def sample(lattices: Lattices, texts: list[bytes], keys: list[int], k: int, seed
     unit_keys = mix64(np.repeat(row_keys, sizes) + numbers.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     edges, counts = lattices.walk(roots, mix64(unit_keys + np.uint64(1)))
     stops = np.concatenate([[0], np.cumsum(counts)])
-    out = []
+    searches: list[_Search | None] = []
     for d in range(len(texts)):
-        if not sizes[d]:
-            out.append([(np.zeros(0, np.uint32), 0.0, 0.0, 1.0)])
-            continue
         lo, hi = int(edge_to[d] - sizes[d]), int(edge_to[d])
-        own = edges[stops[lo] : stops[hi]]
+        if lo == hi:
+            searches.append(None)
+            continue
         unit = np.repeat(np.arange(hi - lo), counts[lo:hi])
-        out.append(_search(lattices, own, unit, roots[lo:hi], unit_keys[lo:hi], int(row_keys[d]), k))
-    return out
-
-
-def _search(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, roots: np.ndarray, unit_keys: np.ndarray, key: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
-    def draw(*salt: int) -> float:
-        x = key
+        searches.append(_Search(lattices, edges[stops[lo] : stops[hi]], unit, roots[lo:hi], unit_keys[lo:hi], int(row_keys[d]), k))
+    live = [s for s in searches if s]
+    while live:
+        asked = [(s, w) for s in live if (w := s.choose())]
+        if not asked:
+            break
+        more, counts = lattices.walk(np.concatenate([w[0] for _, w in asked]), np.concatenate([w[1] for _, w in asked]))
+        cuts = np.concatenate([[0], np.cumsum([len(w[0]) for _, w in asked])])
+        stops = np.concatenate([[0], np.cumsum(counts)])[cuts]
+        for i, (s, _) in enumerate(asked):
+            s.extend(more[stops[i] : stops[i + 1]], counts[cuts[i] : cuts[i + 1]])
+        live = [s for s, _ in asked]
+    return [s.result() if s else [(np.zeros(0, np.uint32), 0.0, 0.0, 1.0)] for s in searches]
+
+
+class _Search:
+    """The search over one text, in rounds: ``choose`` takes the best waiting node and says where to draw on from,
+    ``extend`` takes what was drawn. All texts of a chunk draw together."""
+
+    def __init__(self, lattices: Lattices, edges: np.ndarray, unit: np.ndarray, roots: np.ndarray, unit_keys: np.ndarray, key: int, k: int) -> None:
+        self.lattices, self.roots, self.unit_keys, self.key, self.k = lattices, roots, unit_keys, key, k
+        self.paths: list[_Path] = []
+        #: (-variable, path, step, edges taken at that node)
+        self.queue: list[tuple[float, int, int, tuple[int, ...]]] = []
+        self.chosen: tuple[float, _Path, int, int] | None = None
+        self._enter(_Path(edges, unit, lattices.logp[edges].astype(np.float64), -math.log(-math.log(self._draw(7)))), 0)
+
+    def _draw(self, *salt: int) -> float:
+        x = self.key
         for v in salt:
             x = _mixed(x ^ ((v * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _ALL))
         return ((x >> 11) + 0.5) * 2.0**-53
 
-    paths: list[_Path] = []
-    #: (-variable, path, step, edges taken at that node)
-    queue: list[tuple[float, int, int, tuple[int, ...]]] = []
-
-    def enter(path: _Path, fresh_from: int) -> None:
-        """Queue the best sibling of the path's own steps; the others wait in order."""
-        number = len(paths)
-        paths.append(path)
-        mass = path.before[fresh_from:] + lattices.rest[path.edges[fresh_from:]]
-        u = uniform(mix64(np.uint64(key) + np.arange(fresh_from, len(path.edges)).astype(np.uint64) * _GOLD) + np.uint64(number + 101))
+    def _enter(self, path: _Path, fresh_from: int) -> None:
+        """Queue the best siblings of the path's own steps; no more than k + 1 of them can matter."""
+        number, k = len(self.paths), self.k
+        self.paths.append(path)
+        mass = path.before[fresh_from:] + self.lattices.rest[path.edges[fresh_from:]]
+        steps = np.arange(fresh_from, len(path.edges)).astype(np.uint64) * _GOLD
+        u = uniform(mix64(np.uint64(self.key) + steps) + np.uint64(number + 101))
         waiting = _truncated(mass, path.gumbel, u)
         best = np.argsort(-waiting, kind="stable")[: k + 1] if len(waiting) <= 4 * k + 4 else np.argpartition(-waiting, k)[: k + 1]
         for t in best.tolist():
             if waiting[t] > -np.inf:
-                heapq.heappush(queue, (-float(waiting[t]), number, fresh_from + t, (int(path.edges[fresh_from + t]),)))
-
-    root = -math.log(-math.log(draw(7)))
-    enter(_Path(edges, unit, lattices.logp[edges].astype(np.float64), root), 0)
-    while queue and len(paths) < k:
-        value, number, step, taken = heapq.heappop(queue)
-        parent = paths[number]
-        node = lattices.node_of(int(parent.edges[step]))
-        low, high = int(lattices.first[node]), int(lattices.first[node + 1])
-        p = np.exp(lattices.logp[low:high].astype(np.float64))
-        p[[t - low for t in taken]] = 0.0
-        open_mass = float(p.sum())
-        if open_mass <= 0:
-            continue
-        child = low + int(min(np.searchsorted(np.cumsum(p), draw(11, len(paths), step) * open_mass, side="right"), high - low - 1))
-        while p[child - low] == 0:
-            child -= 1
-        rest = open_mass - float(p[child - low])
-        if rest > 1e-12:
-            mass = np.array([parent.before[step] + math.log(rest)])
-            again = float(_truncated(mass, -value, np.array([draw(13, len(paths), step)]))[0])
-            heapq.heappush(queue, (-again, number, step, (*taken, child)))
-        unit_now = int(parent.units[step])
-        starts = np.concatenate([[lattices.next[child]], roots[unit_now + 1 :]])
-        more, counts = lattices.walk(starts, mix64(unit_keys[unit_now:] + np.uint64(1 + len(paths))))
+                heapq.heappush(self.queue, (-float(waiting[t]), number, fresh_from + t, (int(path.edges[fresh_from + t]),)))
+
+    def choose(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Nodes and keys to draw from for the next path, None when there is none."""
+        lattices, n = self.lattices, len(self.paths)
+        while self.queue and n < self.k:
+            value, number, step, taken = heapq.heappop(self.queue)
+            parent = self.paths[number]
+            node = lattices.node_of(int(parent.edges[step]))
+            low, high = int(lattices.first[node]), int(lattices.first[node + 1])
+            p = np.exp(lattices.logp[low:high].astype(np.float64))
+            p[[t - low for t in taken]] = 0.0
+            open_mass = float(p.sum())
+            if open_mass <= 0:
+                continue
+            child = low + int(min(np.searchsorted(np.cumsum(p), self._draw(11, n, step) * open_mass, side="right"), high - low - 1))
+            while p[child - low] == 0:
+                child -= 1
+            rest = open_mass - float(p[child - low])
+            if rest > 1e-12:
+                mass = np.array([parent.before[step] + math.log(rest)])
+                again = float(_truncated(mass, -value, np.array([self._draw(13, n, step)]))[0])
+                heapq.heappush(self.queue, (-again, number, step, (*taken, child)))
+            self.chosen = -value, parent, step, child
+            unit = int(parent.units[step])
+            return np.concatenate([[lattices.next[child]], self.roots[unit + 1 :]]), mix64(self.unit_keys[unit:] + np.uint64(1 + n))
+        return None
+
+    def extend(self, more: np.ndarray, counts: np.ndarray) -> None:
+        gumbel, parent, step, child = self.chosen
+        unit = int(parent.units[step])
         whole = np.concatenate([parent.edges[:step], [child], more]).astype(np.int64)
-        units = np.concatenate([parent.units[:step], [unit_now], np.repeat(np.arange(unit_now, len(roots)), counts)])
-        enter(_Path(whole, units, lattices.logp[whole].astype(np.float64), -value), step + 1)
-    while queue and queue[0][0] == math.inf:
-        heapq.heappop(queue)
-    threshold = -queue[0][0] if queue else -math.inf
-    return [(lattices.token[p.edges], p.logp, p.gumbel, -math.expm1(-math.exp(min(p.logp - threshold, 700.0))) if threshold > -math.inf else 1.0) for p in paths]
+        units = np.concatenate([parent.units[:step], [unit], np.repeat(np.arange(unit, len(self.roots)), counts)])
+        self._enter(_Path(whole, units, self.lattices.logp[whole].astype(np.float64), gumbel), step + 1)
+
+    def result(self) -> list[tuple[np.ndarray, float, float, float]]:
+        threshold = -self.queue[0][0] if self.queue else -math.inf
+        chance = lambda p: -math.expm1(-math.exp(min(p.logp - threshold, 700.0))) if threshold > -math.inf else 1.0
+        return [(self.lattices.token[p.edges], p.logp, p.gumbel, chance(p)) for p in self.paths]
 
 
 _LATTICES: tuple[str, float, Lattices] | None = None
@@ -379,6 +404,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, seed: int = 1, alpha: float
     """
     prepare(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _LATTICES
         if _LATTICES is None or _LATTICES[:2] != (model, alpha):
@@ -408,6 +434,7 @@ def decode(encoded: DataFrame, model: str, column: str = "ids") -> DataFrame:
     names = [c for c in encoded.columns if c != "text"]
     schema = encoded.select(*names).schema.add("text", "string")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(model)
         for batch in batches:
