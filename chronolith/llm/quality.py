@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronolith.llm.common import prepare, slices, utf8
+from chronolith.llm.common import lean, prepare, slices, utf8
 from chronolith.llm.suffix_core import cover, neighbour_lcp, repeated_prefix, suffix_array
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -88,6 +88,7 @@ def assess(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
     """
     prepare(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -102,6 +103,7 @@ def keep(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
     """The input's rows, all columns, that the rules keep."""
     prepare(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):

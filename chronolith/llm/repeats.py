@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, mix64, partitions, prepare, release, slices, utf8
+from chronolith.llm.common import discard, lean, materialize, mix64, partitions, prepare, release, slices, utf8
 from chronolith.llm.suffix_core import intervals, neighbour_lcp, suffix_array
 
 LEAST = 50
@@ -156,6 +156,7 @@ ASKED_DDL = "kind int, bucket long, chunk long, blob binary"
 def chunked(docs: DataFrame) -> DataFrame:
     """Documents packed into chunks: ids and lengths, compressed texts, and the other columns."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -224,6 +225,7 @@ def _asked(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 
 
 def _questions(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, z in zip(*(batch.column(c).to_pylist() for c in ("chunk", "blob", "z")), strict=True):
@@ -268,6 +270,7 @@ ELSEWHERE, SHARED, CROWDED = 1, 2, 3
 def _first_documents(asked: DataFrame, kind: int, hot: int) -> DataFrame:
     """For every question (anchor, context, chunk's first document): whether the first document overall is elsewhere."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunks, columns in _gathered(batches):
             columns = [_asked(c) for c in columns]
@@ -328,6 +331,7 @@ def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int) ->
     """What the answers cover at once (kind STATE), and the classes that go on (ANSWER: by anchor, HOT_ANSWER: by string)."""
     reach = least - GRAM
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -426,6 +430,7 @@ def first_sharers(doc: np.ndarray, left: np.ndarray, right: np.ndarray, around:
 def _sharers(asked: DataFrame, least: int) -> DataFrame:
     reach = least - GRAM
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunks, columns in _gathered(batches):
             number, doc, left, right, around = (np.concatenate(c) for c in zip(*columns, strict=True))
@@ -451,6 +456,7 @@ def _finished(chunks: DataFrame, state: DataFrame, answers: DataFrame, hot: Data
     """Every chunk with its answers laid out as removed bytes, given to ``finish(texts, removed, rest)``."""
     reach = least - GRAM
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _met(batches):
             texts = _texts(rows[0][1], rows[0][2])
@@ -487,6 +493,7 @@ def _run(docs: DataFrame, least: int, finish, ddl: str, hot: int) -> DataFrame:
     answers = materialize(_first_documents(asked, ANSWER, hot), "repeat-answers")
     release(spark)
     classes = materialize(_classes(chunks, answers, least, buckets), "repeat-classes")
+    discard(answers)
     release(spark)
     state, by_anchor, by_string = (classes.filter(F.col("kind") == k) for k in (STATE, ANSWER, HOT_ANSWER))
     shared = _sharers(by_anchor, least)
@@ -538,7 +545,7 @@ def cleaned(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
         columns = [pa.array(out, pa.string()) if c == "text" else other.column(f"c{k}").combine_chunks() for k, c in enumerate(names)]
         return pa.RecordBatch.from_arrays([c if not isinstance(c, pa.ChunkedArray) else c.chunk(0) for c in columns], names)
 
-    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col("text").isNull().alias("__null"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c != "text"], F.col("text").isNull().alias("__null"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _run(packed, least, finish, schema, hot)
 
 

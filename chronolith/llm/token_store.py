@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, materialize, partitions, prepare, slices, trim, utf8
+from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, lean, materialize, partitions, prepare, slices, utf8
 
 MAGIC = b"DAC1"
 #: Tokens of a block; a longer document has a block of its own.
@@ -222,6 +222,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFra
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _ENCODER
         if _ENCODER is None or _ENCODER[0] != tokenizer:
@@ -255,7 +256,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFra
                     held_lengths.append(np.array([len(own)]))
                     held.append(own)
                     tokens += len(own)
-            trim()
         if held:
             yield flush()
 
@@ -288,6 +288,7 @@ def digest(store: DataFrame) -> DataFrame:
 
 
 def _reader(digests: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, start in zip(batch.column("payload"), batch.column("start").to_pylist(), strict=True):

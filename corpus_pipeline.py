@@ -1,4 +1,7 @@
-"""From raw documents to sampled token ids in five stages, each written as a table before the next reads it."""
+"""From raw documents to sampled token ids in five stages, each written as a table before the next reads it.
+
+As a stage begins, the intermediate tables of those before it go; their results have been written by then.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import minhash, mixing, piece_sampling, quality, repeats
-from chronolith.llm.common import materialize, table
+from chronolith.llm.common import materialize, stage, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8), the smallest id."""
     kept = materialize(minhash.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id"), "kept-ids")
@@ -29,16 +34,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out
 
 
+@stage
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that a document with a smaller id has."""
     return repeats.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training order: every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+@stage
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every text."""
     return piece_sampling.encode(docs, piece_sampling.model_path(), k=2)
@@ -57,6 +65,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = materialize(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
