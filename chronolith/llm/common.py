@@ -139,7 +139,7 @@ def lean(run):
     def wrapped(batches):
         for k, out in enumerate(run(batches)):
             yield out
-            if k % 16 == 15:
+            if k % 4 == 3:
                 trim()
         trim()
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, lean, mix64, prepare, slices, utf8
 
 #: Units whose lattices a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 300_000
+MEMORY = 150_000
 LONGEST = 16
 SPACE = "▁"
 _LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
@@ -117,10 +117,9 @@ class Lattices:
         self.next = np.zeros(4096, np.int32)
 
     def _room(self, nodes: int, edges: int) -> None:
-        while self.nodes + nodes + 1 > len(self.first):
-            self.first = np.resize(self.first, 2 * len(self.first))
-        while self.edges + edges > len(self.cum):
-            self.cum, self.logp, self.rest, self.token, self.next = (np.resize(x, 2 * len(x)) for x in (self.cum, self.logp, self.rest, self.token, self.next))
+        more = lambda x, need: x if need <= len(x) else np.resize(x, max(need, len(x) * 5 // 4))
+        self.first = more(self.first, self.nodes + nodes + 1)
+        self.cum, self.logp, self.rest, self.token, self.next = (more(x, self.edges + edges) for x in (self.cum, self.logp, self.rest, self.token, self.next))
 
     def learn(self, units: list[bytes], hashes: np.ndarray) -> None:
         """Build the lattices of new units: edges, backward sums by distance from the end, probabilities."""
