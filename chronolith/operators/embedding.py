@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -148,65 +149,132 @@ def latent(scaled: DataFrame, columns: Sequence[str], net: dict[str, np.ndarray]
     return scaled.select(*KEYS, *names).mapInPandas(run, f"subject_id string, date date, {', '.join(f'{prefix}_{k} double' for k in (1, 2, 3))}")
 
 
+def nearest(x: np.ndarray, k: int, block_cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest other rows of every row and their distances, nearest first. All pairs are compared, a block of
+    rows at a time, so memory is linear in the rows and time is not."""
+    n = len(x)
+    x = x - x.mean(axis=0)
+    norm = (x**2).sum(axis=1)
+    index, dist = np.empty((n, k), np.int64), np.empty((n, k))
+    step = max(1, block_cells // n)
+    for at in range(0, n, step):
+        rows = np.arange(at, min(n, at + step))
+        d = norm[None] - 2 * x[rows] @ x.T
+        d[np.arange(len(rows)), rows] = np.inf
+        near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k], axis=1)
+        exact = np.sqrt(((x[rows][:, None] - x[near]) ** 2).sum(axis=2))
+        order = np.argsort(exact, axis=1, kind="stable")
+        index[rows], dist[rows] = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
+    return index, dist
+
+
+def repulsion(y: np.ndarray, nodes: int = 3, boxes: int = 20, direct: int = 1500) -> tuple[np.ndarray, float]:
+    """Of every point, the sum of (y_i - y_j) / (1 + d^2)^2 over all others, and the sum of 1 / (1 + d^2) over all pairs.
+
+    Up to ``direct`` points are summed pair by pair. Beyond, both are sums of one kernel, interpolated on a grid and
+    convolved by Fourier transform (Linderman et al. 2019), so all points push all others in linear time.
+    """
+    n, low = len(y), y.min(axis=0)
+    if n <= direct:
+        a, b = y[:, :1] - y[None, :, 0], y[:, 1:] - y[None, :, 1]
+        k = 1 / (1 + a * a + b * b)
+        total = float(k.sum()) - n
+        k *= k
+        return np.stack([(a * k).sum(axis=1), (b * k).sum(axis=1)], axis=1), max(total, 1e-12)
+    span = max(float((y.max(axis=0) - low).max()), 1e-12)
+    boxes = max(boxes, math.ceil(span))
+    boxes += -boxes % 10
+    m, width = boxes * nodes, span / boxes
+    h = width / nodes
+    box = np.minimum((y - low) // width, boxes - 1).astype(np.int64)
+    inside = (y - low - box * width) / h - 0.5
+    weight = np.stack([np.prod([(inside - j) / (i - j) for j in range(nodes) if j != i], axis=0) for i in range(nodes)])
+    charges = np.stack([np.ones(n), y[:, 0], y[:, 1], (y**2).sum(axis=1)])
+    pairs = [(a, b, (box[:, 0] * nodes + a) * m + box[:, 1] * nodes + b, weight[a, :, 0] * weight[b, :, 1]) for a in range(nodes) for b in range(nodes)]
+    grid = np.zeros((4, m * m))
+    for _, _, cell, w in pairs:
+        for c in range(4):
+            grid[c] += np.bincount(cell, w * charges[c], m * m)
+    size = 2 * m
+    offset = np.minimum(np.arange(size), size - np.arange(size)) * h
+    kernel = np.fft.rfft2((1 + offset[:, None] ** 2 + offset[None] ** 2) ** -2)
+    felt = np.empty((4, n))
+    for c in range(4):
+        field = np.fft.irfft2(np.fft.rfft2(grid[c].reshape(m, m), (size, size)) * kernel, (size, size))[:m, :m].ravel()
+        felt[c] = sum(field[cell] * w for _, _, cell, w in pairs)
+    push = y * felt[0][:, None] - felt[1:3].T
+    total = ((1 + charges[3]) * felt[0] - 2 * (y[:, 0] * felt[1] + y[:, 1] * felt[2]) + felt[3]).sum()
+    held = np.stack([w for *_, w in pairs])
+    apart = np.array([[(1 + ((a - c) ** 2 + (b - e) ** 2) * h * h) ** -2 for c, e, *_ in pairs] for a, b, *_ in pairs])
+    total -= (held * (apart @ held)).sum()  # each point's interpolated pair with itself
+    return push, max(float(total), 1e-12)
+
+
 def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, steps: int = 500) -> np.ndarray:
-    """Exact t-SNE in two dimensions (van der Maaten, Hinton 2008), for some thousands of points on the driver."""
+    """t-SNE in two dimensions (van der Maaten, Hinton 2008) of all rows: attraction among the 3 * perplexity nearest
+    (van der Maaten 2014), repulsion among all."""
     n = len(x)
     if n < 3:
         raise ValueError("a map needs three rows")
     perplexity = min(perplexity, max(2.0, (n - 1) / 3))
-    d = np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0)
-    p = np.zeros((n, n))
-    for i in range(n):
-        low, high, beta = 0.0, np.inf, 1.0
-        others = np.arange(n) != i
-        for _ in range(50):
-            e = np.exp(-(d[i, others] - d[i, others].min()) * beta)
-            q = e / e.sum()
-            gap = -(q * np.log(q + 1e-300)).sum() - np.log(perplexity)
-            if abs(gap) < 1e-5:
-                break
-            low, high = (beta, high) if gap > 0 else (low, beta)
-            beta = beta * 2 if high == np.inf else (low + high) / 2
-        p[i, others] = q
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    near, d = nearest(x, min(n - 1, math.ceil(3 * perplexity)))
+    d = d**2 - d[:, :1] ** 2
+    low, high, beta = np.zeros((n, 1)), np.full((n, 1), np.inf), np.ones((n, 1))
+    for _ in range(50):
+        e = np.exp(-d * beta)
+        q = e / e.sum(axis=1, keepdims=True)
+        flat = -(q * np.log(q + 1e-300)).sum(axis=1, keepdims=True) > np.log(perplexity)
+        low, high = np.where(flat, beta, low), np.where(flat, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    p = q / (2 * n)
     y = np.random.default_rng(seed).normal(0, 1e-4, (n, 2))
-    speed, gain = np.zeros_like(y), np.ones_like(y)
+    speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(200.0, n / 48)
     for t in range(steps):
-        num = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(num, 0)
-        q = np.maximum(num / num.sum(), 1e-12)
-        pull = (p * (12 if t < 100 else 1) - q) * num
-        grad = 4 * (np.diag(pull.sum(axis=1)) - pull) @ y
+        gap = y[:, None] - y[near]
+        gap *= (p * (12 if t < 100 else 1) / (1 + (gap**2).sum(axis=2)))[:, :, None]
+        pull = gap.sum(axis=1) - np.stack([np.bincount(near.ravel(), gap[:, :, c].ravel(), n) for c in (0, 1)], axis=1)
+        push, total = repulsion(y)
+        grad = 4 * (pull - push / total)
         gain = np.maximum(np.where(np.sign(grad) != np.sign(speed), gain + 0.2, gain * 0.8), 0.01)
-        speed = (0.5 if t < 250 else 0.8) * speed - 200 * gain * grad
+        speed = (0.5 if t < 250 else 0.8) * speed - rate * gain * grad
         y = y + speed - (y + speed).mean(axis=0)
     return y
 
 
+def _spectral(rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, n: int, rng: np.random.Generator, steps: int = 200) -> np.ndarray:
+    """The second and third eigenvectors of a graph's normalised Laplacian, by subspace iteration."""
+    add = lambda v: np.bincount(rows, weight * v[cols], n) + np.bincount(cols, weight * v[rows], n)
+    degree = np.sqrt(np.maximum(add(np.ones(n)), 1e-12))
+    walk = lambda v: (v + add(v / degree) / degree) / 2
+    q = np.linalg.qr(np.column_stack([degree, rng.normal(size=(n, min(n, 8) - 1))]))[0]
+    for _ in range(steps):
+        q = np.linalg.qr(np.column_stack([walk(v) for v in q.T]))[0]
+    values, turn = np.linalg.eigh(q.T @ np.column_stack([walk(v) for v in q.T]))
+    return (q @ turn)[:, np.argsort(-values, kind="stable")[1:3]]
+
+
 def neighbour_map(x: np.ndarray, neighbours: int = 15, seed: int = 42, epochs: int = 200) -> np.ndarray:
-    """A UMAP-style map (McInnes, Healy, Melville 2018): fuzzy neighbour graph, spectral start, sampled attraction."""
+    """A UMAP-style map (McInnes, Healy, Melville 2018) of all rows: fuzzy neighbour graph, spectral start, sampled
+    attraction."""
     n = len(x)
     if n < 3:
         raise ValueError("a map needs three rows")
     k = min(neighbours, n - 1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
-    near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
-    dist = np.take_along_axis(d, near, axis=1)
+    near, dist = nearest(x, k)
     rho = dist[:, :1]
     low, high = np.full((n, 1), 1e-9), np.full((n, 1), 1e3)
     for _ in range(60):
         mid = (low + high) / 2
         over = np.exp(-np.maximum(dist - rho, 0) / mid).sum(axis=1, keepdims=True) > np.log2(max(k, 2))
         low, high = np.where(over, low, mid), np.where(over, mid, high)
-    graph = np.zeros((n, n))
-    np.put_along_axis(graph, near, np.exp(-np.maximum(dist - rho, 0) / ((low + high) / 2)), axis=1)
-    graph = graph + graph.T - graph * graph.T
-    degree = np.sqrt(np.maximum(graph.sum(axis=1), 1e-12))
-    _, vectors = np.linalg.eigh(np.eye(n) - graph / degree[:, None] / degree[None])
+    weight = np.exp(-np.maximum(dist - rho, 0) / ((low + high) / 2)).ravel()
+    here, there = np.repeat(np.arange(n), k), near.ravel()
+    edges, edge = np.unique(np.minimum(here, there) * n + np.maximum(here, there), return_inverse=True)
+    rows, cols = edges // n, edges % n
+    weight = 1 - np.exp(np.bincount(edge, np.log(np.maximum(1 - weight, 1e-300)), len(edges)))
     rng = np.random.default_rng(seed)
-    y = vectors[:, 1:3] * 10 / max(1e-9, np.abs(vectors[:, 1:3]).max()) + rng.normal(0, 1e-4, (n, 2))
-    rows, cols = np.nonzero(np.triu(graph))
-    weight = graph[rows, cols]
+    start = _spectral(rows, cols, weight, n, rng)
+    y = start * 10 / max(1e-9, np.abs(start).max()) + rng.normal(0, 1e-4, (n, 2))
     for t in range(epochs):
         rate = 1 - t / epochs
         use = rng.random(len(rows)) < weight / weight.max()
@@ -223,9 +291,10 @@ def neighbour_map(x: np.ndarray, neighbours: int = 15, seed: int = 42, epochs: i
     return y
 
 
-def mapped(coordinates: DataFrame, columns: Sequence[str], kind: str, seed: int = 42, rows: int = 5000) -> DataFrame:
-    """Keys and two coordinates of a t-SNE or neighbour map of at most ``rows`` rows (a map is for looking at)."""
-    frame = coordinates.orderBy(*KEYS).limit(rows).toPandas()
+def mapped(coordinates: DataFrame, columns: Sequence[str], kind: str, seed: int = 42) -> DataFrame:
+    """Keys and two coordinates of a t-SNE or neighbour map of every row. A map is made of all rows together, on the
+    driver, in memory linear in them."""
+    frame = coordinates.orderBy(*KEYS).toPandas()
     x = frame[list(columns)].to_numpy(np.float64)
     y = tsne(x, seed=seed) if kind == "tsne" else neighbour_map(x, seed=seed)
     out = pd.DataFrame({"subject_id": frame["subject_id"], "date": frame["date"], f"{kind}_1": y[:, 0], f"{kind}_2": y[:, 1]})

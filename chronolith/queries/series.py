@@ -272,15 +272,14 @@ def autoencoder_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tsne_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A map is a picture of some hundreds of points; the row bound is the operator's documented parameter."""
     s = _scaled(spark, sf_dir)
-    return rounded(embedding.mapped(s.select("subject_id", "date", *_DIMS), _DIMS, "tsne", rows=300), 3)
+    return rounded(embedding.mapped(s.select("subject_id", "date", *_DIMS), _DIMS, "tsne"), 3)
 
 
 @query()
 def umap_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scaled(spark, sf_dir)
-    return rounded(embedding.mapped(s.select("subject_id", "date", *_DIMS), _DIMS, "umap", rows=300), 3)
+    return rounded(embedding.mapped(s.select("subject_id", "date", *_DIMS), _DIMS, "umap"), 3)
 
 
 _CLUSTERS = [(0.5, 0.5, 0.2, 0.3, 0.05, 0.6, 1.0), (-0.5, -0.25, 0.25, 0.2, -0.05, 0.4, -1.0)]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from chronolith.functions import schema
 from chronolith.operators import calendar, daily, embedding, forecast, insight, intervals, relational, scores, stationarity, trajectory
 from chronolith.plans import export, ingest, model
@@ -160,6 +161,34 @@ def test_maps_need_three_rows():
         assert np.isfinite(f(np.random.default_rng(0).normal(size=(30, 3)))).all()
 
 
+def test_maps_hold_every_row(spark):
+    d = spark.range(5101).select(F.lit("a").alias("subject_id"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.sin("id").alias("x"), F.cos(F.col("id") * 3).alias("y"))
+    got = embedding.mapped(d, ["x", "y"], "umap")
+    assert got.count() == 5101 == got.select("subject_id", "date").distinct().count()
+    for name in ("tsne_map", "umap_map"):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() == 500
+
+
+def test_map_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    index, dist = embedding.nearest(x, 15, block_cells=4000)
+    assert (index == np.argsort(d, axis=1)[:, :15]).all() and np.allclose(dist, np.sort(d, axis=1)[:, :15])
+    for scale in (1e-4, 1.0, 40.0):
+        y = rng.normal(size=(400, 2)) * scale
+        gap = y[:, None] - y[None]
+        k = 1 / (1 + (gap**2).sum(axis=2))
+        push, total = embedding.repulsion(y, direct=0)
+        want = (gap * (k**2)[:, :, None]).sum(axis=1)
+        assert abs(total - (k.sum() - 400)) < 0.01 * (k.sum() - 400) and ((push - want) ** 2).mean() < 0.06**2 * (want**2).mean()
+    parts = np.vstack([rng.normal(size=(100, 4)), rng.normal(size=(100, 4)) + 30])
+    for f in (embedding.tsne, embedding.neighbour_map):
+        near, _ = embedding.nearest(f(parts), 5)
+        assert ((near < 100) == (np.arange(200) < 100)[:, None]).mean() > 0.98
+
+
 def test_autoencoder_learns(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=(300, 2))
