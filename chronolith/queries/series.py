@@ -161,7 +161,7 @@ def ridge_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir)), horizons=(1, 7)).dropna()
+    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir))).dropna()
     found = trajectory.ridge(rows)
     out = [(h, a, i, float(w)) for h, m in found.items() for a, (ws, _) in m.items() for i, w in enumerate(ws)]
     return rounded(spark.createDataFrame(out, "horizon int, axis string, term int, weight double"), 4)
@@ -186,12 +186,12 @@ def band_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def trajectory_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     positioned = trajectory.positions(_axes(spark, sf_dir))
-    return rounded(trajectory.forecast(positioned, trajectory.fit(positioned, horizons=(1, 7, 14))), 4)
+    return rounded(trajectory.forecast(positioned, trajectory.fit(positioned)), 4)
 
 
 @query()
 def gmm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = trajectory.clusters(trajectory.positions(_axes(spark, sf_dir)), most=3)
+    _, found = trajectory.clusters(trajectory.positions(_axes(spark, sf_dir)))
     rows = [(float(c["center"][0]), float(c["center"][1]), float(c["weight"]), c["kind"]) for c in found]
     return rounded(spark.createDataFrame(rows, "x double, y double, weight double, kind string"), 3)
 
@@ -267,7 +267,7 @@ def pca_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def autoencoder_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scaled(spark, sf_dir)
-    return rounded(embedding.latent(s, _DIMS, embedding.autoencoder(s, _DIMS, epochs=20)), 4)
+    return rounded(embedding.latent(s, _DIMS, embedding.autoencoder(s, _DIMS)), 4)
 
 
 @query()

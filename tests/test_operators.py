@@ -189,6 +189,18 @@ def test_map_sums_are_those_of_all_pairs():
         assert ((near < 100) == (np.arange(200) < 100)[:, None]).mean() > 0.98
 
 
+def test_series_queries_do_the_whole_job(spark, monkeypatch):
+    sf, queries = "/root/testdata/sf0.001", __spark_entry__.queries()
+    made = queries["trajectory_forecast"](spark, sf).groupBy("subject_id").agg(F.sort_array(F.collect_list("horizon")).alias("h")).collect()
+    assert made and all(r.h == list(range(1, 31)) for r in made)
+    assert {r.horizon for r in queries["ridge_coefficients"](spark, sf).select("horizon").collect()} == set(range(1, 31))
+    asked = {}
+    monkeypatch.setattr(trajectory, "clusters", lambda d, **k: (None, asked.update(most=k) or [{"center": [0.0, 0.0], "weight": 1.0, "kind": "healthy"}]))
+    monkeypatch.setattr(embedding, "autoencoder", lambda s, c, **k: asked.update(epochs=k) or {f"{n}{i}": np.zeros(z) for i, (a, b) in enumerate([(8, 8), (8, 3), (3, 8), (8, 4)]) for n, z in (("w", (a, b)), ("b", b))})
+    queries["gmm_clusters"](spark, sf), queries["autoencoder_latent"](spark, sf)
+    assert asked == {"most": {}, "epochs": {}}
+
+
 def test_autoencoder_learns(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=(300, 2))
