@@ -82,35 +82,37 @@ def reconstruction_errors(scaled: DataFrame, rebuilt: DataFrame, columns: Sequen
     return long.groupBy("feature").agg(*measures).unionByName(long.agg(*measures).select(F.lit("all").alias("feature"), "rmse", "mae", "n"))
 
 
-def autoencoder(scaled: DataFrame, columns: Sequence[str], seed: int = 42, epochs: int = 200, patience: int = 15, sample_rows: int = 20_000) -> dict[str, np.ndarray]:
-    """A denoising autoencoder with three latent units, trained on at most ``sample_rows`` rows (a documented bound).
+def autoencoder(scaled: DataFrame, columns: Sequence[str], seed: int = 42, epochs: int = 200, patience: int = 15) -> dict[str, np.ndarray]:
+    """A denoising autoencoder with three latent units, trained in mini-batches over every row, which the driver holds.
 
     Input is the scaled columns and their masks; three noisy copies with 15 % of cells dropped; hidden layers (w, 3, w),
     Adam, early stopping on a tenth of the rows.
     """
     names = [*columns, *[f"observed__{c}" for c in columns]]
-    x = scaled.select(*names).orderBy(F.xxhash64(*KEYS)).limit(sample_rows).toPandas().to_numpy(np.float64)
+    x = scaled.select(*names).orderBy(F.xxhash64(*KEYS)).toPandas().to_numpy(np.float64)
     rng = np.random.default_rng(seed)
     p = len(columns)
     w = int(np.clip(2 * p, 8, 64))
-    noisy = []
-    for _ in range(3):
-        drop = rng.random((len(x), p)) < 0.15
-        noisy.append(np.hstack([np.where(drop, 0.0, x[:, :p]), x[:, p:] * ~drop]))
-    data, goal = np.vstack(noisy), np.vstack([x[:, :p]] * 3)
+    dropped = np.stack([rng.random((len(x), p)) < 0.15 for _ in range(3)]).reshape(-1, p)
+
+    def noisy(copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, drop = x[copies % len(x)], dropped[copies]
+        return np.hstack([np.where(drop, 0.0, rows[:, :p]), rows[:, p:] * ~drop]), rows[:, :p]
+
     sizes = [2 * p, w, 3, w, p]
     net = {}
     for i, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
         net[f"w{i}"], net[f"b{i}"] = rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
-    order = rng.permutation(len(data))
+    order = rng.permutation(len(dropped))
     held, fitted = order[: max(1, len(order) // 10)], order[max(1, len(order) // 10) :]
     best, kept, waited, step = np.inf, net, 0, 0
     for _ in range(epochs):
         rng.shuffle(fitted)
         for batch in np.array_split(fitted, max(1, len(fitted) // 200)):
-            acts = forward(net, data[batch])
-            grad = 2 * (acts[-1] - goal[batch]) / max(1, acts[-1].size)
+            data, goal = noisy(batch)
+            acts = forward(net, data)
+            grad = 2 * (acts[-1] - goal) / max(1, acts[-1].size)
             step += 1
             for i in range(3, -1, -1):
                 gw, gb = acts[i].T @ grad, grad.sum(axis=0)
@@ -122,7 +124,8 @@ def autoencoder(scaled: DataFrame, columns: Sequence[str], seed: int = 42, epoch
                     net[name] = net[name] - 1e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
                 if i:
                     grad = back
-        loss = float(((forward(net, data[held])[-1] - goal[held]) ** 2).mean())
+        parts = (noisy(part) for part in np.array_split(held, max(1, len(held) // 10_000)))
+        loss = sum(float(((forward(net, data)[-1] - goal) ** 2).sum()) for data, goal in parts) / (len(held) * p)
         best, kept, waited = (loss, {k: v.copy() for k, v in net.items()}, 0) if loss < best - 1e-5 else (best, kept, waited + 1)
         if waited >= patience:
             break

@@ -76,13 +76,13 @@ def contributions(positioned: DataFrame, axis: str, parts: Mapping[str, int], ke
     return long.groupBy("subject_id", "date", "axis", "factor").agg(F.sum("value").alias("value"))
 
 
-def clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, most: int = 6, seed: int = 42, sample_rows: int = 50_000) -> tuple[object, list[dict]]:
+def clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, most: int = 6, seed: int = 42) -> tuple[object, list[dict]]:
     """The Gaussian mixture of 2 to ``most`` components with the least BIC, and its components.
 
-    Fitted on at most ``sample_rows`` rows, a bound for the iterative fit; every row can be scored with the model.
+    Fitted on every row that has a position on all axes.
     """
     columns = [f"{a}_position" for a in axes]
-    data = positioned.dropna(subset=columns).orderBy(F.xxhash64("subject_id", "date")).limit(sample_rows)
+    data = positioned.dropna(subset=columns).orderBy(F.xxhash64("subject_id", "date"))
     x = VectorAssembler(inputCols=columns, outputCol="x").transform(data).select("x").persist()
     n = x.count()
     best = (math.inf, None)

@@ -40,7 +40,7 @@ def scan(spark: SparkSession, root: str, stub_dir: str) -> dict[str, list[str]]:
     found = {}
     for p in inputs:
         names = dispatch.SOURCE_NAMES[dispatch.source_format(p)](spark, str(p))
-        found[str(p.relative_to(root))] = sorted(r.source_name for r in identity.unmatched(names, "source_name").limit(500).collect())
+        found[str(p.relative_to(root))] = sorted(r.source_name for r in identity.unmatched(names, "source_name").collect())
     return found
 
 

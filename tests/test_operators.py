@@ -201,6 +201,19 @@ def test_series_queries_do_the_whole_job(spark, monkeypatch):
     assert asked == {"most": {}, "epochs": {}}
 
 
+def test_models_are_fitted_on_every_row(spark, monkeypatch):
+    seen = []
+    at = F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("date")
+    monkeypatch.setattr(trajectory.GaussianMixture, "fit", lambda self, x: seen.append(x.count()) or type("m", (), {"summary": type("s", (), {"logLikelihood": math.nan})}))
+    assert trajectory.clusters(spark.range(50_003).select(F.lit("a").alias("subject_id"), at, *[F.rand(1).alias(f"{a}_position") for a in trajectory.AXIS_NAMES]), most=2) == (None, [])
+    assert seen == [50_003]
+    split = embedding.forward
+    rows = []
+    monkeypatch.setattr(embedding, "forward", lambda net, x: rows.append(len(x)) or split(net, x))
+    embedding.autoencoder(spark.range(20_003).select(F.lit("a").alias("subject_id"), at, F.rand(1).alias("x"), F.lit(1.0).alias("observed__x")), ["x"], epochs=1)
+    assert sum(rows) == 3 * 20_003
+
+
 def test_autoencoder_learns(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=(300, 2))

@@ -123,5 +123,12 @@ def test_parse_and_scan(spark, root, tmp_path):
     assert set(out.columns) == set(schema.COLUMNS) and {r.subject_id for r in out.select("subject_id").distinct().collect()} == {"subject_a", "subject_b", "subject_p"}
 
 
+def test_scan_lists_every_name(spark, tmp_path, monkeypatch):
+    (tmp_path / "in/ours").mkdir(parents=True)
+    (tmp_path / "in/ours/a.xml").write_text("<HealthData/>")
+    monkeypatch.setitem(dispatch.SOURCE_NAMES, "apple_xml", lambda spark, path: spark.range(601).selectExpr("concat('gadget ', id) AS source_name"))
+    assert len(ingest.scan(spark, str(tmp_path / "in"), str(tmp_path / "stubs"))["ours/a.xml"]) == 601
+
+
 def test_inventory(spark, root):
     assert inventory.files(spark, str(root / "ours")).count() == 3
