@@ -256,6 +256,19 @@ def test_pages():
     assert html_extract.main_text("plain words, only.") == "plain words, only."
 
 
+def test_pages_keep_what_only_looks_like_boilerplate():
+    para = "A sentence that is long enough, with commas, to be text of the article."
+    for tag in ("h2 id=related-work", "h2 id=search-algorithms", "h2 id=comments", "section id=social-history"):
+        page = f"<body><article><p>{para}</p><{tag}>Kept words</{tag.split()[0]}><p>{para}</p></article></body>"
+        assert "Kept words" in html_extract.main_text(page), tag
+    for open_, close in (("<article class=commentary>", "</article>"), ("<div class=promontory>", "</div>"), ("<form action=x>", "</form>"), ("<div class=notice>", "</div>")):
+        assert html_extract.main_text(f"<body>{open_}<p>{para}</p><p>{para}</p>{close}</body>") == f"{para}\n{para}", open_
+    assert "x + 1" in html_extract.main_text(f"<article><p>{para} <math><mi>x</mi> <mo>+</mo> <mn>1</mn></math></p></article>")
+    assert html_extract.main_text(f"<body><div class=ad>{para}</div><article><p>{'words ' * 99}</p></article></body>") == ("words " * 99).strip()
+    page = f"<body><article><p>{para}</p></article><div class=comments><p>{para * 3}</p><p>{para * 2}</p></div></body>"
+    assert html_extract.main_text(page) == para
+
+
 def test_quote_parsing():
     text = "Yes, I agree with that.\n\nOn Monday Ann wrote:\n> Shall we meet on Monday at noon?\n> > deeper quote here, old\n\nSee you."
     body, depth, lines, mine, theirs = quotes.parse(text)
