@@ -269,6 +269,19 @@ def test_pages_keep_what_only_looks_like_boilerplate():
     assert html_extract.main_text(page) == para
 
 
+def test_pages_without_article_keep_all_selected_text():
+    para = "A sentence that is long enough, with commas, to be text of the article."
+    long = f"<p>{para}</p>" * 12
+    for page, part in (
+        (f"<body><h1>Title</h1><div id=content>{long}</div></body>", "Title"),
+        (f"<body><div class=lead><p>The lead, which opens the story, is short.</p></div><div class=text>{long}</div></body>", "The lead, which"),
+        (f"<body><p>{para}</p><div>{para}</div><p>{para}</p><ul><li>closing item<li>another item</ul></body>", "closing item\nanother item"),
+        (f"<body><p>{para}</p><div>{para}</div><p>{para}</p><pre>x = 1</pre></body>", "x = 1"),
+    ):
+        assert part in html_extract.main_text(page), part
+        assert html_extract.main_text(page).count(para) == page.count(para)
+
+
 def test_quote_parsing():
     text = "Yes, I agree with that.\n\nOn Monday Ann wrote:\n> Shall we meet on Monday at noon?\n> > deeper quote here, old\n\nSee you."
     body, depth, lines, mine, theirs = quotes.parse(text)
