@@ -37,7 +37,9 @@ TAG = "spdx license identifier"
 #: Licence ids by the start of their name, and whether reuse is permissive.
 FAMILIES = (("agpl", "agpl", False), ("lgpl", "lgpl", False), ("gpl", "gpl", False), ("apache", "apache", True), ("mit", "mit", True), ("bsd", "bsd", True), ("mpl", "mpl", False), ("epl", "epl", False), ("isc", "isc", True), ("cc-by-sa", "cc-by-sa", False), ("cc-by-nc", "cc-by-nc", False), ("cc-by", "cc-by", True), ("cc0", "cc0", True), ("unlicense", "unlicense", True), ("zlib", "zlib", True), ("bsl", "bsl", True))
 _TAG_LINE = re.compile(rb"spdx[^0-9a-z\n\x80-\xff]+license[^0-9a-z\n\x80-\xff]+identifier[^0-9a-z(\n\x80-\xff]*([^\n]*)", re.I)
-_TOKEN = re.compile(r"\s*(\(|\)|[0-9a-z][0-9a-z.+-]*)")
+_TOKEN = re.compile(r"\s*(\(|\)|(?:documentref-[0-9a-z.-]+:)?[0-9a-z][0-9a-z.+-]*)")
+#: What a tag says where there is no licence to name.
+_NO_ID = frozenset(("none", "noassertion"))
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -64,7 +66,7 @@ def postfix(expression: str) -> list[str] | None:
             if token == "(":
                 waiting.append(token)
                 continue
-            if token in _PRECEDENCE or token == ")" or not (family(token) or waiting[-1:] == ["with"]):
+            if token in _PRECEDENCE or token == ")" or token in _NO_ID:
                 break
             output.append(token)
             operand_next = False
@@ -87,7 +89,8 @@ def postfix(expression: str) -> list[str] | None:
 def evaluate(steps: list[str]) -> tuple[set[str], bool]:
     """Labels of an expression in postfix order, and whether its reader may choose permissive terms only.
 
-    ``or`` lets the reader choose, ``and`` binds to both sides, ``with`` keeps its licence's label.
+    ``or`` lets the reader choose, ``and`` binds to both sides, ``with`` keeps its licence's label. An id of no known
+    family is labelled by its own name and not taken as permissive.
     """
     stack: list[tuple[set[str], bool]] = []
     for s in steps:
@@ -99,7 +102,7 @@ def evaluate(steps: list[str]) -> tuple[set[str], bool]:
                 stack.append((a_labels | b_labels, a_free or b_free if s == "or" else a_free and b_free))
         else:
             known = family(s)
-            stack.append(({known[0]} if known else set(), bool(known and known[1])))
+            stack.append(({known[0] if known else s.rstrip("+")}, bool(known and known[1])))
     return stack[0]
 
 
@@ -145,6 +148,8 @@ class Scanner:
                     free = ok if free is None else free and ok
                     found.append(" ".join(steps))
                     doubt *= 1 - TAG_WEIGHT
+            if not found:
+                doubt *= 1 - TAG_WEIGHT
         at = [flat.count(b" ", 0, p + 1) - 1 for p in (min(places), max(places))] if places else [None, None]
         return flat.count(b" ") - 1, len(places), *at, ",".join(sorted(base)), ",".join(sorted(base | labels)), round(1 - doubt, 6), free, found
 

@@ -246,6 +246,16 @@ def test_licence_tag_adds_labels():
     assert got[4] == "cc-by" and got[5] == "apache,cc-by,mit" and got[7] is True
 
 
+def test_licence_ids_of_no_known_family():
+    scan = licenses.Scanner().scan
+    for name in ("CDDL-1.0", "OFL-1.1", "Artistic-2.0", "EUPL-1.2", "LicenseRef-Own", "DocumentRef-a:LicenseRef-b"):
+        got = scan(f"// SPDX-License-Identifier: {name} */".encode())
+        assert got[5:] == (name.lower(), 0.95, False, [name.lower()]) and got[4] == ""
+        assert scan(f"# SPDX-License-Identifier: MIT AND {name}".encode())[7:] == (False, [f"mit {name.lower()} and"])
+        assert scan(f"# SPDX-License-Identifier: {name} OR MIT".encode())[7] is True
+    assert scan(b"SPDX-License-Identifier: NOASSERTION")[5:] == ("", 0.95, None, [])
+
+
 def test_pages():
     page = '<html><body class="has-sidebar"><header><div>Site</div></header><nav>Menu</nav><div id="cookie-notice">We use cookies.</div><main><article><h1>Title &amp; more</h1><p>First  para, with <a href=x>link</a> text.\n Yes.</p><p>Second one.<ul><li>item a<li>item b</ul><div class="ad">Buy now!</div><form>Email <input></form><script>var t="</p>";</script></article><section class="comments"><article class="comment"><p>Nice article, thanks a lot.</p></article></section></main><aside>More.</aside><footer>c</footer>'
     assert html_extract.main_text(page) == "Title & more\nFirst para, with link text. Yes.\nSecond one.\nitem a\nitem b"
