@@ -263,6 +263,20 @@ def test_quotation_links(spark):
     assert got[(1, 1)].formatted == "<|assistant|>\nYes, Monday suits me well.\n"
 
 
+def test_quotation_links_of_deep_short_and_part_quotes(spark):
+    rows = [
+        (1, 0, "user", "Where do we meet this time? I will bring the cake to the station."),
+        (1, 1, "assistant", "ok, Monday"),
+        (1, 2, "user", "> ok, Monday\nGood."),
+        (1, 3, "user", "> > Where do we meet this time? I will bring the cake to the station.\nAt noon."),
+        (2, 0, "user", "> I will bring the cake to the station.\nWhich cake is it?"),
+        (3, 0, "user", "> ok, Monday\nNo answer to another conversation."),
+        (1, 4, "user", "> ok, Monday\n> > Where do we meet this time? I will bring the cake to the station.\nFine."),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): (None, None), (1, 1): (None, None), (1, 2): (1, 1), (1, 3): (1, 0), (2, 0): (1, 0), (3, 0): (None, None), (1, 4): (1, 1)}
+
+
 def test_decoding(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(30)
     model = piece_sampling.model_path()
