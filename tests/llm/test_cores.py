@@ -1,6 +1,7 @@
 """NumPy cores against brute force."""
 
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -292,6 +293,63 @@ def test_pages_without_article_keep_all_selected_text():
         assert html_extract.main_text(page).count(para) == page.count(para)
 
 
+def test_pages_whose_names_say_little():
+    para = "A sentence that is long enough, with commas, to be text of the article."
+    two = f"<p>{para}</p><p>{para}</p>"
+    for page in (f"<main class='social'>{two}</main>", f"<div class='content related-post'><article>{two}</article></div>", f"<form>{two}<div class=comments><p>{para}</p></div></form>"):
+        assert html_extract.main_text(f"<body><nav>Menu</nav>{page}</body>") == f"{para}\n{para}", page
+    inside = f"<article><p>{para}</p><ul class='menu-items'><li>soup<li>fish</ul><div id='notice'>{para} And some more words, it is long.</div>{two}</article>"
+    assert "soup\nfish" in html_extract.main_text(inside)
+    assert html_extract.main_text(f"<p>text <button>Share</button><span hidden>never</span>goes on</p><p>{para}</p>") == f"text goes on\n{para}"
+    assert html_extract.main_text(f"<p><b>{para}<p>{para}</b> and more</p>") == f"{para}\n{para} and more"
+    assert html_extract.main_text("&#" + "9" * 5000 + ";&#00000065;&#x000000042;") == "\ufffdAB"
+    assert html_extract.main_text("<![CDATA[a &amp; b]]> &lt;") == "a &amp; b <"
+
+
+def brute_scores(path, chars, marks):
+    """Ratios, sums and smoothing by plain loops."""
+    rows = {}
+    for p, c, m in zip(path, chars, marks, strict=True):
+        rows.setdefault(p, []).append((c, m))
+    mean = lambda v: sum(v) / len(v)
+    score = [math.log(1 + mean([c for c, _ in rows[p]])) * math.log(2 + mean([m for _, m in rows[p]])) for p in path]
+    weight = [math.exp(-(d**2) / 2) for d in (-2, -1, 0, 1, 2)]
+    n = len(score)
+    fused = [s * sum(w * score[min(max(i + d, 0), n - 1)] for w, d in zip(weight, (-2, -1, 0, 1, 2), strict=True)) / sum(weight) for i, s in enumerate(score)]
+    m = mean(fused)
+    least = min(max(0.6 * math.sqrt(mean([(f - m) ** 2 for f in fused])), 0.2 * m), max(fused))
+    return score, fused, least
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 400), st.integers(0, 9)), min_size=1, max_size=30))
+def test_path_ratios_against_brute_force(rows):
+    path, chars, marks = (list(c) for c in zip(*rows, strict=True))
+    score = html_extract.path_scores(np.array(path), np.array(chars, float), np.array(marks, float))
+    want, fused, least = brute_scores(path, chars, marks)
+    assert np.allclose(score, want)
+    for got, f in zip(html_extract.selected(score).tolist(), fused, strict=True):
+        assert got == (f >= least) or abs(f - least) < 1e-9 * max(1.0, least)
+
+
+def test_paths_decide_where_no_element_is_the_article(monkeypatch):
+    para = "A sentence that is long enough, with commas, to be text of the article; it goes on and on, as they do."
+    page = f"<body><div>Short</div><div><span>By me</span></div><div class=x>{f'<p>{para}</p>' * 6}</div><div>Tail</div></body>"
+    assert html_extract.main_text(page) == "\n".join([para] * 6)
+    found = html_extract.parse(page)
+    tags = lambda i: tags(found.parent[i]) + [found.tag[i]] if i else []
+    assert [tags(h) for h in found.holder] == [["body", "div"]] * 2 + [["body", "div", "p"]] * 6 + [["body", "div"]]
+    monkeypatch.setattr(html_extract, "selected", lambda score: np.ones(len(score), bool))
+    assert html_extract.main_text(page) != "\n".join([para] * 6)
+
+
+@pytest.mark.parametrize("page", ["a <b " * 200_000, "<div>" * 200_000, "<div>x" * 50_000, '<b ">" ' * 140_000, '<b x=">" ' * 100_000, "<div>" + "<b>" * 50_000 + "<p></p>" * 50_000, "<div>" * 50_000 + "</x>" * 50_000, "<b " + "a" * 1_000_000 + ">", "&#" + "9" * 1_000_000, "<a>x" * 50_000, '<b style="' + "display " * 100_000 + '">x'])
+def test_long_and_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 8
+
+
 def test_quote_parsing():
     text = "Yes, I agree with that.\n\nOn Monday Ann wrote:\n> Shall we meet on Monday at noon?\n> > deeper quote here, old\n\nSee you."
     body, depth, lines, mine, theirs = quotes.parse(text)
