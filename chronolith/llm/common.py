@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text handled at once inside a Python worker. A single longer text is handled alone.
@@ -44,18 +46,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests, local mode)."""
+    """The cluster's shared folder; one of our own only in local mode, where none is set (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.get("CHRONOLITH_SHARED_DIR")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; executors would write to folders of their own")
         found = os.environ["CHRONOLITH_SHARED_DIR"] = tempfile.mkdtemp(prefix="chronolith-shared-")
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage. What nobody discards before
+    goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _TABLES.add(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.chronolith_path = path
@@ -208,29 +215,29 @@ class HashIndex:
             h, numbers, slot = h[left], numbers[left], (slot[left] + 1) & (self.slots - 1)
 
 
-class SpanHasher:
-    """64-bit hashes of any spans of a sequence of small numbers, by prefix sums of a polynomial."""
-
-    BASE = np.uint64(0xD1342543DE82EF95)
-    INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-
-    def __init__(self) -> None:
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def sums(self, letters: np.ndarray) -> np.ndarray:
-        """Prefix sums of already mixed letters."""
-        n = len(letters)
-        if len(self.powers) <= n:
-            self.powers, self.inverses = np.full(2 * n + 1, self.BASE), np.full(2 * n + 1, self.INVERSE)
-            for x in (self.powers, self.inverses):
-                x[0] = 1
-                np.multiply.accumulate(x, out=x)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters * self.powers[:n], out=out[1:])
-        return out
-
-    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
-
-
-LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def carried(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A hash carried on by one more number; for a given hash, different numbers give different results."""
+    return mix64(h * np.uint64(0x9E3779B97F4A7C15) + part)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of a text: eight bytes at a time, each mixed into what went before. Spans of one length up
+    to eight bytes never collide, others by chance only."""
+    size = ends - starts
+    words = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    h = mix64(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    h = carried(h, words[starts] & _LOW_BYTES[np.minimum(size, 8)])
+    for k in range(8, LONG_SPAN, 8):
+        live = np.flatnonzero((size > k) & (size <= LONG_SPAN))
+        if not len(live):
+            break
+        h[live] = carried(h[live], words[starts[live] + k] & _LOW_BYTES[np.minimum(size[live] - k, 8)])
+    view = memoryview(data)
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+    return h

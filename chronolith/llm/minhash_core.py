@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 
-from chronolith.llm.common import LETTERS, SpanHasher, mix64
+from chronolith.llm.common import carried, mix64, span_hashes
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
-_HASHER = SpanHasher()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of a text's words in order, A-Z lower-cased, words cut at ASCII white space."""
-    b = np.frombuffer(text.translate(_FOLD), np.uint8)
+    folded = text.translate(_FOLD)
+    b = np.frombuffer(folded, np.uint8)
     word = np.concatenate([[False], b != 32, [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
-    return _HASHER.spans(_HASHER.sums(LETTERS[b]), edge[::2], edge[1::2])
+    return span_hashes(folded, edge[::2], edge[1::2])
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -30,7 +30,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     k = min(size, n)
     acc = np.full(n - k + 1, np.uint64(0x51ED270B0A1F39C1 + k), np.uint64)
     for i in range(k):
-        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : n - k + 1 + i])
+        acc = carried(acc, h[i : n - k + 1 + i])
     acc.sort()
     keep = np.empty(len(acc), bool)
     keep[0] = True
@@ -83,5 +83,5 @@ def band_keys(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
     acc = np.zeros((len(sk), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     grid = sk[:, : bands * rows].reshape(len(sk), bands, rows)
     for r in range(rows):
-        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + grid[:, :, r])
+        acc = carried(acc, grid[:, :, r])
     return acc.view(np.int64)

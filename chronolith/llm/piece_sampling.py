@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, lean, mix64, prepare, slices, utf8
+from chronolith.llm.common import HashIndex, carried, lean, mix64, prepare, slices, span_hashes, utf8
 
 #: Units whose lattices a worker remembers; beyond it the memory is emptied and filled anew.
 MEMORY = 150_000
@@ -36,12 +37,6 @@ _LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
 _MARK = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ALL = 0xFFFFFFFFFFFFFFFF
-_CODES = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
-
-
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit letters of code points."""
-    return _CODES[codes] if not len(codes) or codes.max() < 1 << 16 else mix64(codes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -99,11 +94,14 @@ class Lattices:
             raise ValueError(f"the model has pieces across units: {crossing[:3]}")
         lengths = np.array([len(k) for k in keys])
         stops = np.cumsum(lengths)
-        self.hasher = SpanHasher()
-        sums = self.hasher.sums(_letters(np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)))
-        self.pieces = HashIndex(1 << 17)
-        self.pieces.insert(self.hasher.spans(sums, stops - lengths, stops), np.array(ids))
+        flat = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
         self.longest = int(lengths.max())
+        h = np.full(len(keys), _GOLD)
+        for k in range(self.longest):
+            live = lengths > k
+            h[live] = carried(h[live], flat[(stops - lengths)[live] + k].astype(np.uint64))
+        self.pieces = HashIndex(1 << 17)
+        self.pieces.insert(h, np.array(ids))
         self._reset()
 
     def _reset(self) -> None:
@@ -132,19 +130,21 @@ class Lattices:
         left = ends - np.arange(n)
         at = np.arange(n)
         from_node, size, piece = [], [], []
-        sums = self.hasher.sums(_letters(flat))
+        codes, h = flat.astype(np.uint64), np.full(n, _GOLD)
         single = np.zeros(n, bool)
         for k in range(1, self.longest + 1):
             starts = at[left >= k]
             if not len(starts):
                 break
-            found = self.pieces.find(self.hasher.spans(sums, starts, starts + k))
+            h = carried(h, codes[starts + k - 1])
+            found = self.pieces.find(h)
             hit = found >= 0
             from_node.append(starts[hit])
             size.append(np.full(int(hit.sum()), k))
             piece.append(found[hit])
             if k == 1:
                 single[starts[hit]] = True
+            h = h[left[starts] > k]
         # characters without a piece: their bytes, as a chain of nodes behind the others
         extra_from, extra_piece, extra_next = [], [], []
         for i in np.flatnonzero(~single).tolist():
@@ -218,7 +218,7 @@ class Lattices:
         own = np.ones(len(starts), bool)
         own[np.searchsorted(starts, between)] = False
         starts, ends = starts[own], ends[own]
-        h = self.hasher.spans(self.hasher.sums(LETTERS[b]), starts, ends)
+        h = span_hashes(data, starts, ends)
         at = self.known.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing) and live:
@@ -289,7 +289,6 @@ def _truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
 def sample(lattices: Lattices, texts: list[bytes], keys: list[int], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For every text up to k distinct segmentations, by falling perturbed log-probability: (ids, log-probability,
     perturbed log-probability, inclusion score)."""
-    texts = [t.replace(b"\xe2\x96\x81", b" ") for t in texts]
     roots, sizes = lattices.roots(texts)
     edge_to = np.cumsum(sizes)
     row_keys = mix64(np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64) + np.uint64(seed * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
@@ -394,14 +393,17 @@ DDL = "n_bytes long, round_trip boolean, samples array<struct<ids:array<int>,log
 _SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
 
 
-def encode(docs: DataFrame, model: str, k: int = 2, seed: int = 1, alpha: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, model: str, k: int = 2, seed: int = 1, alpha: float = 1.0, copy: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, round_trip, samples`` of every row: up to k distinct segmentations of its whole text.
 
-    ``round_trip`` tells that every segmentation decodes to the text. Null and empty texts have one empty segmentation.
-    A text with fewer segmentations than k gives them all, with inclusion score 1. Rows that repeat an id and a text get
-    the same samples; a null id has a key of its own; only ``doc_id`` and ``text`` are read; an empty table gives no rows.
+    ``round_trip`` tells that every segmentation decodes to the text, byte by byte (U+2581 is written in bytes, as no
+    piece has it). Null and empty texts have one empty segmentation. A text with fewer segmentations than k gives them
+    all, with inclusion score 1. Rows that repeat an id and a text get the same samples, unless ``copy`` names a column
+    of copy numbers (see ``numbered``), which then is part of the row's key; a null id has a key of its own; only
+    ``doc_id``, ``text`` and that column are read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
+    rows = docs.select("doc_id", "text", (F.col(copy) if copy else F.lit(0)).cast("long").alias("copy"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,11 +414,11 @@ def encode(docs: DataFrame, model: str, k: int = 2, seed: int = 1, alpha: float
         for batch in batches:
             for part in slices(batch, "text", 250_000):
                 texts = utf8(part.column("text"))
-                keys = [-1 if x is None else int(x) for x in part.column("doc_id").to_pylist()]
+                keys = [(-1 if x is None else int(x)) + (c or 0) * int(_GOLD) for x, c in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), strict=True)]
                 found = sample(lattices, texts, keys, k, seed)
                 same = []
                 for t, own in zip(texts, found, strict=True):
-                    want = b" " + t.replace(b"\xe2\x96\x81", b" ") if t else b""
+                    want = b" " + t if t else b""
                     same.append(all(lattices.decode(ids) == want for ids, *_ in own))
                 flat = [s for own in found for s in own]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32)))
@@ -424,7 +426,32 @@ def encode(docs: DataFrame, model: str, k: int = 2, seed: int = 1, alpha: float
                 samples = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(own) for own in found])]).astype(np.int32)), rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(same), samples], ["doc_id", "n_bytes", "round_trip", "samples"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {DDL}")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {DDL}")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, copy``: rows that repeat an id and a text numbered from 0, whatever the partitioning.
+
+    Null ids and texts are equal to each other; an empty table gives no rows. Only rows that are the same in both meet
+    in one task, which holds no more than a batch of them.
+    """
+    kinds = dict(docs.dtypes)
+    prepare(docs.sparkSession)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    ranged = keyed.repartition("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, number = None, 0
+        for batch in batches:
+            numbers = []
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                number = number + 1 if row == before else 0
+                before = row
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(numbers, pa.int64())], ["doc_id", "text", "copy"])
+
+    return ranged.mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, copy long")
 
 
 def decode(encoded: DataFrame, model: str, column: str = "ids") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import LETTERS, HashIndex, SpanHasher, lean, materialize, partitions, prepare, slices, utf8
+from chronolith.llm.common import HashIndex, lean, materialize, partitions, prepare, slices, span_hashes, utf8
 
 MAGIC = b"DAC1"
 #: Tokens of a block; a longer document has a block of its own.
@@ -59,7 +59,6 @@ class WordEncoder:
         self.spelled.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.hasher = SpanHasher()
         self._reset()
 
     def _reset(self) -> None:
@@ -125,7 +124,7 @@ class WordEncoder:
         end = ~space
         end[:-1] &= space[1:] | stop[1:]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        return starts, ends, self.hasher.spans(self.hasher.sums(LETTERS[b]), starts, ends)
+        return starts, ends, span_hashes(data, starts, ends)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and the number of ids of each."""

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronolith.llm import html_extract, licenses, piece_sampling, quality, quotes, repeats, token_store
-from chronolith.llm.common import HashIndex
+from chronolith.llm.common import HashIndex, span_hashes
 from chronolith.llm.crosspolytope import codes, hadamard, rotate
 from chronolith.llm.minhash_core import shingles, sketches
 from chronolith.llm.suffix_core import intervals, neighbour_lcp, suffix_array
@@ -110,6 +110,38 @@ def test_hash_index():
     assert (index.find(rng.integers(0, 2**63, 100).astype(np.uint64)) == -1).all()
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words that collide under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_span_hashes():
+    rng = np.random.default_rng(1)
+    data = bytes(rng.integers(97, 99, 4000).astype(np.uint8))
+    starts = rng.integers(0, 3900, 20_000)
+    ends = starts + np.where(rng.random(20_000) < 0.9, rng.integers(0, 30, 20_000), rng.integers(0, 100, 20_000))
+    seen = defaultdict(set)
+    for s, e, h in zip(starts.tolist(), ends.tolist(), span_hashes(data, starts, ends).tolist(), strict=True):
+        seen[data[s:e]].add(h)
+    assert all(len(v) == 1 for v in seen.values())
+    assert len({h for v in seen.values() for h in v}) == len(seen)
+    assert span_hashes(b"", np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+@pytest.mark.parametrize("n", [3, 6, 11, 12])
+def test_words_that_defeat_polynomial_hashes(lattices, n):
+    x, y = thue_morse(n)
+    encoder = token_store.WordEncoder(token_store.tokenizer_path("word_bpe_49k.json"))
+    for t in (x, y):
+        assert encoder.encode([t.encode()])[0].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert not set(shingles(x.encode(), 3).tolist()) & set(shingles(y.encode(), 3).tolist())
+    u, v = (" ".join(f"{'x' if c == 'a' else 'y'}" for c in t) for t in (x, y))
+    assert len(shingles(u.encode(), len(x))) == 1 and shingles(u.encode(), len(x)).tolist() != shingles(v.encode(), len(x)).tolist()
+    for own, t in zip(piece_sampling.sample(lattices, [x.encode(), y.encode()], [1, 2], 2, 1), (x, y), strict=True):
+        assert all(lattices.decode(s[0]) == b" " + t.encode() for s in own)
+
+
 ODD = ["", "  ", "a b c d\x1cE", "é ́x İ İSTANBUL", "it's we'll 'S ''s .,", "<|endoftext|>x <|startoftext|> y", "日本 語１２３ 𝟘 x²", "\u0085a\x0bb\x0cc", "ΣΑΣ Σ", "ﬁ ½ " * 50, "Straße, Élan. ÈÀ.", "\x01 a\x01b", "end.\n", "x" * 3000]
 
 
@@ -180,7 +212,7 @@ def test_samples_do_not_depend_on_company(lattices):
     for i, (t, own) in enumerate(zip(texts, together, strict=True)):
         alone = piece_sampling.sample(lattices, [t], [i], 3, 1)[0]
         assert [s[0].tolist() for s in own] == [s[0].tolist() for s in alone]
-        assert all(lattices.decode(s[0]) == (b" " + t.replace("▁".encode(), b" ") if t else b"") for s in own)
+        assert all(lattices.decode(s[0]) == (b" " + t if t else b"") for s in own)
 
 
 def test_all_segmentations_of_a_short_text(lattices):

@@ -284,3 +284,22 @@ def test_decoding(spark):
     assert all(r.round_trip and len(r.samples) == 2 for r in encoded.collect())
     flat = encoded.select("doc_id", F.col("samples")[1]["ids"].alias("ids"))
     assert {(r.doc_id, r.text) for r in piece_sampling.decode(flat, model).collect()} == {(r.doc_id, r.text) for r in docs.collect()}
+
+
+def test_copies_of_a_row_have_samples_of_their_own(spark):
+    text = "Several copies of one text, each sampled anew. ▁ stays ▁."
+    docs = spark.createDataFrame([(1, text)] * 6 + [(None, text)] * 3 + [(2, None)] * 2, "doc_id long, text string")
+    model = piece_sampling.model_path()
+    got = [sorted((r.doc_id or 0, r.round_trip, str(r.samples)) for r in piece_sampling.encode(piece_sampling.numbered(docs.repartition(n)), model, copy="copy").collect()) for n in (1, 5)]
+    assert got[0] == got[1] and all(ok for _, ok, _ in got[0])
+    assert len({s for i, _, s in got[0] if i == 1}) == 6 and len({s for i, _, s in got[0] if i == 0}) == 3
+    assert piece_sampling.numbered(docs.limit(0)).collect() == []
+    plain = piece_sampling.encode(docs.filter("doc_id = 1"), model).collect()
+    assert len({str(r.samples) for r in plain}) == 1
+
+
+def test_near_duplicates_of_words_that_defeat_polynomial_hashes(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rows = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True)}
