@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 
 #: Vertices of each rotation that probing considers.
@@ -60,3 +63,28 @@ def codes(x: np.ndarray, tables: int, depth: int, probes: int) -> np.ndarray:
         out[:, t, : number.shape[1]] = number[:, :probes]
         out[:, t, number.shape[1] :] = number[:, :1]
     return out
+
+
+def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows of two ``codes`` arrays, in which tables they meet: one's own bucket is among the other's."""
+    return (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+
+
+@functools.lru_cache(maxsize=64)
+def tables_for(width: int, depth: int, probes: int, cosine: float, miss: float) -> int:
+    """Tables that a pair at ``cosine`` misses altogether with a chance of ``miss`` at most.
+
+    The chance to meet in one table is measured on random pairs at that angle and lowered by three standard errors;
+    rotations are random, so it depends on the angle, the width and the hashing alone.
+    """
+    trial = 4
+    n = max(64, min(512, (1 << 19) // width))
+    rng = np.random.default_rng((width, depth, probes))
+    x, z = rng.normal(size=(2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * z
+    p = float(met(codes(x, trial, depth, probes), codes(y, trial, depth, probes)).mean())
+    low = min(max(p - 3 * math.sqrt(p * (1 - p) / (n * trial)), p / 2, 1e-3), 0.99)
+    return max(2, math.ceil(math.log(miss) / math.log1p(-low)))

@@ -5,8 +5,9 @@
    follows the number of classes, so that buckets stay small at any size.
 3. Tight groups: a class within half the linking angle of the smallest id of one of its buckets joins that centre's
    group. Any two members of a group are within the linking angle, so a crowd of near copies needs no pairs.
-4. Groups that meet in a bucket are candidates if two of their members look close enough in 8-bit form (far below the
-   threshold, so nothing is lost by it). Large buckets are dealt out as pairs of blocks.
+4. Groups that meet in a bucket are candidates if two of their members may be close enough by their 8-bit forms: each
+   comes with the length of what rounding took from it, which bounds how far their product may be off. In a bucket the
+   members of its main group are not compared with each other; the others meet its blocks and each other's.
 5. A candidate pair of groups is settled by the angle of its centres where the members' spread allows; otherwise the
    members are compared, block by block, and only counted.
 6. Components of the links.
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import discard, lean, materialize, prepare, runs
 from chronolith.llm.components import components
-from chronolith.llm.crosspolytope import codes
+from chronolith.llm.crosspolytope import codes, tables_for
 
-#: Depth of hashing: tables and probes that miss a pair at cosine 0.9 with a chance of a few in a million.
-TABLES = {1: (6, 4), 2: (14, 4), 3: (20, 8), 4: (28, 16)}
+#: Probes by depth of hashing.
+PROBES = {1: 4, 2: 4, 3: 8, 4: 16}
+#: The chance that a pair at the threshold shares no bucket; the number of tables follows from it.
+MISS = 1e-6
 #: Classes in a bucket on average, at most.
 FILL = 4
 BLOCK = 512
-#: How far an 8-bit cosine may be off.
-SLACK = 0.02
 #: Angles that are settled by bounds keep this distance from the threshold, in radians.
 MARGIN = 1e-6
 
@@ -67,22 +68,34 @@ def _units(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, width int, v binary, a long, b long")
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """Unit vectors in 8 bits, scaled by their largest component."""
-    return np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+def _small(x: np.ndarray) -> list[bytes]:
+    """Unit vectors in 8 bits: step, length of the rounding error (both rounded up), components in steps."""
+    step = (np.abs(x).max(axis=1, keepdims=True) / 127).astype("<f4")
+    q = np.clip(np.rint(x / step), -127, 127).astype(np.int8)
+    error = np.linalg.norm(x - q * step.astype(np.float64), axis=1, keepdims=True)
+    head = np.concatenate([step, (error * (1 + 1e-6) + 1e-7).astype("<f4")], axis=1).view(np.uint8)
+    return [r.tobytes() for r in np.concatenate([head, q.view(np.uint8)], axis=1)]
 
 
-def _matrix(blobs: list[bytes], kind: str = "<f8") -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
 
 
-def _near(q: np.ndarray) -> np.ndarray:
-    x = q.astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _rough(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_small`` made: the rounded vectors, and the lengths of their errors."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return np.ascontiguousarray(raw[:, 8:]).view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
 
 
-def _entries(classes: DataFrame, depth: int) -> DataFrame:
-    tables, probes = TABLES[depth]
+def _at_most(product: np.ndarray, e: np.ndarray, f: np.ndarray, width: int) -> np.ndarray:
+    """The cosine that rounded vectors with this product and these errors can have at most: with x = a + d, y = b + g
+    the rest a.g + d.b + d.g is no longer than (1+e)f + e(1+f) + ef; single precision adds its own."""
+    return product + (e + f + 3 * e * f) + np.float32(1e-5 + 1e-7 * width)
+
+
+def _entries(classes: DataFrame, depth: int, tables: int) -> DataFrame:
+    probes = PROBES[depth]
     names = ["key", "rep", "own", "q"]
 
     @lean
@@ -99,24 +112,31 @@ def _entries(classes: DataFrame, depth: int) -> DataFrame:
                     first[:, :, p] = (number[:, :, p : p + 1] != number[:, :, :p]).all(axis=2)
                 key = number + (np.arange(tables) << 56)[None, :, None] + (int(w) & 0xFFF) * (1 << 44)
                 row, _, p = np.nonzero(first)
-                q = _small(x)
-                raw = q.tobytes()
-                cut = q.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(reps[at][row]), pa.array(p == 0), pa.array([raw[r * cut : (r + 1) * cut] for r in row.tolist()], pa.binary())], names)
+                q = pa.array(_small(x), pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(reps[at][row]), pa.array(p == 0), q], names)
 
     return classes.select("rep", "v").mapInArrow(run, "key long, rep long, own boolean, q binary")
 
 
+def _by_width(a: list[bytes], b: list[bytes]) -> Iterator[np.ndarray]:
+    """Places of pairs of equal width, a width at a time."""
+    x, y = np.array([len(v) for v in a]), np.array([len(v) for v in b])
+    for w in np.unique(x[x == y]):
+        yield np.flatnonzero((x == w) & (y == w))
+
+
 def _close(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs ``rep, centre`` whose 8-bit cosine reaches ``least``."""
+    """Pairs ``rep, centre`` whose cosine may reach ``least`` by their 8-bit forms."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = batch.column("q").to_pylist(), batch.column("cq").to_pylist()
-                keep = [len(a) == len(b) and float(_near(_matrix([a], "i1"))[0] @ _near(_matrix([b], "i1"))[0]) >= least for a, b in zip(x, y, strict=True)]
-                yield batch.select(["rep", "centre"]).filter(pa.array(keep))
+            x, y = batch.column("q").to_pylist(), batch.column("cq").to_pylist()
+            keep = np.zeros(batch.num_rows, bool)
+            for at in _by_width(x, y):
+                (a, e), (b, f) = _rough([x[i] for i in at]), _rough([y[i] for i in at])
+                keep[at] = _at_most(np.einsum("ij,ij->i", a, b), e, f, a.shape[1]) >= least
+            yield batch.select(["rep", "centre"]).filter(pa.array(keep))
 
     return pairs.select("rep", "centre", "q", "cq").mapInArrow(run, "rep long, centre long")
 
@@ -127,30 +147,49 @@ def _cosines(pairs: DataFrame) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("vx").to_pylist(), batch.column("vy").to_pylist(), strict=True)
-            c = [float(np.frombuffer(a) @ np.frombuffer(b)) if len(a) == len(b) else -1.0 for a, b in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(c, pa.float64())], ["x", "y", "cosine"])
+            x, y = batch.column("vx").to_pylist(), batch.column("vy").to_pylist()
+            c = np.full(batch.num_rows, -1.0)
+            for at in _by_width(x, y):
+                c[at] = np.einsum("ij,ij->i", _matrix([x[i] for i in at]), _matrix([y[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(c)], ["x", "y", "cosine"])
 
     return pairs.select("x", "y", "vx", "vy").mapInArrow(run, "x long, y long, cosine double")
 
 
+def _dealt(entries: DataFrame) -> DataFrame:
+    """``key, kind, i, j, grp, own, q``: the entries of buckets that hold several groups, in comparable blocks.
+
+    Kind 0 brings a block of the main group (the one with most entries) together with a block of the others, kind 1 two
+    blocks of the others. A bucket of near copies with some strays makes rows in proportion to its size.
+    """
+    per_group = entries.groupBy("key", "grp").agg(F.count("*").alias("n"))
+    per_key = per_group.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("grp", F.struct("n", -F.col("grp"))).alias("major"), F.count("*").alias("groups")).filter("groups > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
+    sized = entries.join(per_key.select("key", "major", blocks(F.col("m")).alias("g"), blocks(F.col("n") - F.col("m")).alias("s")), "key")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    columns = ["key", "kind", "i", "j", "grp", "own", "q"]
+    main, stray = sized.filter("grp = major"), sized.filter("grp <> major")
+    inner = main.withColumns({"kind": F.lit(0), "i": block("g"), "j": upto("s")}).select(*columns)
+    outer = stray.withColumns({"kind": F.lit(0), "j": block("s"), "i": upto("g")}).select(*columns)
+    pairs = stray.filter("s > 1").withColumns({"kind": F.lit(1), "b": block("s"), "o": upto("s")}).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).select(*columns)
+    return inner.union(outer).union(pairs)
+
+
 def _candidates(entries: DataFrame, least: float) -> DataFrame:
-    """Pairs of groups ``x < y`` of which two members meet in a bucket and look close."""
-    per_key = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high")
-    dealt = entries.join(per_key.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "grp", "own", "q").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    """Pairs of groups ``x < y`` of which two members meet in a bucket and may be close."""
+    rows = _dealt(entries).repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for _, members in runs(batches, 3):
+        for _, members in runs(batches, 4):
             group = np.array([m[0] for m in members])
             if group.min() == group.max():
                 continue
             own = np.array([m[1] for m in members])
-            x = _near(_matrix([m[2] for m in members], "i1"))
-            near = (x @ x.T >= least) & (own[:, None] | own[None, :]) & (group[:, None] < group[None, :])
+            x, e = _rough([m[2] for m in members])
+            near = (_at_most(x @ x.T, e[:, None], e[None, :], x.shape[1]) >= least) & (own[:, None] | own[None, :]) & (group[:, None] < group[None, :])
             i, j = np.nonzero(near)
             found.update(zip(group[i].tolist(), group[j].tolist(), strict=True))
             if len(found) > 50_000:
@@ -188,12 +227,13 @@ def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     return rows.mapInArrow(run, "rep long, links long, partner long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, depth: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding``.
 
     Links are cosines of ``cosine`` or more (positive) between vectors of the same width. A vector that is null, empty,
     zero, or holds null or non-finite components, and one with a null id, links with nothing. Rows that repeat an id and
-    a vector count as vectors of their own. Other columns are not read; an empty table gives no rows.
+    a vector count as vectors of their own. Other columns are not read; an empty table gives no rows. ``depth`` follows
+    the number of distinct vectors unless it is given.
     """
     prepare(vectors.sparkSession)
     rows = materialize(_units(vectors), "vectors")
@@ -201,13 +241,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     classes = materialize(classes, "vector-classes")
     shape = classes.agg(F.count("*").alias("n"), F.coalesce(F.max("width"), F.lit(2)).alias("w")).first()
     axes = 2 << max(1, (shape["w"] - 1).bit_length())
-    depth = next((k for k in TABLES if shape["n"] / axes**k <= FILL), max(TABLES))
-    entries = materialize(_entries(classes, depth), "vector-entries")
+    depth = depth or next((k for k in PROBES if shape["n"] / axes**k <= FILL), max(PROBES))
+    tables = tables_for(shape["w"], depth, PROBES[depth], cosine, MISS)
+    entries = materialize(_entries(classes, depth, tables), "vector-entries")
 
     angle = math.acos(cosine)
     tight = math.cos(angle / 2 - MARGIN)
     centres = entries.filter("own").groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("q").alias("cq")), "rep").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c.*")
-    met = _close(entries.join(centres, "key").filter("rep <> centre"), tight - SLACK).groupBy("rep", "centre").agg(F.count("*").alias("votes"))
+    met = _close(entries.join(centres, "key").filter("rep <> centre"), tight).groupBy("rep", "centre").agg(F.count("*").alias("votes"))
     chosen = met.groupBy("rep").agg(F.max_by("centre", F.struct("votes", -F.col("centre"))).alias("centre"))
     look = classes.select("rep", "v")
     with_vectors = chosen.join(look, "rep").select(F.col("rep").alias("x"), F.col("centre").alias("y"), F.col("v").alias("vx")).join(look.select(F.col("rep").alias("y"), F.col("v").alias("vy")), "y")
@@ -220,7 +261,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     groups = members.groupBy("grp").agg(F.sum("size").alias("weight"), spread.alias("spread"))
     groups = materialize(groups.join(look.withColumnRenamed("rep", "grp"), "grp"), "vector-centres")
 
-    pairs = _candidates(entries.join(members.select("rep", "grp"), "rep"), cosine - SLACK)
+    pairs = _candidates(entries.join(members.select("rep", "grp"), "rep"), cosine)
     left = groups.select(F.col("grp").alias("x"), F.col("v").alias("vx"))
     right = groups.select(F.col("grp").alias("y"), F.col("v").alias("vy"))
     measured = _cosines(pairs.join(left, "x").join(right, "y"))

@@ -10,9 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronolith.llm import html_extract, licenses, piece_sampling, quality, quotes, repeats, token_store
+from chronolith.llm import embed_dedup, html_extract, licenses, piece_sampling, quality, quotes, repeats, token_store
 from chronolith.llm.common import HashIndex, span_hashes
-from chronolith.llm.crosspolytope import codes, hadamard, rotate
+from chronolith.llm.crosspolytope import codes, hadamard, met, rotate, tables_for
 from chronolith.llm.minhash_core import shingles, sketches
 from chronolith.llm.suffix_core import intervals, neighbour_lcp, suffix_array
 
@@ -231,6 +231,30 @@ def test_hadamard_rotation_keeps_lengths_and_hashes_agree():
     assert (codes(x, 3, 2, 4)[:, :, 0] == codes(2 * x, 3, 2, 1)[:, :, 0]).all()
 
 
+@pytest.mark.parametrize(("width", "depth"), [(64, 2), (64, 3), (64, 4), (384, 2), (384, 3), (384, 4), (4096, 2)])
+def test_pairs_at_the_threshold_meet(width, depth):
+    probes, n = embed_dedup.PROBES[depth], 300 if width < 4096 else 40
+    tables = tables_for(width, depth, probes, 0.9, embed_dedup.MISS)
+    rng = np.random.default_rng(7)
+    x, z = rng.normal(size=(2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    assert met(codes(x, tables, depth, probes), codes(y, tables, depth, probes)).any(axis=1).all()
+
+
+@pytest.mark.parametrize("width", [2, 64, 384, 4096])
+def test_rounded_vectors_bound_the_cosine(width):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, width))
+    x[::3, 0] *= 40  # one large component
+    x[1::3] = x[::3] + 0.2 * rng.normal(size=(20, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, e = embed_dedup._rough(embed_dedup._small(x))
+    assert (embed_dedup._at_most(a @ a.T, e[:, None], e[None, :], width) >= x @ x.T).all()
+    assert (embed_dedup._at_most(a @ a.T, e[:, None], e[None, :], width) - x @ x.T).mean() < 2.5
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -228,22 +228,48 @@ def test_minhash_large_bucket_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_vectors_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(40):
-        c, spread = rng.normal(size=64), rng.choice([0.02, 0.1, 0.2, 0.35, 0.5])
-        vectors += [(c + spread * rng.normal(size=64)).astype(np.float32) for _ in range(int(rng.choice([1, 3, 20, 60])))]
-    vectors += [vectors[0]] * 30
+def links_by_brute_force(vectors):
     x = np.array(vectors, np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     grid = x @ x.T >= 0.9
     np.fill_diagonal(grid, False)
     want = union_find(range(len(x)), np.argwhere(grid).tolist())
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
-    missed = sum(got[i] != (int(grid[i].sum()), want[i]) for i in got)
-    assert missed == 0
+    return {i: (int(grid[i].sum()), want[i]) for i in range(len(x))}
+
+
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+
+@pytest.mark.parametrize(("width", "depth", "block"), [(64, None, 512), (64, 3, 8), (64, 4, 512), (384, 2, 512), (2048, 1, 512)])
+def test_vectors_against_brute_force(spark, monkeypatch, width, depth, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(40 if width < 2048 else 15):
+        c, spread = rng.normal(size=width), rng.choice([0.02, 0.1, 0.2, 0.35, 0.5])
+        vectors += [(c + spread * rng.normal(size=width)).astype(np.float32) for _ in range(int(rng.choice([1, 3, 20, 60])))]
+    vectors += [vectors[0]] * 30
+    for _ in range(20):  # one large component and many small ones: 8 bits keep little of them
+        head = np.zeros(width)
+        head[0] = 0.3
+        a, b = rng.normal(size=(2, width - 1))
+        tail = (a, a + 0.3 * b)
+        vectors += [np.concatenate([[np.linalg.norm(t) * rng.choice([1.0, 3.0])], t]).astype(np.float32) for t in tail]
+    want = links_by_brute_force(vectors)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], VECTORS)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, depth=depth).collect()}
+    assert sum(got[i] != want[i] for i in got) == 0
+
+
+def test_crowd_with_strays_makes_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    counts = []
+    for n in (400, 800, 1600):
+        rows = [(7, i, 1 if i > 5 else i + 10, True, b"") for i in range(n)]
+        entries = spark.createDataFrame(rows, "key long, rep long, grp long, own boolean, q binary")
+        counts.append(embed_dedup._dealt(entries).count())
+    assert counts[2] - counts[1] <= 2.2 * (counts[1] - counts[0])  # all pairs of blocks would make it four times
+    assert counts[2] < 4 * 1600
 
 
 def test_quotation_links(spark):
