@@ -37,6 +37,8 @@ from chronolith.llm.suffix_core import intervals, neighbour_lcp, suffix_array
 LEAST = 50
 GRAM = 16
 CHUNK = 512_000
+#: Bytes of text whose questions meet in a bucket, and bytes of text that a task of an exchange answers for, about.
+BUCKET, SHARE = 8_000_000, 32_000_000
 #: Contexts of one anchor that a bucket takes; an anchor with more is answered string by string.
 HOT = 4096
 LAST = np.iinfo(np.int64).max
@@ -267,7 +269,7 @@ def _answer(kind: int, chunks: list[int], sizes: list[int], live: np.ndarray, *c
 ELSEWHERE, SHARED, CROWDED = 1, 2, 3
 
 
-def _first_documents(asked: DataFrame, kind: int, hot: int) -> DataFrame:
+def _first_documents(asked: DataFrame, kind: int, hot: int, tasks: int) -> DataFrame:
     """For every question (anchor, context, chunk's first document): whether the first document overall is elsewhere."""
 
     @lean
@@ -292,7 +294,7 @@ def _first_documents(asked: DataFrame, kind: int, hot: int) -> DataFrame:
             live = np.flatnonzero(back)
             yield _answer(kind, chunks, [len(x[0]) for x in columns], live, number[live], back[live])
 
-    return asked.select("bucket", "chunk", "blob").repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
+    return asked.select("bucket", "chunk", "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
 
 
 def _spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,12 +302,12 @@ def _spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
 
 
-def _meet(chunks: DataFrame, *others: DataFrame) -> DataFrame:
+def _meet(chunks: DataFrame, tasks: int, *others: DataFrame) -> DataFrame:
     """Chunks beside the rows addressed to them, sorted by chunk and kind, the chunk itself first."""
     own = chunks.select("chunk", F.lit(TEXT).alias("kind"), "blob", "z", "rest")
     for o in others:
         own = own.union(o.select("chunk", "kind", "blob", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
-    return own.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return own.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -327,7 +329,7 @@ def _covered_by(questions: np.ndarray, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int) -> DataFrame:
+def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int, tasks: int) -> DataFrame:
     """What the answers cover at once (kind STATE), and the classes that go on (ANSWER: by anchor, HOT_ANSWER: by string)."""
     reach = least - GRAM
 
@@ -385,7 +387,7 @@ def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int) ->
             out.append((STATE, None, chunk, pack(*out_state, grid[:, 0].astype(np.uint32), grid[:, 1].astype(np.int32))))
             yield _rows(list(zip(*out, strict=True)), ASKED)
 
-    return _meet(chunks.withColumn("rest", F.lit(None).cast("binary")), answers).mapInArrow(run, ASKED_DDL)
+    return _meet(chunks.withColumn("rest", F.lit(None).cast("binary")), tasks, answers).mapInArrow(run, ASKED_DDL)
 
 
 def _sorted_prefixes(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -427,7 +429,7 @@ def first_sharers(doc: np.ndarray, left: np.ndarray, right: np.ndarray, around:
     return out
 
 
-def _sharers(asked: DataFrame, least: int) -> DataFrame:
+def _sharers(asked: DataFrame, least: int, tasks: int) -> DataFrame:
     reach = least - GRAM
 
     @lean
@@ -439,7 +441,7 @@ def _sharers(asked: DataFrame, least: int) -> DataFrame:
             bits = np.packbits(found[live], axis=1)
             yield _answer(ANSWER, chunks, [len(x[0]) for x in columns], live, number[live], _Wide(bits))
 
-    return asked.select("bucket", "chunk", "blob").repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
+    return asked.select("bucket", "chunk", "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
 
 
 class _Wide:
@@ -452,7 +454,7 @@ class _Wide:
         return self.rows[cut].reshape(-1)
 
 
-def _finished(chunks: DataFrame, state: DataFrame, answers: DataFrame, hot: DataFrame, least: int, finish, ddl: str) -> DataFrame:
+def _finished(chunks: DataFrame, state: DataFrame, answers: DataFrame, hot: DataFrame, least: int, tasks: int, finish, ddl: str) -> DataFrame:
     """Every chunk with its answers laid out as removed bytes, given to ``finish(texts, removed, rest)``."""
     reach = least - GRAM
 
@@ -482,23 +484,25 @@ def _finished(chunks: DataFrame, state: DataFrame, answers: DataFrame, hot: Data
                 np.add.at(delta, more + least, -1)
             yield finish(texts, np.cumsum(delta[:-1]) > 0, rows[0][3])
 
-    return _meet(chunks, state, answers, hot).mapInArrow(run, ddl)
+    return _meet(chunks, tasks, state, answers, hot).mapInArrow(run, ddl)
 
 
 def _run(docs: DataFrame, least: int, finish, ddl: str, hot: int) -> DataFrame:
     spark = prepare(docs.sparkSession)
-    buckets = 2 * partitions(spark)
     chunks = materialize(chunked(docs), "repeat-chunks")
+    size = chunks.count() * CHUNK
+    # both follow the bytes of text, so that a task's share stays as it is when the input grows
+    buckets, tasks = max(2 * partitions(spark), size // BUCKET), max(partitions(spark), size // SHARE)
     asked = _questions(chunks, least, buckets)
-    answers = materialize(_first_documents(asked, ANSWER, hot), "repeat-answers")
+    answers = materialize(_first_documents(asked, ANSWER, hot, tasks), "repeat-answers")
     release(spark)
-    classes = materialize(_classes(chunks, answers, least, buckets), "repeat-classes")
+    classes = materialize(_classes(chunks, answers, least, buckets, tasks), "repeat-classes")
     discard(answers)
     release(spark)
     state, by_anchor, by_string = (classes.filter(F.col("kind") == k) for k in (STATE, ANSWER, HOT_ANSWER))
-    shared = _sharers(by_anchor, least)
-    strings = _first_documents(by_string, HOT_ANSWER, 0)
-    return _finished(chunks, state, shared, strings, least, finish, ddl)
+    shared = _sharers(by_anchor, least, tasks)
+    strings = _first_documents(by_string, HOT_ANSWER, 0, tasks)
+    return _finished(chunks, state, shared, strings, least, tasks, finish, ddl)
 
 
 def removed(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
