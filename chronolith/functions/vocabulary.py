@@ -120,9 +120,12 @@ def short(metric: Column) -> Column:
 
 
 def series_name(metric: Column, value: Column) -> Column:
-    """A series: the metric's short name, for categories with the value behind it."""
-    word = F.regexp_replace(F.regexp_replace(value, f"^{VALUE}", ""), "^SleepAnalysis", "")
-    return F.when(value.isNull(), short(metric)).otherwise(F.concat_ws(":", short(metric), word))
+    """A series: the metric's short name, for categories with the value behind it, its prefix and the metric's name cut
+    off. A value that says nothing more is an event."""
+    name = short(metric)
+    after = lambda x, start: F.when(x.startswith(start), F.substr(x, F.length(start) + 1)).otherwise(x)
+    word = after(after(value, F.lit(VALUE)), name)
+    return F.when(value.isNull(), name).when(word.isin("", "NotApplicable"), F.concat(name, F.lit("/Event"))).otherwise(F.concat(name, F.lit("/"), word))
 
 
 def stage(x: Column) -> Column:

@@ -16,7 +16,7 @@ from chronolith.operators.scores import mean_of
 #: Lags, targets, inputs and horizons.
 LAGS = (*range(10), 14, 28)
 TARGETS = ("activity_score", "recovery_score")
-INPUTS = ("steps", "distance_m", "active_energy_kcal", "sedentary_hours", "sleep_hours", "sleep_efficiency", "resting_hr_bpm", "hr_mean_bpm", "hr_active_excess_bpm")
+INPUTS = ("steps", "sleep_hours", "hr_mean_bpm", "resting_hr_bpm", "hr_active_excess_bpm", "hrv_sdnn_ms", "resting_hr_change_bpm", "activity_score", "recovery_score")
 HORIZONS = (1, 3, 7, 14)
 MODELS = ("persistence", "seasonal", "moving_mean", "ridge", "elastic_net", "boosted")
 
@@ -155,7 +155,7 @@ def evaluate(table: LagTable, test_share: float = 0.2, models: Sequence[str] = M
     pairs = {}
     for t in table.targets:
         if table.orders is not None:
-            test = test.join(F.broadcast(order_of(table.orders, t)), "subject_id", "left")
+            test = test.join(order_of(table.orders, t), "subject_id", "left")
         order = F.coalesce(F.col("__order"), F.lit(0)) if table.orders is not None else F.lit(0)
         for kind in models:
             name = f"{kind}__{t}"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.calendar import ordered
+from chronolith.operators.calendar import latest, ordered
 from chronolith.operators.scores import AXES
 from chronolith.operators.trajectory import effect_habit, effect_once
 
@@ -19,7 +20,19 @@ PRESETS: dict[str, dict[str, float]] = {
     "restDay": {"steps": -4000, "distance_m": -3000, "exercise_minutes": -30, "active_energy_kcal": -250, "hr_active_excess_bpm": -5},
     "lateNight": {"sleep_hours": -2, "resting_hr_bpm": 3, "hrv_sdnn_ms": -10},
 }
-REGION_BAND, CLIMB, WEEKLY = 0.25, 0.08, 0.05
+#: Bands of regions, the share of relief that is a climb, the weekly move that counts, contour levels, and
+#: the arrow's lengths in pixels.
+REGION_BAND, CLIMB, MOVE, WEEK, LEVELS = 0.25, 0.08, 0.05, 7, 9
+ARROW = {"min": 20.0, "typical": 40.0, "max": 84.0}
+#: Names of places by activity, then recovery, against the usual level.
+REGION_NAMES = {
+    "high": {"high": "Strong stretch", "middle": "More active", "low": "Pushing hard"},
+    "middle": {"high": "Well rested", "middle": "Your usual", "low": "Less rested"},
+    "low": {"high": "Resting", "middle": "Less active", "low": "Worn out"},
+}
+#: What a position is called, and the headlines.
+POSITION_LABELS = {"activity": "Fitness", "recovery": "Reserve"}
+HEADLINES = {"up": "You are climbing toward healthier ground", "down": "You are sliding toward a low point", "level": "You are holding steady"}
 
 
 def period_change(df: DataFrame, column: str, days: int) -> DataFrame:
@@ -50,35 +63,62 @@ def simulated(path: DataFrame, delta: Column, kind: str = "once") -> DataFrame:
 
 
 def terrain(clusters: DataFrame, low: float, high: float, cells: int) -> DataFrame:
-    """Heights of a square grid: the sum of two-dimensional Gaussian densities, strained ones downwards.
-
-    ``clusters`` has ``x, y, var_x, var_y, cov, weight, sign``; grid and clusters are both small by construction.
-    """
+    """Heights of a square grid; grid and clusters are both small by construction."""
     step = (high - low) / (cells - 1)
     axis = clusters.sparkSession.range(cells)
     grid = axis.select((F.lit(low) + F.col("id") * F.lit(step)).alias("gx")).crossJoin(axis.select((F.lit(low) + F.col("id") * F.lit(step)).alias("gy")))
-    dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
+    return grid.crossJoin(F.broadcast(clusters)).groupBy("gx", "gy").agg(F.sum(density(F.col("gx"), F.col("gy"))).alias("height"))
+
+
+def density(x: Column, y: Column) -> Column:
+    """What one cluster (``x, y, var_x, var_y, cov, sign``) adds to the height at a point: a Gaussian of volume one,
+    downwards for an unhealthy one; nothing for one without extent."""
+    dx, dy = x - F.col("x"), y - F.col("y")
     det = F.col("var_x") * F.col("var_y") - F.col("cov") * F.col("cov")
     form = (F.col("var_y") * dx * dx - 2 * F.col("cov") * dx * dy + F.col("var_x") * dy * dy) / det
-    height = F.col("sign") * F.col("weight") * F.exp(-form / 2) / (F.lit(2 * 3.141592653589793) * F.sqrt(det))
-    return grid.crossJoin(F.broadcast(clusters)).groupBy("gx", "gy").agg(F.sum(height).alias("height"))
+    return F.when(det > 0, F.col("sign") * F.exp(-form / 2) / (F.lit(2 * math.pi) * F.sqrt(det))).otherwise(0.0)
+
+
+def contours(heights: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """``level, threshold`` of contour lines on each side of 0: the middle of every band of the largest height."""
+    top = heights.agg(F.max(F.abs("height")).alias("top")).select(F.when(F.col("top") > 0, F.col("top")).otherwise(1.0).alias("top"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    return top.select("top", steps).select("level", ((F.col("level") + 0.5) * F.col("top") / F.lit(float(levels))).alias("threshold"))
 
 
 def region(x: Column, y: Column, band: float = REGION_BAND) -> Column:
-    """A position's region, by bands round the middle of both axes."""
-    part = lambda v, low, mid, high: F.when(v > band, high).when(v < -band, low).otherwise(mid)
-    return F.concat_ws(" ", part(x, "quiet", "usual", "active"), part(y, "tired", "steady", "rested"))
+    """A position's region by bands round the usual level, first on activity, then on recovery."""
+    at = lambda v: F.when(v > band, "high").when(v < -band, "low").otherwise("middle")
+    names = F.create_map(*[F.lit(v) for a, own in REGION_NAMES.items() for r, name in own.items() for v in (f"{a} {r}", name)])
+    return F.try_element_at(names, F.concat_ws(" ", at(x), at(y)))
+
 
+def story(positioned: DataFrame, ahead: DataFrame, clusters: DataFrame, axes: Sequence[str] = tuple(AXES)) -> DataFrame:
+    """``subject_id, climb, headline, dek`` from positions, forecasts (``subject_id, horizon, <axis>_predicted``) and
+    clusters (``subject_id`` and what ``density`` takes); subjects without a week before today or a forecast have none.
 
-def story(positioned: DataFrame, axis: str) -> DataFrame:
-    """Words for a week's move: climbing, falling or level against the spread of heights, and up, down or same."""
-    own = Window.partitionBy("subject_id")
-    relief = F.max(f"{axis}_position").over(own) - F.min(f"{axis}_position").over(own)
-    move = F.col(f"{axis}_position") - F.lag(f"{axis}_position", 7).over(ordered())
-    out = positioned.withColumns({"move": move, "relief": relief})
-    words = F.when(F.col("move") > CLIMB * F.col("relief"), "climbing").when(F.col("move") < -CLIMB * F.col("relief"), "falling").otherwise("level")
-    week = F.when(F.col("move") > WEEKLY, "up").when(F.col("move") < -WEEKLY, "down").otherwise("same")
-    return out.filter("move IS NOT NULL").select("subject_id", "date", "move", words.alias("slope"), week.alias("week"))
+    The climb is the height where the forecast ends less that of today, against the highest peak or deepest valley.
+    """
+    points = lambda p: [F.col(f"{a}_{p}") for a in axes]
+    days = positioned.withColumns({f"{a}_moved": F.col(f"{a}_position") - F.lag(f"{a}_position", WEEK).over(ordered()) for a in axes})
+    today = latest(days, 1).select("subject_id", *[f"{a}_{k}" for a in axes for k in ("position", "moved")]).dropna()
+    end = ahead.groupBy("subject_id").agg(*[F.max_by(f"{a}_predicted", "horizon").alias(f"{a}_end") for a in axes], F.max("horizon").alias("days"))
+    centres = clusters.select("subject_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    relief = centres.join(clusters, "subject_id").groupBy("subject_id", "cx", "cy").agg(F.abs(F.sum(density(F.col("cx"), F.col("cy")))).alias("height")).groupBy("subject_id").agg(F.max("height").alias("relief"))
+    placed = today.join(end, "subject_id").join(clusters, "subject_id", "left")
+    # summed apart, so clusters without extent and subjects without clusters are on level ground
+    rise = F.sum(density(*points("end"))) - F.sum(density(*points("position")))
+    climbs = placed.groupBy("subject_id").agg(F.coalesce(rise, F.lit(0.0)).alias("rise"))
+    scale = F.greatest(F.coalesce("relief", F.lit(0.0)), F.lit(1e-9))
+    out = today.join(end, "subject_id").join(climbs, "subject_id").join(relief, "subject_id", "left").withColumn("climb", F.col("rise") / scale)
+    headline = F.when(F.col("climb") > CLIMB, HEADLINES["up"]).when(F.col("climb") < -CLIMB, HEADLINES["down"]).otherwise(HEADLINES["level"])
+    word = lambda a: F.when(F.col(f"{a}_moved") > MOVE, "rose").when(F.col(f"{a}_moved") < -MOVE, "fell").otherwise("held steady")
+    a, r = axes
+    both = F.concat(F.lit(f"{POSITION_LABELS[a]} and {POSITION_LABELS[r]} both "), word(a))
+    apart = F.concat(F.lit(f"{POSITION_LABELS[a]} "), word(a), F.lit(f" and {POSITION_LABELS[r]} "), word(r))
+    week = F.concat(F.lit("Over the past week, "), F.when(word(a) == word(r), both).otherwise(apart), F.lit("."))
+    dek = F.concat(week, F.lit(" In "), F.col("days").cast("string"), F.lit(" days the model expects you in the “"), region(*points("end")), F.lit("” area."))
+    return out.select("subject_id", "climb", headline.alias("headline"), dek.alias("dek"))
 
 
 def card(df: DataFrame, column: str, days: int = 30) -> DataFrame:
@@ -95,10 +135,18 @@ def tone(delta: Column, sign: Column) -> Column:
     return F.when(delta * sign > 0, "good").when(delta * sign < 0, "bad").otherwise("neutral")
 
 
-def arrow_scale(positioned: DataFrame, axes: Sequence[str] = tuple(AXES)) -> DataFrame:
-    """The median length of a day's move."""
-    length = F.sqrt(sum((F.pow(f"{a}_velocity", F.lit(2.0)) for a in axes), F.lit(0.0)))
-    return positioned.groupBy("subject_id").agg(F.median(length).alias("median_velocity"))
+def arrow_scale(positioned: DataFrame, pixels: Mapping[str, float] | None = None, axes: Sequence[str] = tuple(AXES)) -> DataFrame:
+    """``subject_id, median_velocity, scale``: the median length of a day's move on the screen, and how many units of
+    today's move make its arrow.
+
+    ``pixels`` are the screen's pixels a unit on each axis. A day as big as the median is drawn ``ARROW['typical']``
+    long, others in proportion within the limits; no move, no arrow.
+    """
+    length = F.sqrt(sum((F.pow(F.col(f"{a}_velocity") * F.lit(float((pixels or {}).get(a, 1.0))), F.lit(2.0)) for a in axes), F.lit(0.0)))
+    out = positioned.groupBy("subject_id").agg(F.median(length).alias("median_velocity"), F.max_by(length, "date").alias("today"))
+    typical = F.when(F.col("median_velocity") > 0, F.col("median_velocity")).otherwise(1.0)
+    target = F.least(F.lit(ARROW["max"]), F.greatest(F.lit(ARROW["min"]), F.lit(ARROW["typical"]) * F.col("today") / typical))
+    return out.select("subject_id", "median_velocity", F.when(F.col("today") > 0, target / F.col("today")).otherwise(0.0).alias("scale"))
 
 
 def contribution_totals(contributions: DataFrame) -> DataFrame:

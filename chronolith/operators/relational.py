@@ -23,7 +23,7 @@ FEATURE_SETS: dict[str, tuple[str, ...]] = {
     "cardio": ("HeartRate", "RestingHeartRate", "HeartRateVariabilitySDNN"),
     "activity": _ACTIVITY,
     "gait": _GAIT,
-    "sleep stages": tuple(f"SleepAnalysis:{s}" for s in ("AsleepCore", "AsleepDeep", "AsleepREM", "Awake", "InBed")),
+    "sleep stages": tuple(f"SleepAnalysis/{s}" for s in ("AsleepCore", "AsleepDeep", "AsleepREM", "Awake", "InBed")),
     "core plus activity": ("HeartRate", "SleepTotal", *_ACTIVITY),
     "rich": ("HeartRate", "RestingHeartRate", "SleepTotal", *_ACTIVITY, *_GAIT),
 }
@@ -78,13 +78,13 @@ def wide(daily: DataFrame, series: Sequence[str], value: str = "value") -> DataF
 
 def sleep_total(daily: DataFrame) -> Column:
     """A bridge over sleep recordings: the stages' sum if any is there, else unspecified, in bed, or the daily total."""
-    stages = [c for c in ("SleepAnalysis:AsleepCore", "SleepAnalysis:AsleepDeep", "SleepAnalysis:AsleepREM") if c in daily.columns]
+    stages = [c for c in ("SleepAnalysis/AsleepCore", "SleepAnalysis/AsleepDeep", "SleepAnalysis/AsleepREM") if c in daily.columns]
     col = lambda c: F.col(f"`{c}`")
     parts = []
     if stages:
         total = sum((F.coalesce(col(c), F.lit(0.0)) for c in stages), F.lit(0.0))
         parts.append(F.when(F.coalesce(*[col(c) for c in stages]).isNotNull(), total))
-    parts += [col(c) for c in ("SleepAnalysis:AsleepUnspecified", "SleepAnalysis:InBed", "SleepDurationDaily") if c in daily.columns]
+    parts += [col(c) for c in ("SleepAnalysis/AsleepUnspecified", "SleepAnalysis/InBed", "SleepDurationDaily") if c in daily.columns]
     return F.coalesce(*parts) if parts else F.lit(None).cast("double")
 
 

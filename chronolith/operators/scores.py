@@ -12,11 +12,12 @@ from chronolith.operators.calendar import filled, trailing_mean
 WINDOW_DAYS, THRESHOLD = 30, 0.6
 #: The ingredients of each axis and their sign.
 AXES: dict[str, dict[str, int]] = {
-    "activity": {"steps": 1, "distance_m": 1, "exercise_minutes": 1, "active_energy_kcal": 1, "light_activity_hours": 1, "hr_active_excess_bpm": 1, "sedentary_hours": -1},
+    "activity": {"steps": 1, "distance_m": 1, "exercise_minutes": 1, "active_energy_kcal": 1, "light_activity_hours": 1, "sedentary_hours": -1, "hr_active_excess_bpm": 1},
     "recovery": {"sleep_hours": 1, "sleep_efficiency": 1, "hrv_sdnn_ms": 1, "sleep_score": 1, "sleep_restlessness": -1, "resting_hr_bpm": -1, "resting_hr_change_bpm": -1, "hr_active_excess_bpm": -1, "respiratory_rate": -1},
 }
-SMOOTHED = ("steps", "sleep_hours", "sleep_efficiency", "resting_hr_bpm", "hrv_sdnn_ms", "hr_mean_bpm", "hr_active_excess_bpm", "respiratory_rate")
-CHANGES = {"resting_hr_bpm": "resting_hr_change_bpm", "hr_mean_bpm": "hr_mean_change_bpm"}
+#: What is smoothed, and the changes made of it.
+SMOOTHED = ("steps", "sleep_hours", "hr_mean_bpm", "hr_p10_bpm", "hr_active_excess_bpm", "resting_hr_bpm", "activity_score", "recovery_score")
+CHANGES = {"resting_hr_bpm": "resting_hr_change_bpm", "hr_p10_bpm": "hr_p10_change_bpm"}
 
 
 def dense_windows(daily: DataFrame, columns: Sequence[str], width: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
@@ -54,7 +55,7 @@ def apply_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def smoothed(daily: DataFrame, columns: Sequence[str] = SMOOTHED) -> DataFrame:
-    """Trailing means over 7 days (3 observations) and 28 days (7), and their difference for two heart-rate features."""
+    """Trailing means over 7 days (3 observations) and 28 days (7), and their difference for two heart-rate features; a week less four weeks."""
     present = [c for c in columns if c in daily.columns]
     made: dict[str, Column] = {}
     for c in present:

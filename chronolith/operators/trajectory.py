@@ -94,8 +94,80 @@ def clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, most: int
     x.unpersist()
     if best[1] is None:
         return None, []
-    centres = [r["mean"].toArray() for r in best[1].gaussiansDF.collect()]
-    return best[1], [{"center": c.tolist(), "weight": w, "kind": "healthy" if c.sum() >= 0 else "strained"} for c, w in zip(centres, best[1].weights, strict=True)]
+    found = best[1].gaussiansDF.collect()
+    return best[1], [{"center": (c := r["mean"].toArray()).tolist(), "covariance": r["cov"].toArray().tolist(), "weight": w, "kind": kind_of(c)} for r, w in zip(found, best[1].weights, strict=True)]
+
+
+def kind_of(center: np.ndarray) -> str:
+    """A cluster is healthy if its axes together are not below the usual level."""
+    return "healthy" if center.sum() >= 0 else "unhealthy"
+
+
+def _log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
+    """Log of weight times Gaussian density: a row a point, a column a component."""
+    out = np.empty((len(x), len(means)))
+    for j, (w, m, c) in enumerate(zip(weights, means, covariances, strict=True)):
+        root = np.linalg.cholesky(c)
+        z = np.linalg.solve(root, (x - m).T)
+        out[:, j] = np.log(w) - (z**2).sum(axis=0) / 2 - np.log(np.diag(root)).sum() - x.shape[1] * math.log(2 * math.pi) / 2
+    return out
+
+
+def mixture(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100, gain: float = 1e-3, floor: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """One Gaussian mixture by expectation and maximisation from k-means: log-likelihood, weights, means, covariances.
+    ``floor`` is added to the variances; it ends when a point's likelihood gains less than ``gain``."""
+    rng = np.random.default_rng(seed)
+    means = x[[rng.integers(len(x))]]
+    while len(means) < k:
+        far = ((x[:, None] - means[None]) ** 2).sum(axis=2).min(axis=1)
+        means = np.vstack([means, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
+    for _ in range(rounds):
+        own = ((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[own == j].mean(axis=0) if (own == j).any() else means[j] for j in range(k)])
+        if np.allclose(moved, means):
+            break
+        means = moved
+    share = np.eye(k)[own]
+    before = -math.inf
+    for _ in range(rounds):
+        n = share.sum(axis=0) + 1e-12
+        means = share.T @ x / n[:, None]
+        gaps = x[:, None] - means[None]
+        covariances = np.einsum("nk,nki,nkj->kij", share, gaps, gaps) / n[:, None, None] + floor * np.eye(x.shape[1])
+        logs = _log_density(x, n / n.sum(), means, covariances)
+        total = np.logaddexp.reduce(logs, axis=1)
+        share = np.exp(logs - total[:, None])
+        if abs(total.mean() - before) < gain:
+            break
+        before = total.mean()
+    return float(total.sum()), n / n.sum(), means, covariances
+
+
+def grouped(x: np.ndarray, most: int = 6, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Means and covariances of the mixture of 2 to ``most`` components (ten points each at least) with the least BIC."""
+    n, d = x.shape
+    tried = []
+    for k in range(2, min(most, n // 10) + 1):
+        likelihood, _, means, covariances = mixture(x, k, seed)
+        free = k * d + k * d * (d + 1) // 2 + k - 1
+        tried.append((-2 * likelihood + free * math.log(n), k, list(zip(means, covariances, strict=True))))
+    return min(tried, key=lambda t: t[:2])[2] if tried else []
+
+
+def subject_clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, most: int = 6, seed: int = 0) -> DataFrame:
+    """``subject_id, x, y, var_x, var_y, cov, sign, kind``: the clusters of each subject's own days; a group is one
+    subject's days. Subjects of fewer than twenty days have none."""
+    columns = [f"{a}_position" for a in axes]
+    rows = positioned.dropna(subset=columns).select("subject_id", "date", *[F.col(c).cast("double").alias(c) for c in columns])
+
+    def run(key: tuple, days):
+        import pandas as pd
+
+        found = grouped(days.sort_values("date")[columns].to_numpy(float), most, seed)
+        out = [(key[0], m[0], m[1], c[0, 0], c[1, 1], c[0, 1], 1.0 if kind_of(m) == "healthy" else -1.0, kind_of(m)) for m, c in found]
+        return pd.DataFrame(out, columns=["subject_id", "x", "y", "var_x", "var_y", "cov", "sign", "kind"])
+
+    return rows.groupBy("subject_id").applyInPandas(run, "subject_id string, x double, y double, var_x double, var_y double, cov double, sign double, kind string")
 
 
 def lagged_positions(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, horizons: Sequence[int] = range(1, HORIZONS + 1)) -> DataFrame:
@@ -161,14 +233,17 @@ def coverage(predicted: DataFrame, band_table: DataFrame, axes: Sequence[str] =
 
 
 def fit(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, horizons: Sequence[int] = range(1, HORIZONS + 1)) -> dict:
-    """Models on all rows, bands from the test period, and the check of bands from the period before it."""
+    """Models on all rows, bands from the test period, and the check of bands from the period before it: all small, a row
+    a horizon."""
     rows = lagged_positions(positioned, axes, horizons).dropna()
     cuts = split_dates(positioned.filter(F.col(f"{axes[0]}_position").isNotNull()), (0.2, 0.4))
-    rows = rows.join(F.broadcast(cuts), "subject_id").persist()
+    rows = rows.join(cuts, "subject_id").persist()
     train = rows.filter("target_date < start_20")
     before = predictions(rows.filter("target_date >= start_40 AND target_date < start_20"), ridge(rows.filter("target_date < start_40"), axes), axes)
     test = predictions(rows.filter("target_date >= start_20"), ridge(train, axes), axes)
-    out = {"models": ridge(rows, axes), "bands": bands(test, axes), "coverage": coverage(test, bands(before, axes), axes)}
+    small = lambda df: rows.sparkSession.createDataFrame(df.collect(), df.schema)  # noqa: E731  a row a horizon
+    out = {"models": ridge(rows, axes), "bands": small(bands(test, axes)), "coverage": small(coverage(test, bands(before, axes), axes))}
+    rows.unpersist()
     return out
 
 

@@ -137,11 +137,15 @@ def _trail(c: str, n: int, least: int) -> str:
     return f"CASE WHEN count({c}) {w} >= {least} THEN avg({c}) {w} END"
 
 
-@query(by_day(f"""SELECT subject_id, date, round(a, 6) AS resting_hr_bpm_7d, round(b, 6) AS resting_hr_bpm_28d, round(a - b, 6) AS resting_hr_change_bpm, round(c, 6) AS hr_mean_bpm_7d, round(d, 6) AS hr_mean_bpm_28d, round(c - d, 6) AS hr_mean_change_bpm
-FROM (SELECT subject_id, date, {_trail('resting_hr_bpm', 7, 3)} AS a, {_trail('resting_hr_bpm', 28, 7)} AS b, {_trail('hr_mean_bpm', 7, 3)} AS c, {_trail('hr_mean_bpm', 28, 7)} AS d FROM days)"""))
+_SMOOTHED = ("steps", "sleep_hours", "hr_mean_bpm", "hr_p10_bpm", "resting_hr_bpm")
+
+
+@query(by_day(f"""SELECT subject_id, date, {', '.join(f"round({c}_{n}d, 6) AS {c}_{n}d" for c in _SMOOTHED for n in (7, 28))}, round(resting_hr_bpm_7d - resting_hr_bpm_28d, 6) + 0.0::DOUBLE AS resting_hr_change_bpm, round(hr_p10_bpm_7d - hr_p10_bpm_28d, 6) + 0.0::DOUBLE AS hr_p10_change_bpm
+FROM (SELECT subject_id, date, {', '.join(f"{_trail(c, n, least)} AS {c}_{n}d" for c in _SMOOTHED for n, least in ((7, 3), (28, 7)))} FROM (SELECT *, round(hr_mean_bpm * 0.5, 2) AS hr_p10_bpm FROM days))"""))
 def smoothing_7_28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scores.smoothed(days(spark, sf_dir), ["resting_hr_bpm", "hr_mean_bpm"])
-    return rounded(out.select("subject_id", "date", *[f"{c}_{k}" for c in ("resting_hr_bpm", "hr_mean_bpm") for k in ("7d", "28d")], "resting_hr_change_bpm", "hr_mean_change_bpm"), 6)
+    """The default columns, of which the table has five."""
+    out = scores.smoothed(days(spark, sf_dir).withColumn("hr_p10_bpm", F.round(F.col("hr_mean_bpm") * F.lit(0.5), 2)))
+    return rounded(out.select("subject_id", "date", *[c for c in out.columns if c.endswith(("_7d", "_28d", "_change_bpm"))]), 6)
 
 
 def _nearest(c: str, p: float) -> str:
@@ -178,7 +182,7 @@ UNION ALL SELECT subject_id, date, metric, value_str, source_type, sum(date_diff
     SELECT *, sum(CASE WHEN reach IS NULL OR start_local > reach THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, date, metric, value_str, source_type ORDER BY start_local, end_local ROWS UNBOUNDED PRECEDING) AS island FROM (
       SELECT *, max(end_local) OVER (PARTITION BY subject_id, date, metric, value_str, source_type ORDER BY start_local, end_local ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM obs WHERE value_str IS NOT NULL))
   GROUP BY 1, 2, 3, 4, 5, island) GROUP BY 1, 2, 3, 4, 5)"""
-_SERIES = f"""{_ROLLED}, ds AS (SELECT *, CASE WHEN value_str IS NULL THEN regexp_replace(metric, '^HK(Quantity|Category)TypeIdentifier', '') ELSE 'SleepAnalysis:' || replace(value_str, 'HKCategoryValueSleepAnalysis', '') END AS series FROM dv),
+_SERIES = f"""{_ROLLED}, ds AS (SELECT *, CASE WHEN value_str IS NULL THEN regexp_replace(metric, '^HK(Quantity|Category)TypeIdentifier', '') ELSE 'SleepAnalysis/' || replace(value_str, 'HKCategoryValueSleepAnalysis', '') END AS series FROM dv),
 tp AS (SELECT subject_id, date, series, arg_min(value, list_position(['wearable', 'phone', 'app'], source_type)) AS value, arg_min(source_type, list_position(['wearable', 'phone', 'app'], source_type)) AS chosen, CAST(count(*) AS BIGINT) AS available FROM ds GROUP BY 1, 2, 3)"""
 
 
@@ -197,11 +201,11 @@ def trust_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_series(spark, sf_dir))
 
 
-_WIDE = "wd AS (SELECT subject_id, date, " + ", ".join(f"max(CASE WHEN series = '{s}' THEN value END) AS \"{s}\"" for s in ("StepCount", "HeartRate", "SleepAnalysis:AsleepCore", "SleepAnalysis:AsleepREM", "SleepAnalysis:InBed")) + " FROM tp GROUP BY 1, 2)"
+_WIDE = "wd AS (SELECT subject_id, date, " + ", ".join(f"max(CASE WHEN series = '{s}' THEN value END) AS \"{s}\"" for s in ("StepCount", "HeartRate", "SleepAnalysis/AsleepCore", "SleepAnalysis/AsleepREM", "SleepAnalysis/InBed")) + " FROM tp GROUP BY 1, 2)"
 
 
 def _wide(spark: SparkSession, sf_dir: str, k: int = 150) -> DataFrame:
-    return relational.wide(_series(spark, sf_dir, k), ["StepCount", "HeartRate", "SleepAnalysis:AsleepCore", "SleepAnalysis:AsleepREM", "SleepAnalysis:InBed"])
+    return relational.wide(_series(spark, sf_dir, k), ["StepCount", "HeartRate", "SleepAnalysis/AsleepCore", "SleepAnalysis/AsleepREM", "SleepAnalysis/InBed"])
 
 
 @query(obs(f"SELECT * FROM (WITH {_SERIES}, {_WIDE} SELECT subject_id, date, round(\"StepCount\", 6) AS step_count, round(\"HeartRate\", 6) AS heart_rate FROM wd)", k=150))
@@ -209,7 +213,7 @@ def series_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_wide(spark, sf_dir).select("subject_id", "date", F.col("StepCount").alias("step_count"), F.col("HeartRate").alias("heart_rate")))
 
 
-@query(obs(f"""SELECT * FROM (WITH {_SERIES}, {_WIDE} SELECT subject_id, date, round(coalesce(CASE WHEN coalesce("SleepAnalysis:AsleepCore", "SleepAnalysis:AsleepREM") IS NOT NULL THEN coalesce("SleepAnalysis:AsleepCore", 0) + coalesce("SleepAnalysis:AsleepREM", 0) END, "SleepAnalysis:InBed"), 6) AS sleep_total FROM wd)""", k=150))
+@query(obs(f"""SELECT * FROM (WITH {_SERIES}, {_WIDE} SELECT subject_id, date, round(coalesce(CASE WHEN coalesce("SleepAnalysis/AsleepCore", "SleepAnalysis/AsleepREM") IS NOT NULL THEN coalesce("SleepAnalysis/AsleepCore", 0) + coalesce("SleepAnalysis/AsleepREM", 0) END, "SleepAnalysis/InBed"), 6) AS sleep_total FROM wd)""", k=150))
 def sleep_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _wide(spark, sf_dir)
     return rounded(wide.select("subject_id", "date", relational.sleep_total(wide).alias("sleep_total")))

@@ -95,7 +95,7 @@ def units_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN n = 'SleepAnalysis' THEN 'HKCategoryTypeIdentifierSleepAnalysis' WHEN n = 'StepCount' THEN 'HKQuantityTypeIdentifierStepCount' ELSE n END AS metric,
 CASE WHEN n = 'SleepAnalysis' THEN 'HKCategoryValueSleepAnalysisAwake' ELSE 'Awake' END AS value, n <> 'Mood' AS healthkit,
 CASE n WHEN 'StepCount' THEN 'sum' WHEN 'SleepAnalysis' THEN 'duration' ELSE 'mean' END AS daily_rule,
-CASE n WHEN 'SleepAnalysis' THEN 'SleepAnalysis:Awake' WHEN 'HKQuantityTypeIdentifierHeartRate' THEN 'HeartRate:Awake' ELSE n || ':Awake' END AS series FROM m""")
+CASE n WHEN 'SleepAnalysis' THEN 'SleepAnalysis/Awake' WHEN 'HKQuantityTypeIdentifierHeartRate' THEN 'HeartRate/Awake' ELSE n || '/Awake' END AS series FROM m""")
 def metric_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(n) for n in ("StepCount", "SleepAnalysis", "HKQuantityTypeIdentifierHeartRate", "Mood")]), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", vocabulary.restore_prefix(name).alias("metric"))

@@ -282,15 +282,29 @@ def umap_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embedding.mapped(s.select("subject_id", "date", *_DIMS), _DIMS, "umap"), 3)
 
 
-_CLUSTERS = [(0.5, 0.5, 0.2, 0.3, 0.05, 0.6, 1.0), (-0.5, -0.25, 0.25, 0.2, -0.05, 0.4, -1.0)]
+_CLUSTERS = [(0.5, 0.5, 0.2, 0.3, 0.05, 1.0), (-0.5, -0.25, 0.25, 0.2, -0.05, -1.0), (0.0, 0.0, 0.1, 0.1, 0.1, 1.0)]
+_C_SQL = "c AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.5::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE), (-0.5, -0.25, 0.25, 0.2, -0.05, -1.0), (0.0, 0.0, 0.1, 0.1, 0.1, 1.0)) t(x, y, vx, vy, cov, sign) WHERE vx * vy - cov * cov > 0)"
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES (0.5::DOUBLE, 0.5::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.05::DOUBLE, 0.6::DOUBLE, 1.0::DOUBLE), (-0.5, -0.25, 0.25, 0.2, -0.05, 0.4, -1.0)) t(x, y, vx, vy, cov, weight, sign)),
-g AS (SELECT -1 + i * (2 / 20.0::DOUBLE) AS gx, -1 + j * (2 / 20.0::DOUBLE) AS gy FROM range(21) a(i), range(21) b(j)), d AS (SELECT *, vx * vy - cov * cov AS det, gx - x AS dx, gy - y AS dy FROM g, c)
-SELECT round(gx, 6) + 0.0::DOUBLE AS gx, round(gy, 6) + 0.0::DOUBLE AS gy, round(sum(sign * weight * exp(-(vy * dx * dx - 2 * cov * dx * dy + vx * dy * dy) / det / 2) / (2 * pi() * sqrt(det))), 6) + 0.0::DOUBLE AS height FROM d GROUP BY 1, 2""")
+def _made_clusters(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CLUSTERS, "x double, y double, var_x double, var_y double, cov double, sign double")
+
+
+def _height(x: str, y: str) -> str:
+    return f"(SELECT sum(sign * exp(-(vy * pow({x} - x, 2) - 2 * cov * ({x} - x) * ({y} - y) + vx * pow({y} - y, 2)) / (vx * vy - cov * cov) / 2) / (2 * pi() * sqrt(vx * vy - cov * cov))) FROM c)"
+
+
+_GRID = f"WITH {_C_SQL}, g AS (SELECT -1 + i * (2 / 20.0::DOUBLE) AS gx, -1 + j * (2 / 20.0::DOUBLE) AS gy FROM range(21) a(i), range(21) b(j)), d AS (SELECT gx, gy, {_height('gx', 'gy')} AS height FROM g)"
+
+
+@query(f"{_GRID} SELECT round(gx, 6) + 0.0::DOUBLE AS gx, round(gy, 6) + 0.0::DOUBLE AS gy, round(height, 6) + 0.0::DOUBLE AS height FROM d")
 def terrain_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.createDataFrame(_CLUSTERS, "x double, y double, var_x double, var_y double, cov double, weight double, sign double")
-    return rounded(insight.terrain(c, -1.0, 1.0, 21))
+    return rounded(insight.terrain(_made_clusters(spark), -1.0, 1.0, 21))
+
+
+@query(f"{_GRID} SELECT CAST(k AS INT) AS level, round((k + 0.5::DOUBLE) * (SELECT max(abs(height)) FROM d) / 9.0::DOUBLE, 6) AS threshold FROM range(9) t(k)")
+def contour_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(insight.contours(insight.terrain(_made_clusters(spark), -1.0, 1.0, 21)))
 
 
 @query(by_day("SELECT subject_id, round(avg(CASE WHEN age < 30 THEN steps END), 6) AS now, round(avg(CASE WHEN age >= 30 THEN steps END), 6) AS before, round(avg(CASE WHEN age < 30 THEN steps END) - avg(CASE WHEN age >= 30 THEN steps END), 6) AS change FROM (SELECT *, date_diff('day', date, max(date) OVER (PARTITION BY subject_id)) AS age FROM days) WHERE age < 60 GROUP BY 1"))
@@ -321,15 +335,32 @@ def simulate_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(insight.simulated(path, F.lit(2.0), "habit").select("subject_id", "date", "simulated"))
 
 
-@query(by_day(f"SELECT * FROM (WITH {_POS} SELECT subject_id, date, CASE WHEN activity_position > 0.25 THEN 'active' WHEN activity_position < -0.25 THEN 'quiet' ELSE 'usual' END || ' ' || CASE WHEN recovery_position > 0.25 THEN 'rested' WHEN recovery_position < -0.25 THEN 'tired' ELSE 'steady' END AS region FROM ps)"))
+def _band(x: str) -> str:
+    return f"CASE WHEN {x} > 0.25 THEN 1 WHEN {x} < -0.25 THEN 3 ELSE 2 END"
+
+
+_NAMES = "[['Strong stretch', 'More active', 'Pushing hard'], ['Well rested', 'Your usual', 'Less rested'], ['Resting', 'Less active', 'Worn out']]"
+
+
+@query(by_day(f"SELECT * FROM (WITH {_POS} SELECT subject_id, date, {_NAMES}[{_band('activity_position')}][{_band('recovery_position')}] AS region FROM ps)"))
 def region_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = trajectory.positions(_axes(spark, sf_dir))
     return p.select("subject_id", "date", insight.region(F.col("activity_position"), F.col("recovery_position")).alias("region"))
 
 
-@query(by_day(f"SELECT * FROM (WITH {_POS}, sv AS (SELECT subject_id, date, activity_position - lag(activity_position, 7) OVER (PARTITION BY subject_id ORDER BY date) AS mv, max(activity_position) OVER (PARTITION BY subject_id) - min(activity_position) OVER (PARTITION BY subject_id) AS rl FROM ps) SELECT subject_id, date, round(mv, 6) + 0.0::DOUBLE AS move, CASE WHEN mv > 0.08 * rl THEN 'climbing' WHEN mv < -0.08 * rl THEN 'falling' ELSE 'level' END AS slope, CASE WHEN mv > 0.05 THEN 'up' WHEN mv < -0.05 THEN 'down' ELSE 'same' END AS week FROM sv WHERE mv IS NOT NULL)"))
+_WORD = "CASE WHEN {0} > 0.05 THEN 'rose' WHEN {0} < -0.05 THEN 'fell' ELSE 'held steady' END"
+
+
+@query(by_day(f"""SELECT * FROM (WITH {_POS}, {_C_SQL}, td AS (SELECT subject_id, date, activity_position AS a, recovery_position AS r, activity_position - lag(activity_position, 7) OVER w AS ma, recovery_position - lag(recovery_position, 7) OVER w AS mr FROM ps WINDOW w AS (PARTITION BY subject_id ORDER BY date) QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY date DESC) = 1),
+hs AS (SELECT *, ({_height('(a + 0.5::DOUBLE)', '(r - 0.25::DOUBLE)')} - {_height('a', 'r')}) / (SELECT max(abs(h)) FROM (SELECT sum(c.sign * exp(-(c.vy * pow(k.x - c.x, 2) - 2 * c.cov * (k.x - c.x) * (k.y - c.y) + c.vx * pow(k.y - c.y, 2)) / (c.vx * c.vy - c.cov * c.cov) / 2) / (2 * pi() * sqrt(c.vx * c.vy - c.cov * c.cov))) AS h FROM (SELECT x, y FROM c UNION ALL SELECT 0.0, 0.0) k, c GROUP BY k.x, k.y)) AS climb FROM td)
+SELECT subject_id, round(climb, 6) AS climb, CASE WHEN climb > 0.08 THEN 'You are climbing toward healthier ground' WHEN climb < -0.08 THEN 'You are sliding toward a low point' ELSE 'You are holding steady' END AS headline,
+'Over the past week, ' || CASE WHEN {_WORD.format('ma')} = {_WORD.format('mr')} THEN 'Fitness and Reserve both ' || {_WORD.format('ma')} ELSE 'Fitness ' || {_WORD.format('ma')} || ' and Reserve ' || {_WORD.format('mr')} END || '. In 30 days the model expects you in the “' || {_NAMES}[{_band('a + 0.5')}][{_band('r - 0.25')}] || '” area.' AS dek FROM hs)"""))
 def story_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(insight.story(trajectory.positions(_axes(spark, sf_dir)), "activity"))
+    """Stories on made clusters and a made path, half a unit up and a quarter down."""
+    p = trajectory.positions(_axes(spark, sf_dir))
+    end = calendar.latest(p, 1).select("subject_id", F.lit(30).alias("horizon"), (F.col("activity_position") + 0.5).alias("activity_predicted"), (F.col("recovery_position") - 0.25).alias("recovery_predicted"))
+    clusters = p.select("subject_id").distinct().crossJoin(F.broadcast(_made_clusters(spark)))
+    return rounded(insight.story(p, end, clusters))
 
 
 @query(by_day("SELECT subject_id, max(date) AS date, max(CASE WHEN age = 0 THEN steps END) AS today, round(median(CASE WHEN age BETWEEN 1 AND 30 THEN steps END), 6) AS usual, round(max(CASE WHEN age = 0 THEN steps END) - median(CASE WHEN age BETWEEN 1 AND 30 THEN steps END), 6) AS delta, CASE WHEN max(CASE WHEN age = 0 THEN steps END) > median(CASE WHEN age BETWEEN 1 AND 30 THEN steps END) THEN 'good' ELSE 'bad' END AS tone FROM (SELECT *, date_diff('day', date, max(date) OVER (PARTITION BY subject_id)) AS age FROM days) GROUP BY 1"))
@@ -338,9 +369,10 @@ def metric_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.withColumn("tone", insight.tone(F.col("delta"), F.lit(1))))
 
 
-@query(by_day(f"SELECT * FROM (WITH {_POS} SELECT subject_id, round(median(sqrt(activity_velocity * activity_velocity + recovery_velocity * recovery_velocity)), 6) AS median_velocity FROM ps GROUP BY 1)"))
+@query(by_day(f"SELECT * FROM (WITH {_POS} SELECT subject_id, round(m, 6) AS median_velocity, round(CASE WHEN t > 0 THEN least(84, greatest(20, 40 * t / CASE WHEN m > 0 THEN m ELSE 1 END)) / t ELSE 0 END, 6) AS scale FROM (SELECT subject_id, median(v) AS m, arg_max(v, date) AS t FROM (SELECT *, sqrt(pow(activity_velocity * 120, 2) + pow(recovery_velocity * 90, 2)) AS v FROM ps) GROUP BY 1))"))
 def arrow_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(insight.arrow_scale(trajectory.positions(_axes(spark, sf_dir))))
+    """Arrows on a screen of 120 and 90 pixels a unit."""
+    return rounded(insight.arrow_scale(trajectory.positions(_axes(spark, sf_dir)), {"activity": 120.0, "recovery": 90.0}))
 
 
 @query(by_day("SELECT subject_id, date, round(avg(steps) OVER (PARTITION BY subject_id ORDER BY date RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW), 6) AS mean FROM days"))
@@ -355,15 +387,34 @@ def ranked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insight.ranked_regions(c).select("name", "kind", "rank")
 
 
-@query(by_day("SELECT subject_id, min(date) AS first, max(date) AS last, CAST(count(*) AS BIGINT) AS days FROM days GROUP BY 1"))
+@query(by_day("SELECT DISTINCT subject_id, upper(replace(subject_id, '_', ' ')[1]) || lower(replace(subject_id, '_', ' ')[2:]) AS label FROM days"))
 def export_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.index(days(spark, sf_dir))
 
 
 @query()
 def subject_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON documents; their text has no like in SQL."""
-    return export.payloads(_axes(spark, sf_dir))
+    """JSON documents; a test rebuilds them day by day."""
+    d = _axes(spark, sf_dir)
+    return export.payloads(d, trajectory.fit(trajectory.positions(d)))
+
+
+@query(by_day("SELECT subject_id, unnest(['steps', 'resting_hr_bpm', 'sleep_hours']) AS metric, unnest([s, r, h]) AS points FROM (SELECT subject_id, CAST(count(steps) AS BIGINT) AS s, CAST(count(resting_hr_bpm) AS BIGINT) AS r, CAST(count(sleep_hours) AS BIGINT) AS h FROM (SELECT * FROM days QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY date DESC) <= 365) GROUP BY 1)"))
+def card_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards of a subject's document with the number of their points."""
+    found = export.series(days(spark, sf_dir)).select("subject_id", F.explode("series").alias("s"))
+    return found.select("subject_id", F.col("s.metric").alias("metric"), F.size("s.points").cast("long").alias("points"))
+
+
+@query(by_day(f"SELECT * FROM (WITH {SCORES} SELECT subject_id, CAST(arg_max((activity__steps IS NOT NULL)::INT + (activity__sedentary_hours IS NOT NULL)::INT, date) AS INT) AS activity, CAST(arg_max((recovery__sleep_hours IS NOT NULL)::INT + (recovery__resting_hr_bpm IS NOT NULL)::INT, date) AS INT) AS recovery FROM sc WHERE activity_score IS NOT NULL AND recovery_score IS NOT NULL GROUP BY 1)"))
+def ingredient_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.counts(trajectory.positions(_axes(spark, sf_dir))).select("subject_id", "counts.*")
+
+
+@query()
+def subject_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixtures of a subject's own positions; expectation and maximisation has no SQL."""
+    return rounded(trajectory.subject_clusters(trajectory.positions(_axes(spark, sf_dir))), 4)
 
 
 def nullable_any(columns: list[str]):

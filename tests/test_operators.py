@@ -1,6 +1,7 @@
 """Features, series and models on known answers."""
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from chronolith.functions import schema
+from chronolith.functions import schema, vocabulary
 from chronolith.operators import calendar, daily, embedding, forecast, insight, intervals, relational, scores, stationarity, trajectory
 from chronolith.plans import export, ingest, model
 from chronolith.streaming import ingest as streaming
@@ -247,7 +248,95 @@ def test_whole_model_and_export(spark, tmp_path):
         model.run_forecast(spark, str(tmp_path / "obs"), str(tmp_path / "f"), horizons=(0,))
     export.run(spark, str(tmp_path / "m/daily_features.parquet"), str(tmp_path / "x"))
     docs = spark.read.json(str(tmp_path / "x/subjects"))
-    assert {"history", "series", "iqr", "contributions", "forecast", "as_of"} <= set(docs.columns) and docs.count() == 2
+    assert {"trajectory", "series", "scaling"} <= set(docs.columns) and docs.count() == 2
+    assert {r.label for r in spark.read.json(str(tmp_path / "x/index")).collect()} == {"Subject a", "Subject b"}
+    made = json.loads((tmp_path / "x/model.json").read_text())
+    assert set(made) == {"halfLifeDays", "keep", "axes", "factors", "pullFactor", "clusterRule", "forecast"} and len(made["forecast"]["coefficients"]) == 30
+
+
+def test_subject_payload_day_by_day(spark):
+    rng = np.random.default_rng(6)
+    names = ["steps", "sedentary_hours", "sleep_hours", "resting_hr_bpm", "hrv_sdnn_ms", "exercise_minutes"]
+    rows = [tuple(None if rng.random() < 0.2 else float(rng.integers(0, 50)) for _ in names[:5]) + (None,) for _ in range(420)]
+    rows[-1] = (None, None, *rows[-1][2:])  # no activity on the last day
+    d = scores.axis_scores(days(spark, names, rows).withColumn("exercise_minutes", F.col("exercise_minutes").cast("double")))
+    fitted = trajectory.fit(trajectory.positions(d), horizons=(1, 7))
+    (found,) = export.payloads(d, fitted).collect()
+    got = json.loads(found.document)
+    subject = found.subject_id
+
+    x = {c: [r[k] for r in rows] for k, c in enumerate(names)}
+    spread, part = {}, {}
+    for c in names[:5]:
+        seen = sorted(v for v in x[c] if v is not None)
+        at = lambda p: seen[int((len(seen) - 1) * p + 0.5)]  # noqa: B023, E731
+        spread[c] = at(0.75) - at(0.25)
+        part[c] = [None if v is None or not spread[c] else (v - float(np.median(seen))) / spread[c] for v in x[c]]
+    assert got["scaling"]["iqr"] == dict(sorted(spread.items()))
+    axes = {a: {c: s for c, s in own.items() if c in names[:5]} for a, own in scores.AXES.items()}
+    position, velocity, count, share = ({a: [] for a in axes} for _ in range(4))
+    for a, own in axes.items():
+        before = 0.0
+        for i in range(len(rows)):
+            values = {c: s * part[c][i] for c, s in own.items() if part[c][i] is not None}
+            moved, own_share = 0.0, {}
+            if values:
+                for c, v in values.items():
+                    own_share[trajectory.FACTORS[c]] = own_share.get(trajectory.FACTORS[c], 0.0) + (1 - trajectory.KEEP) * v / len(values)
+                own_share["pull"] = -(1 - trajectory.KEEP) * before
+                moved = (1 - trajectory.KEEP) * (sum(values.values()) / len(values) - before)
+            before += moved
+            position[a].append(before), velocity[a].append(moved), count[a].append(len(values)), share[a].append(own_share)
+    path = got["trajectory"]
+    dates = [r.date.isoformat() for r in d.orderBy("date").collect()]
+    assert (path["subjectId"], path["asOf"], path["keep"]) == (subject, dates[-1], trajectory.KEEP)
+    assert [h["date"] for h in path["history"]] == dates[-180:]
+    for k, h in enumerate(path["history"], len(rows) - 180):
+        for a in axes:
+            assert abs(h["position"][a] - position[a][k]) < 1e-9 and abs(h["velocity"][a] - velocity[a][k]) < 1e-9
+    want = [f for f in export.factors() if any(share[a][-1].get(f, 0.0) for a in axes)]
+    assert [c["factor"] for c in path["contributions"]] == want
+    assert all(abs(c[a] - share[a][-1].get(c["factor"], 0.0)) < 1e-9 for c in path["contributions"] for a in axes)
+    assert [p["date"] for p in path["prediction"]] == [(dt.date.fromisoformat(dates[-1]) + dt.timedelta(days=h)).isoformat() for h in (1, 7)]
+    for h, p in zip((1, 7), path["prediction"], strict=True):
+        z = np.array([position[a][-1 - k] for a in axes for k in (0, 7)])
+        for a in axes:
+            w, b = fitted["models"][h][a]
+            assert abs(p["position"][a] - (w @ z + b)) < 1e-9 and p["low"][a] <= p["high"][a]
+    points = np.array([position[a] for a in axes]).T
+    made = trajectory.grouped(points)
+    assert len(path["clusters"]) == len(made) >= 2
+    for c in path["clusters"]:
+        assert any(np.allclose([c["center"][a] for a in axes], m, atol=1e-6) and np.allclose(c["covariance"], v, atol=1e-6) for m, v in made)
+        assert c["kind"] == ("healthy" if sum(c["center"].values()) >= 0 else "unhealthy")
+    assert [s["metric"] for s in got["series"]] == [c for c in export.CARDS if c in names[:5]]
+    for s in got["series"]:
+        assert s["points"] == [{"date": t, "value": v} for t, v in zip(dates[-365:], x[s["metric"]][-365:], strict=True) if v is not None]
+    last = max(i for i in range(len(rows)) if all(count[a][i] for a in axes))
+    assert got["scaling"]["counts"] == {a: count[a][last] for a in axes}
+
+
+def test_mixture_finds_made_clusters():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(300, 2)) * [0.3, 0.1] + [2, 0], rng.normal(size=(200, 2)) * 0.2 - [2, 1], rng.normal(size=(250, 2)) * [0.1, 0.4] + [0, 3]])
+    found = sorted((tuple(m), v) for m, v in trajectory.grouped(x))
+    assert len(found) == 3
+    for (m, v), (want, spread) in zip(found, [((-2, -1), (0.04, 0.04)), ((0, 3), (0.01, 0.16)), ((2, 0), (0.09, 0.01))], strict=True):
+        assert np.allclose(m, want, atol=0.1) and np.allclose(np.diag(v), spread, atol=0.03)
+    assert trajectory.grouped(x[:15]) == []
+    assert len(trajectory.grouped(np.zeros((40, 2)))) >= 2  # points that are all the same
+
+
+def test_names_of_series(spark):
+    rows = [("HKQuantityTypeIdentifierStepCount", None, "StepCount"), ("HKCategoryTypeIdentifierSleepAnalysis", "HKCategoryValueSleepAnalysisAsleepREM", "SleepAnalysis/AsleepREM"), ("HKCategoryTypeIdentifierAudioExposureEvent", "HKCategoryValueNotApplicable", "AudioExposureEvent/Event"), ("HKCategoryTypeIdentifierAppleStandHour", "HKCategoryValueAppleStandHourStood", "AppleStandHour/Stood"), ("HKCategoryTypeIdentifierMindfulSession", "", "MindfulSession/Event"), ("SleepScore", None, "SleepScore"), ("HKCategoryTypeIdentifierToothbrushingEvent", "HKCategoryValueToothbrushingEvent", "ToothbrushingEvent/Event")]
+    got = spark.createDataFrame(rows, "m string, v string, want string").select("want", vocabulary.series_name(F.col("m"), F.col("v")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_names_of_places(spark):
+    rows = [(0.3, 0.3, "Strong stretch"), (0.3, 0.0, "More active"), (0.3, -0.3, "Pushing hard"), (0.25, 0.26, "Well rested"), (0.0, -0.25, "Your usual"), (0.0, -0.3, "Less rested"), (-0.3, 0.3, "Resting"), (-0.3, 0.1, "Less active"), (-1.0, -1.0, "Worn out")]
+    got = spark.createDataFrame(rows, "a double, r double, want string").select("want", insight.region(F.col("a"), F.col("r")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_streaming_matches_batch(spark, tmp_path):
