@@ -70,6 +70,34 @@ QUERIES: dict[str, Query] = {
     "op10_minhash": op10_minhash,
 }
 
+
+
+def _quality_sql(levels: int = 15) -> str:
+    """Ranks of windows of 1, 2, 4 ... words by doubling; the longest repeat of a text is put together from its largest
+    power down, as a text that repeats a window repeats every shorter one. Texts of up to 2 ** ``levels`` words."""
+    parts = [
+        r"d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)",
+        "r0 AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY x) AS r FROM (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM d))",
+    ]
+    for k in range(1, levels):
+        parts.append(f"r{k} AS MATERIALIZED (SELECT a.doc_id, a.i, dense_rank() OVER (ORDER BY a.r, b.r) AS r FROM r{k - 1} a JOIN r{k - 1} b ON b.doc_id = a.doc_id AND b.i = a.i + {2 ** (k - 1)})")
+    parts.append(f"s{levels} AS MATERIALIZED (SELECT doc_id, i, 0 AS n, 0 AS r FROM r0)")
+    for k in range(levels - 1, -1, -1):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT s.doc_id, s.i, s.n + {2 ** k} AS n, dense_rank() OVER (ORDER BY s.r, b.r) AS r FROM s{k + 1} s JOIN r{k} b ON b.doc_id = s.doc_id AND b.i = s.i + s.n)")
+        parts.append(f"g{k} AS MATERIALIZED (SELECT DISTINCT doc_id FROM (SELECT doc_id, r FROM c{k} GROUP BY 1, 2 HAVING count(*) > 1))")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT doc_id, i, n, r FROM c{k} SEMI JOIN g{k} USING (doc_id) UNION ALL SELECT doc_id, i, n, r FROM s{k + 1} ANTI JOIN g{k} USING (doc_id))")
+    parts.append("r_three AS (SELECT a.doc_id, a.i, dense_rank() OVER (ORDER BY a.r, b.r) AS r FROM r1 a JOIN r0 b ON b.doc_id = a.doc_id AND b.i = a.i + 2)")
+    for name, ranks, width in (("repeated", "r_three", 3), ("covered", "r3", 8)):
+        parts.append(f"{name} AS (SELECT doc_id, count(*) AS n FROM (SELECT p.doc_id, max(CASE WHEN f.c > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW) AS hit FROM r0 p LEFT JOIN (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, r) AS c FROM {ranks}) f ON f.doc_id = p.doc_id AND f.i = p.i) WHERE hit = 1 GROUP BY 1)")
+    parts += [
+        "longest AS (SELECT doc_id, max(n) AS n FROM s0 GROUP BY 1)",
+        r"lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1)",
+        "counts AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS covered_words, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_repeat FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN longest USING (doc_id))",
+        "judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT *, NOT (base_failed OR 100 * covered_words > 30 * n_words OR longest_repeat > 40 AND 100 * longest_repeat > 25 * n_words) AS kept FROM judged"
+
+
 ORACLES: dict[str, str] = {
     "op1_mixing": r"""
 WITH d AS (
@@ -130,6 +158,7 @@ a AS (SELECT k.doc_id, CAST(sum(gone::INT) AS BIGINT) AS n_removed, CAST(sum(fir
       FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(a.n_removed, 0) AS n_removed, coalesce(a.n_spans, 0) AS n_spans, sha256(unhex(coalesce(a.kept, ''))) AS kept_sha256
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id""",
+    "op7_quality_rules": _quality_sql(),
     "op10_minhash": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

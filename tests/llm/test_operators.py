@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -115,7 +116,7 @@ def test_schedule_inverse(spark):
 
 
 def test_token_store_round_trip(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     from tokenizers import Tokenizer
 
@@ -303,6 +304,167 @@ def test_quotation_links_of_deep_short_and_part_quotes(spark):
     assert got == {(1, 0): (None, None), (1, 1): (None, None), (1, 2): (1, 1), (1, 3): (1, 0), (2, 0): (1, 0), (3, 0): (None, None), (1, 4): (1, 1)}
 
 
+def quotation_by_brute_force(rows):
+    """Replies by comparing every quoted passage with all messages, in plain loops."""
+    said = lambda text, level: {q for run in _runs(text, level) for q in _parts(run)}
+    depth = lambda line: len(line) - len(line.lstrip("> ")) and line[: len(line) - len(line.lstrip("> "))].count(">")
+
+    def _runs(text, level):
+        out, last = [], None
+        lines = text.split("\n")
+        marked = any(depth(x) for x in lines)
+        for i, line in enumerate(lines):
+            k = depth(line)
+            if k == level and not (level == 0 and marked and line.endswith("wrote:") and i + 1 < len(lines) and depth(lines[i + 1])):
+                if level and last != k:
+                    out.append([])
+                elif not level and not out:
+                    out.append([])
+                out[-1].append(line.lstrip("> ") if level else line)
+            last = k
+        return out
+
+    def _parts(run):
+        flat = lambda x: " ".join(x.split()).lower()
+        yield flat(" ".join(run))
+        for paragraph in "\n".join(run).split("\n\n"):
+            yield flat(paragraph)
+            yield from (flat(line) for line in paragraph.split("\n"))
+            yield from re.split(r"(?<=[.!?])\s+", flat(paragraph))
+
+    own = [{p for p in said(t, 0) if p} for *_, t in rows]
+    answers = {}
+    for conv, turn, _, text in rows:
+        votes, seen = {}, set()
+        for level in (1, 2, 3):
+            for p in said(text, level) - seen - {""}:
+                seen.add(p)
+                here = [t for (c, t, *_), o in zip(rows, own, strict=True) if c == conv and p in o]
+                anywhere = [(c, t) for (c, t, *_), o in zip(rows, own, strict=True) if p in o and len(p) >= quotes.LEAST_CHARS]
+                target = (conv, min(here)) if here and min(here) < turn else min(anywhere) if anywhere and min(anywhere) < (conv, turn) else None
+                if target:
+                    votes[(level, target)] = votes.get((level, target), 0) + len(p)
+        best = min(votes, key=lambda v: (v[0], v[1][0] != conv, -votes[v], v[1]), default=None)
+        answers[(conv, turn)] = best[1] if best else None
+    return answers
+
+
+def test_quotations_against_brute_force(spark):
+    rng = random.Random(11)
+    words = "red green blue big small old new cat dog bird tree house river road went came saw met".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5, 9]))).capitalize() + rng.choice(".!?")
+    rows, told = [], []
+    for conv in range(12):
+        for turn in range(rng.randrange(2, 9)):
+            lines = []
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                if told:
+                    quoted = rng.choice(told[-12:])
+                    part = rng.choice([quoted, quoted.split("\n")[0], quoted.split("\n")[-1]])
+                    level = rng.choice([1, 1, 2, 3])
+                    if rng.random() < 0.3:
+                        lines.append("On Monday Ann wrote:")
+                    lines += ["> " * level + x for x in part.split("\n") if x]
+            lines.append(" ".join(sentence() for _ in range(rng.choice([1, 2]))))
+            if rng.random() < 0.3:
+                lines += ["", sentence()]
+            rows.append((conv, turn, "user", "\n".join(lines)))
+            told.append("\n".join(x for x in lines if not x.startswith(">") and not x.endswith("wrote:")).strip())
+    want = quotation_by_brute_force(rows)
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) if r.reply_conv is not None else None for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert sum(v is not None for v in want.values()) > 20 and got == want
+
+
+def test_inclusion_scores_of_whole_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(12).union(spark.createDataFrame([(-1, "an"), (-2, ""), (-3, None)], "doc_id long, text string"))
+    model = piece_sampling.model_path()
+    two, three = ({r.doc_id: r.samples for r in piece_sampling.encode(docs, model, k=k).collect()} for k in (2, 3))
+    import math
+
+    lattices = piece_sampling.Lattices(model)
+    for i, own in two.items():
+        assert [s.ids for s in own] == [s.ids for s in three[i][:2]]
+        weights = [sum(lattices.weight[x] for x in s.ids) for s in three[i]]
+        for s, w in zip(three[i], weights, strict=True):  # the same normaliser for every segmentation of a text
+            assert abs((s.log_prob - w) - (three[i][0].log_prob - weights[0])) < 1e-3 * max(1.0, abs(w))
+        for s in own:  # the chance that its own variable exceeds the next in line
+            want = -math.expm1(-math.exp(s.log_prob - three[i][2].perturbed)) if len(three[i]) > 2 else 1.0
+            assert abs(s.inclusion - want) < 1e-9
+
+
+def test_licences_of_whole_rows(spark):
+    import math
+
+    rng = random.Random(2)
+    names = ["MIT", "Apache-2.0", "GPL-3.0-only", "LicenseRef-Proprietary", "Artistic-2.0", "OFL-1.1", "BSD-3-Clause"]
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(names) + rng.choice(["", "", " WITH Classpath-exception-2.0"])
+        inner = f"{expression(depth - 1)} {rng.choice(['AND', 'OR'])} {expression(depth - 1)}"
+        return f"({inner})" if rng.random() < 0.5 else inner
+
+    phrases = [*licenses.BASE, *licenses.NOTICES, "some words", "mit", "license", "copyright"]
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(phrases).title() for _ in range(rng.randrange(0, 4))]
+        if rng.random() < 0.5:
+            parts.append("SPDX-License-Identifier: " + expression(rng.randrange(0, 4)))
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(parts)))
+    rows += [(200, "SPDX-License-Identifier: MIT AND LicenseRef-Proprietary"), (201, "SPDX-License-Identifier: Artistic-2.0 AND GPL-3.0-only"), (202, "SPDX-License-Identifier: OFL-1.1"), (203, "SPDX-License-Identifier: MIT OR Artistic-2.0"), (204, "SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND OFL-1.1")]
+
+    def judged(text):
+        """A recursive parser of the whole expression: labels and whether permissive terms may be chosen."""
+        tokens = re.findall(r"[()]|[^\s()]+", text.lower())
+
+        def atom():
+            t = tokens.pop(0)
+            if t == "(":
+                out = either()
+                assert tokens.pop(0) == ")"
+                return out
+            known = [(label, free) for start, label, free in licenses.FAMILIES if t == start or t.startswith(start + "-")]
+            out = ({known[0][0]}, known[0][1]) if known else ({t}, False)
+            if tokens[:1] == ["with"]:
+                del tokens[:2]
+            return out
+
+        def both():
+            out = atom()
+            while tokens[:1] == ["and"]:
+                tokens.pop(0)
+                labels, free = atom()
+                out = out[0] | labels, out[1] and free
+            return out
+
+        def either():
+            out = both()
+            while tokens[:1] == ["or"]:
+                tokens.pop(0)
+                labels, free = both()
+                out = out[0] | labels, out[1] or free
+            return out
+
+        out = either()
+        assert not tokens
+        return out
+
+    def brute(text):
+        words = re.findall(r"[0-9a-z]+", text.lower())
+        has = lambda p: any(words[k : k + len(p.split())] == p.split() for k in range(len(words)))
+        base = {label for p, label in licenses.BASE.items() if has(p)}
+        tags = [judged(m) for m in re.findall(r"SPDX-License-Identifier: (.*)", text)]
+        labels = base | {label for p, (label, _) in licenses.NOTICES.items() if has(p)} | {x for own, _ in tags for x in own}
+        doubt = math.prod([1 - licenses.BASE_WEIGHT for p in licenses.BASE if has(p)] + [1 - w for p, (_, w) in licenses.NOTICES.items() if has(p)] + [1 - licenses.TAG_WEIGHT for _ in tags])
+        return ",".join(sorted(base)), ",".join(sorted(labels)), round(1 - doubt, 6), all(free for _, free in tags) if tags else None
+
+    got = {r.doc_id: (r.base_labels, r.labels, r.score, r.permissive) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == brute(text), text
+    assert got[200][1:] == ("licenseref-proprietary,mit", 0.95, False) and got[203][3] is True and got[204][3] is False
+
+
 def test_decoding(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(30)
     model = piece_sampling.model_path()
