@@ -149,6 +149,21 @@ def arrow_scale(positioned: DataFrame, pixels: Mapping[str, float] | None = None
     return out.select("subject_id", "median_velocity", F.when(F.col("today") > 0, target / F.col("today")).otherwise(0.0).alias("scale"))
 
 
+def smooth_path(path: DataFrame, columns: Sequence[str], sigma: float, order: str = "date", key: str = "subject_id") -> DataFrame:
+    """A path with Gaussian smoothing of ``columns``; the width shrinks towards both ends, which stay where they are.
+
+    A row meets the at most 3 * sigma rows on either side of it, by an exploded number of the row, so no path is gathered.
+    """
+    own = Window.partitionBy(key)
+    placed = path.withColumns({"__i": F.row_number().over(own.orderBy(order)) - 1, "__n": F.count("*").over(own)})
+    width = F.least(F.lit(float(sigma)), F.col("__i") / 2, (F.col("__n") - 1 - F.col("__i")) / 2)
+    asked = placed.select(F.col(key), F.col("__i"), width.alias("__s"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("__i") - F.ceil(3 * width)), F.least(F.col("__n") - 1, F.col("__i") + F.ceil(3 * width)))).alias("__j"))
+    near = placed.select(F.col(key), F.col("__i").cast("long").alias("__j"), *columns)
+    weight = F.when(F.col("__s") > 0, F.exp(-F.pow(F.col("__j") - F.col("__i"), F.lit(2.0)) / (2 * F.col("__s") * F.col("__s")))).otherwise(1.0)
+    mixed = asked.withColumn("__j", F.col("__j").cast("long")).join(near, [key, "__j"]).groupBy(key, "__i").agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(c) for c in columns])
+    return placed.drop(*columns, "__n").join(mixed, [key, "__i"]).drop("__i").select(*path.columns)
+
+
 def contribution_totals(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("subject_id", "axis", "factor").agg(F.sum("value").alias("total"))
 

@@ -122,19 +122,30 @@ def cooccurrence(long: DataFrame) -> DataFrame:
     return out.select("a", "b", "both", (F.col("both") / F.col("n_a")).alias("given_a"), (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
 
 
-def similarity_order(pairs: Mapping[tuple[str, str], float], names: Sequence[str]) -> list[str]:
-    """A greedy chain of names, each next to the one most like it; for a chart of some dozens of names."""
-    left = sorted(names)
-    if not left:
-        return []
-    out = [max(left, key=lambda n: (sum(pairs.get((n, m), 0.0) for m in left), n))]
-    left.remove(out[0])
+def similarity_order(pairs: Mapping[tuple[str, str], float], counts: Mapping[str, int]) -> list[str]:
+    """A greedy chain for a chart of some dozens of names: the most common first, then always the one most like the last,
+    the more common one of two; ties go to the name."""
+    left, out = dict(counts), []
     while left:
-        out.append(max(left, key=lambda n: (pairs.get((out[-1], n), 0.0), n)))
-        left.remove(out[-1])
+        like = lambda n: (pairs.get((out[-1], n), 0.0) if out else 0.0, left[n])
+        best = max(like(n) for n in left)
+        out.append(min(n for n in left if like(n) == best))
+        del left[out[-1]]
     return out
 
 
+def chain(pairs: DataFrame) -> DataFrame:
+    """``position, series``: the chain of a co-occurrence table, whose rows are the pairs of some dozens of series."""
+    rows = pairs.select("a", "b", "both", "jaccard").collect()
+    order = similarity_order({(r["a"], r["b"]): r["jaccard"] for r in rows}, {r["a"]: r["both"] for r in rows if r["a"] == r["b"]})
+    return pairs.sparkSession.createDataFrame(list(enumerate(order, 1)), "position int, series string")
+
+
+def choices(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column in order, without null."""
+    return df.select(column).dropna().distinct().orderBy(column)
+
+
 def free_series(table: DataFrame, chosen: Sequence[str], keys: Sequence[str] = ("subject_id", "date"), least: float = 0.5) -> DataFrame:
     """Series outside a set that come along on more than ``least`` of its complete days."""
     complete = table.dropna(subset=list(chosen))

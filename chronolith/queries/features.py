@@ -261,6 +261,20 @@ def cooccurrence_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.cooccurrence(_series(spark, sf_dir, 150)))
 
 
+@query(obs(f"""SELECT * FROM (WITH RECURSIVE {_SERIES}, l AS (SELECT DISTINCT subject_id, date, series FROM tp WHERE value IS NOT NULL), t AS MATERIALIZED (SELECT series, count(*) AS n, row_number() OVER (ORDER BY series DESC) AS place FROM l GROUP BY 1),
+p AS MATERIALIZED (SELECT a.series AS a, b.series AS b, round(count(*) / (any_value(ta.n) + any_value(tb.n) - count(*)), 12) AS j FROM l a JOIN l b ON a.subject_id = b.subject_id AND a.date = b.date JOIN t ta ON ta.series = a.series JOIN t tb ON tb.series = b.series GROUP BY 1, 2),
+o AS (SELECT 1 AS position, max_by(series, n * 1000 + place) AS series, [max_by(series, n * 1000 + place)] AS used FROM t
+UNION ALL SELECT position + 1, s, list_append(used, s) FROM (SELECT o.position, any_value(o.used) AS used, max_by(t.series, coalesce(p.j, 0) * 1e9 + t.n + t.place / 1000.0) AS s FROM o JOIN t ON NOT list_contains(o.used, t.series) LEFT JOIN p ON p.a = o.series AND p.b = t.series GROUP BY o.position))
+SELECT CAST(position AS INT) AS position, series FROM o)""", k=150))
+def similar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.chain(relational.cooccurrence(_series(spark, sf_dir, 150)))
+
+
+@query(obs("SELECT DISTINCT metric FROM obs"))
+def metric_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.choices(observations(spark, sf_dir), "metric")
+
+
 @query(by_day("SELECT * FROM (WITH c AS (SELECT * FROM days WHERE hr_mean_bpm IS NOT NULL) SELECT 'sleep_hours' AS series, round(avg((sleep_hours IS NOT NULL)::INT), 6) AS share FROM c UNION ALL SELECT 'steps', 1.0 UNION ALL SELECT 'resting_hr_bpm', 1.0 UNION ALL SELECT 'sedentary_hours', 1.0)"))
 def free_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.free_series(days(spark, sf_dir), ["hr_mean_bpm"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,9 +31,17 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder all executors share; one of our own where the cluster names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.setdefault("CHRONOLITH_SCRATCH", tempfile.mkdtemp(prefix="chronolith-"))
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder all executors share, deleted when the driver ends; in local mode, where none may be set,
+    in one of our own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.get("CHRONOLITH_SCRATCH")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; executors would write to folders of their own")
+        base = os.environ["CHRONOLITH_SCRATCH"] = tempfile.mkdtemp(prefix="chronolith-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 @query(obs("SELECT subject_id, source_format, metric, unit, value_num, value_str, start_local AS start_utc, end_local AS end_utc, CAST(NULL AS TIMESTAMP) AS created_utc, start_local, end_local, source_type FROM obs"))
@@ -256,6 +265,19 @@ def pm_exertion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("p").alias("metric"), F.col("metric").alias("kind")).agg(F.count("*").alias("n"), F.min("start_local").alias("first_start"))
 
 
+@query("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, 'scalar' AS family FROM events")
+def file_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array written by time, known from its two ends."""
+    path = scratch(spark)
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    rows = table(spark, sf_dir, "events").orderBy("ts").select(F.concat(F.lit("["), F.to_json(F.struct(stamp.alias("dateTime"), F.col("value").cast("string").alias("value")))).alias("value"))
+    rows.coalesce(1).write.text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    (file,) = [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().startswith("part-")]
+    first, last = inventory.json_span(spark, file)
+    return spark.createDataFrame([(first, last, inventory.family(inventory.first_record(spark, file)))], "first string, last string, family string")
+
+
 @query("SELECT min(ts) AS first, max(ts) AS last, CAST(count(*) AS BIGINT) AS rows FROM events")
 def record_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.span(table(spark, sf_dir, "events"), "ts")

@@ -375,6 +375,14 @@ def arrow_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(insight.arrow_scale(trajectory.positions(_axes(spark, sf_dir)), {"activity": 120.0, "recovery": 90.0}))
 
 
+@query(by_day("""SELECT * FROM (WITH n AS (SELECT subject_id, date, steps, row_number() OVER (PARTITION BY subject_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY subject_id) AS n FROM days),
+s AS (SELECT *, least(4.0::DOUBLE, i / 2.0::DOUBLE, (n - 1 - i) / 2.0::DOUBLE) AS s FROM n)
+SELECT a.subject_id, a.date, round(sum(CASE WHEN a.s > 0 THEN exp(-pow(b.i - a.i, 2) / (2 * a.s * a.s)) ELSE 1 END * b.steps) / sum(CASE WHEN a.s > 0 THEN exp(-pow(b.i - a.i, 2) / (2 * a.s * a.s)) ELSE 1 END), 4) AS steps
+FROM s a JOIN n b ON b.subject_id = a.subject_id AND b.i BETWEEN a.i - ceil(3 * a.s) AND a.i + ceil(3 * a.s) GROUP BY 1, 2)"""))
+def smoothed_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(insight.smooth_path(days(spark, sf_dir).select("subject_id", "date", "steps"), ["steps"], 4.0), 4)
+
+
 @query(by_day("SELECT subject_id, date, round(avg(steps) OVER (PARTITION BY subject_id ORDER BY date RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW), 6) AS mean FROM days"))
 def trend_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)

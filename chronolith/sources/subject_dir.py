@@ -54,6 +54,11 @@ def _clock(x: Column) -> Column:
     return F.try_to_timestamp(F.substring(F.replace(x, F.lit("T"), F.lit(" ")), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
+def _fine_clock(x: Column) -> Column:
+    """A stamp with a T and, if there, parts of a second; null for any other text."""
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?$"), x.try_cast("timestamp_ntz"))
+
+
 def _part(df: DataFrame, metric: Column | str, unit: Column | str, value: Column, start: Column, end: Column, folder: str) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     return df.select(lit(metric).alias("metric"), lit(unit).cast("string").alias("unit"), value.cast("string").alias("value"), start.alias("start_local"), end.alias("end_local"), F.lit(folder).alias("source_dir"))
@@ -79,7 +84,7 @@ def sleep(df: DataFrame) -> DataFrame:
     """One row a stage; short awakenings are left out, unknown stages dropped."""
     stages = df.select(F.explode_outer("levels.data").alias("d")).filter("d IS NOT NULL").select("d.*")
     stages = stages.withColumn("stage", vocabulary.stage(F.col("level"))).filter("stage IS NOT NULL")
-    start = _clock(F.col("dateTime"))
+    start = _fine_clock(F.col("dateTime"))
     value = F.concat(F.lit("HKCategoryValueSleepAnalysis"), F.col("stage"))
     return _part(stages, vocabulary.restore_prefix(F.lit("SleepAnalysis")), F.lit(None), value, start, timestamps.plus_seconds(start, F.col("seconds")), "fitbit")
 

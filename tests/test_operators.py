@@ -144,7 +144,8 @@ def test_trust_and_series(spark):
     rows = [("s", DAY, "StepCount", 5.0, "phone"), ("s", DAY, "StepCount", 7.0, "wearable"), ("s", DAY, "BodyMass", 80.0, "wearable"), ("s", DAY, "BodyMass", 81.0, "scale")]
     got = {r.series: (r.value, r.chosen, r.available) for r in relational.trusted(spark.createDataFrame(rows, "subject_id string, date date, series string, value double, source_type string")).collect()}
     assert got == {"StepCount": (7.0, "wearable", 2), "BodyMass": (81.0, "scale", 2)}
-    assert relational.similarity_order({("a", "b"): 0.9, ("b", "a"): 0.9, ("a", "c"): 0.1}, ["a", "b", "c"])[:2] in (["a", "b"], ["b", "a"])
+    assert relational.similarity_order({("a", "b"): 0.2, ("a", "c"): 0.9, ("c", "b"): 0.1}, {"a": 9, "b": 5, "c": 2, "d": 7}) == ["a", "c", "b", "d"]
+    assert relational.similarity_order({}, {"a": 1, "b": 3, "c": 3}) == ["b", "c", "a"] and relational.similarity_order({}, {}) == []
 
 
 def test_standardizer_falls_back(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronolith.functions import schema
 from chronolith.plans import cli, ingest
@@ -132,3 +133,34 @@ def test_scan_lists_every_name(spark, tmp_path, monkeypatch):
 
 def test_inventory(spark, root):
     assert inventory.files(spark, str(root / "ours")).count() == 3
+
+
+def test_probes_read_the_ends_of_files_only(spark, tmp_path):
+    folder = tmp_path / "p01" / "fitbit"
+    folder.mkdir(parents=True)
+    stamp = lambda i: (dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i)).strftime("%Y-%m-%d %H:%M:%S")
+    lines = [f'{{"dateTime": "{stamp(i)}", "value": "{i % 10}"}}' for i in range(20_000)]
+    (folder / "steps.json").write_text("[\n" + ",\n".join(lines) + "\n]")
+    (folder / "heart_rate.json").write_text(f'[{{"dateTime": "{stamp(0)}", "value": {{"bpm": 60}}}}, {{"dateTime": "2020-01-01 00:00:05", "value": {{"bpm": 61}}}}]')
+    (folder / "sleep.json").write_text('[{"logId": 1, "levels": {"data": [{"dateTime": "2020-01-01T22:00:00"}, {"dateTime": "2020-01-01T22:00:30"}]}}]')
+    (folder / "empty.json").write_text("[]")
+    (folder / "score.csv").write_text("timestamp,score\n2020-01-02,5\n,6\n2020-01-04,7\n")
+    path = lambda name: str(folder / name)
+    assert inventory.json_span(spark, path("steps.json")) == (stamp(0), stamp(19_999))
+    assert inventory.json_span(spark, path("empty.json")) == (None, None)
+    assert abs(inventory.estimated_records(spark, path("steps.json"), 100_000) - 20_000) < 20
+    assert inventory.first_record(spark, path("steps.json")) == {"dateTime": stamp(0), "value": "0"}
+    got = [inventory.described(spark, path(f"{n}.json")) for n in ("steps", "heart_rate", "sleep")]
+    assert [(g["stream"], g["family"], g["grain"]) for g in got] == [("steps", "scalar", "1min"), ("heart_rate", "nested", "5s"), ("sleep", "session", None)]
+    rows = {r.stream: r for r in inventory.probed(spark, [path("steps.json"), path("score.csv")]).collect()}
+    assert (rows["steps"].rows, rows["steps"].first, rows["steps"].ext, rows["steps"].source) == (None, stamp(0), "json", "fitbit")
+    assert (rows["score"].rows, rows["score"].first, rows["score"].last) == (3, "2020-01-02", "2020-01-04")
+    (tmp_path / "report.json").write_text('{\n "days": 3,\n "scores": [{"name": "a", "mae": 0.5}]\n}')
+    (r,) = inventory.report(spark, str(tmp_path / "report.json")).collect()
+    assert r.days == 3 and r.scores[0].mae == 0.5
+
+
+def test_parts_of_a_second_stay(spark):
+    rows = [("2020-01-01T22:10:30.125", dt.datetime(2020, 1, 1, 22, 10, 30, 125000)), ("2020-01-01T22:10:30", dt.datetime(2020, 1, 1, 22, 10, 30)), ("2020-01-01 22:10:30", None), ("2020-01-01", None), (None, None)]
+    got = spark.createDataFrame(rows, "x string, want timestamp_ntz").select("want", subject_dir._fine_clock(F.col("x")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
