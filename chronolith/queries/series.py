@@ -149,12 +149,13 @@ def factor_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RIDGE_FEATURES = ("activity_lag_0", "activity_lag_7", "recovery_lag_0", "recovery_lag_7")
-_LP = "lp AS (SELECT * FROM (SELECT subject_id, date, CAST(h AS INT) AS horizon, activity_lag_0, activity_lag_7, recovery_lag_0, recovery_lag_7, CASE h WHEN 1 THEN a1 ELSE a7 END AS activity_target FROM (SELECT subject_id, date, activity_position AS activity_lag_0, lag(activity_position, 7) OVER w AS activity_lag_7, recovery_position AS recovery_lag_0, lag(recovery_position, 7) OVER w AS recovery_lag_7, lead(activity_position, 1) OVER w AS a1, lead(activity_position, 7) OVER w AS a7 FROM ps WINDOW w AS (PARTITION BY subject_id ORDER BY date)), (SELECT unnest([1, 7]) AS h)) WHERE activity_lag_7 IS NOT NULL AND recovery_lag_7 IS NOT NULL AND activity_target IS NOT NULL)"
+_LP = """lp AS (SELECT a.subject_id, a.date, CAST(r.h AS INT) AS horizon, a.activity_position AS activity_lag_0, l.activity_position AS activity_lag_7, a.recovery_position AS recovery_lag_0, l.recovery_position AS recovery_lag_7, t.activity_position AS activity_target
+FROM ps a CROSS JOIN range(1, 31) r(h) JOIN ps t ON t.subject_id = a.subject_id AND t.date = a.date + CAST(r.h AS INT) JOIN ps l ON l.subject_id = a.subject_id AND l.date = a.date - 7)"""
 
 
 @query(by_day(f"SELECT * FROM (WITH {_POS}, {_LP} SELECT horizon, CAST(count(*) AS BIGINT) AS n, round(sum(activity_lag_0 * activity_lag_7), 4) AS xx, round(sum(activity_lag_0 * activity_target), 4) AS xy, round(sum(recovery_lag_7 * recovery_lag_7), 4) AS rr, round(sum(activity_target), 4) AS y FROM lp GROUP BY 1)"))
 def ridge_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir)), horizons=(1, 7))
+    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir)))
     sums = trajectory.ridge_sums(rows, _RIDGE_FEATURES, ("activity_target",), ["horizon"])
     return rounded(sums.select("horizon", "n", F.col("xx_0_1").alias("xx"), F.col("xy_0_activity_target").alias("xy"), F.col("xx_3_3").alias("rr"), F.col("s_activity_target").alias("y")), 4)
 
@@ -170,14 +171,14 @@ def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(by_day(f"SELECT * FROM (WITH {_POS}, {_LP} SELECT horizon, round(quantile_cont(activity_target - activity_lag_0, 0.1), 6) AS low, round(quantile_cont(activity_target - activity_lag_0, 0.9), 6) AS high FROM lp GROUP BY 1)"))
 def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of the forecast that holds today's position."""
-    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir)), horizons=(1, 7)).dropna()
+    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir))).dropna()
     held = rows.withColumn("activity_predicted", F.col("activity_lag_0"))
     return rounded(trajectory.bands(held, ("activity",)).select("horizon", F.col("activity_low").alias("low"), F.col("activity_high").alias("high")))
 
 
 @query(by_day(f"SELECT * FROM (WITH {_POS}, {_LP}, bd AS (SELECT horizon, quantile_cont(activity_target - activity_lag_0, 0.1) AS lo, quantile_cont(activity_target - activity_lag_0, 0.9) AS hi FROM lp GROUP BY 1) SELECT horizon, CAST(count(*) AS BIGINT) AS n, round(avg((activity_target - activity_lag_0 BETWEEN lo - 1e-9::DOUBLE AND hi + 1e-9::DOUBLE)::INT), 4) AS inside, round(avg(abs(activity_target - activity_lag_0)), 6) AS mae, round(avg(abs(activity_target)), 6) AS mae_usual FROM lp JOIN bd USING (horizon) GROUP BY 1)"))
 def band_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir)), horizons=(1, 7)).dropna()
+    rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir))).dropna()
     held = rows.withColumn("activity_predicted", F.col("activity_lag_0"))
     out = trajectory.coverage(held, trajectory.bands(held, ("activity",)), ("activity",))
     return out.select("horizon", "n", F.round("activity_inside", 4).alias("inside"), F.round("activity_mae", 6).alias("mae"), F.round("activity_mae_usual", 6).alias("mae_usual"))
