@@ -76,6 +76,12 @@ def wide(daily: DataFrame, series: Sequence[str], value: str = "value") -> DataF
     return daily.groupBy("subject_id", "date").pivot("series", list(series)).agg(F.first(value))
 
 
+def wide_by_source(daily: DataFrame, pairs: Sequence[tuple[str, str]], value: str = "value") -> DataFrame:
+    """One column ``series@source`` for each of the given pairs, by subject and day."""
+    named = daily.withColumn("__at", F.concat_ws("@", "series", "source_type"))
+    return named.groupBy("subject_id", "date").pivot("__at", [f"{s}@{k}" for s, k in pairs]).agg(F.first(value))
+
+
 def sleep_total(daily: DataFrame) -> Column:
     """A bridge over sleep recordings: the stages' sum if any is there, else unspecified, in bed, or the daily total."""
     stages = [c for c in ("SleepAnalysis/AsleepCore", "SleepAnalysis/AsleepDeep", "SleepAnalysis/AsleepREM") if c in daily.columns]

@@ -45,6 +45,11 @@ def run(spark: SparkSession, source: str, out: str, test_share: float = 0.2) ->
     return report
 
 
+def combined(spark: SparkSession, out: str) -> DataFrame:
+    """Days with their coordinates, of days that have both."""
+    return spark.read.parquet(f"{out}/daily_features.parquet").join(spark.read.parquet(f"{out}/embeddings.parquet"), list(embedding.KEYS))
+
+
 def run_forecast(spark: SparkSession, source: str, out: str, horizons: Sequence[int] = forecast.HORIZONS, test_share: float = 0.2) -> dict:
     """Predictions of all horizons in one table, and scores; orders of differencing are found once."""
     steps = sorted(set(horizons))

@@ -270,6 +270,13 @@ def similar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.chain(relational.cooccurrence(_series(spark, sf_dir, 150)))
 
 
+@query(obs(f"SELECT * FROM (WITH {_ROLLED} SELECT subject_id, date, " + ", ".join(f"round(max(CASE WHEN metric = 'HKQuantityTypeIdentifier{s}' AND source_type = '{k}' THEN value END), 6) AS {s.lower()}_{k}" for s in ("StepCount", "HeartRate") for k in ("phone", "app")) + " FROM dv GROUP BY 1, 2)"))
+def series_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = relational.daily_values(observations(spark, sf_dir)).withColumn("series", vocabulary.series_name(F.col("metric"), F.col("value_str")))
+    pairs = [(s, k) for s in ("StepCount", "HeartRate") for k in ("phone", "app")]
+    return rounded(relational.wide_by_source(values, pairs).select("subject_id", "date", *[F.col(f"`{s}@{k}`").alias(f"{s.lower()}_{k}") for s, k in pairs]))
+
+
 @query(obs("SELECT DISTINCT metric FROM obs"))
 def metric_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.choices(observations(spark, sf_dir), "metric")

@@ -243,6 +243,7 @@ def test_whole_model_and_export(spark, tmp_path):
     report = model.run(spark, str(tmp_path / "obs"), str(tmp_path / "m"))
     assert report["subjects"] == 2 and report["days"] == 120 and "steps" in report["features"]
     assert {"pca_1", "ae_1", "umap_1", "tsne_1"} <= set(spark.read.parquet(str(tmp_path / "m/embeddings.parquet")).columns)
+    assert model.combined(spark, str(tmp_path / "m")).count() == 120 and {"steps", "pca_1"} <= set(model.combined(spark, str(tmp_path / "m")).columns)
     scored = model.run_forecast(spark, str(tmp_path / "obs"), str(tmp_path / "f"), horizons=(1,))
     assert {s["name"].split("__")[0] for s in scored["scores"]} == set(forecast.MODELS)
     with pytest.raises(ValueError, match="positive"):
