@@ -141,7 +141,7 @@ def linked(messages: DataFrame) -> DataFrame:
     anywhere = here.filter(F.col("n") >= LEAST_CHARS).groupBy("h").agg(F.min(F.struct("conv_id", "here_turn")).alias("first"))
     found = asks.join(here.drop("n"), ["conv_id", "h"], "left").join(anywhere, "h", "left")
     first = F.struct(F.col("first.conv_id").alias("c"), F.col("first.here_turn").alias("t"))
-    target = F.when(F.col("here_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t"))).when(first < F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")), first)
+    target = F.when(F.col("here_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("here_turn").alias("t"))).when(F.col("first").isNotNull() & (first < F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"))), first)
     votes = found.withColumn("target", target).filter("target IS NOT NULL").groupBy("id", "conv_id", "level", "target").agg(F.sum("n").alias("votes"))
     best = votes.groupBy("id", "conv_id").agg(F.max_by("target", F.struct(-F.col("level"), (F.col("target.c") == F.col("conv_id")).cast("int"), F.col("votes"), -F.col("target.c"), -F.col("target.t"))).alias("target"))
     answers = materialize(best.select("id", "conv_id", F.col("target.c").alias("reply_conv"), F.col("target.t").alias("reply_turn")), "answers")
