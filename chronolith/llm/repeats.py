@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import discard, lean, materialize, mix64, partitions, prepare, release, slices, utf8
@@ -294,7 +294,7 @@ def _first_documents(asked: DataFrame, kind: int, hot: int, tasks: int) -> DataF
             live = np.flatnonzero(back)
             yield _answer(kind, chunks, [len(x[0]) for x in columns], live, number[live], back[live])
 
-    return asked.select("bucket", "chunk", "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
+    return _spread(asked.select("bucket", "chunk", "blob"), tasks, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
 
 
 def _spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,12 +302,17 @@ def _spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
 
 
+def _spread(df: DataFrame, tasks: int, number: Column) -> DataFrame:
+    """Rows dealt out by a number, in turn: as many numbers to every task, where hashes would pile some up."""
+    return df.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int"))
+
+
 def _meet(chunks: DataFrame, tasks: int, *others: DataFrame) -> DataFrame:
     """Chunks beside the rows addressed to them, sorted by chunk and kind, the chunk itself first."""
     own = chunks.select("chunk", F.lit(TEXT).alias("kind"), "blob", "z", "rest")
     for o in others:
         own = own.union(o.select("chunk", "kind", "blob", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
-    return own.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
+    return _spread(own, tasks, F.shiftright("chunk", 32) * 7919 + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))).sortWithinPartitions("chunk", "kind")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -441,7 +446,7 @@ def _sharers(asked: DataFrame, least: int, tasks: int) -> DataFrame:
             bits = np.packbits(found[live], axis=1)
             yield _answer(ANSWER, chunks, [len(x[0]) for x in columns], live, number[live], _Wide(bits))
 
-    return asked.select("bucket", "chunk", "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
+    return _spread(asked.select("bucket", "chunk", "blob"), tasks, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED_DDL)
 
 
 class _Wide:
