@@ -141,10 +141,10 @@ _SMOOTHED = ("steps", "sleep_hours", "hr_mean_bpm", "hr_p10_bpm", "resting_hr_bp
 
 
 @query(by_day(f"""SELECT subject_id, date, {', '.join(f"round({c}_{n}d, 6) AS {c}_{n}d" for c in _SMOOTHED for n in (7, 28))}, round(resting_hr_bpm_7d - resting_hr_bpm_28d, 6) + 0.0::DOUBLE AS resting_hr_change_bpm, round(hr_p10_bpm_7d - hr_p10_bpm_28d, 6) + 0.0::DOUBLE AS hr_p10_change_bpm
-FROM (SELECT subject_id, date, {', '.join(f"{_trail(c, n, least)} AS {c}_{n}d" for c in _SMOOTHED for n, least in ((7, 3), (28, 7)))} FROM (SELECT *, round(hr_mean_bpm * 0.5, 2) AS hr_p10_bpm FROM days))"""))
+FROM (SELECT subject_id, date, {', '.join(f"{_trail(c, n, least)} AS {c}_{n}d" for c in _SMOOTHED for n, least in ((7, 3), (28, 7)))} FROM (SELECT *, hr_mean_bpm * 0.5::DOUBLE AS hr_p10_bpm FROM days))"""))
 def smoothing_7_28(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default columns, of which the table has five."""
-    out = scores.smoothed(days(spark, sf_dir).withColumn("hr_p10_bpm", F.round(F.col("hr_mean_bpm") * F.lit(0.5), 2)))
+    out = scores.smoothed(days(spark, sf_dir).withColumn("hr_p10_bpm", F.col("hr_mean_bpm") * F.lit(0.5)))
     return rounded(out.select("subject_id", "date", *[c for c in out.columns if c.endswith(("_7d", "_28d", "_change_bpm"))]), 6)
 
 
