@@ -362,6 +362,14 @@ def test_pages_whose_names_say_little():
     assert html_extract.main_text("<![CDATA[a &amp; b]]> &lt;") == "a &amp; b <"
 
 
+@pytest.mark.parametrize("n", [1, 5, 200, 3000])
+def test_comments_go_however_many(n):
+    para = "A sentence that is long enough, with commas, to be text of the article."
+    comments = f"<div class=comments>{f'<p>{para} {para} {para} Indeed.</p>' * n}</div>"
+    for page in (f"<body><article><h1>T</h1>{f'<p>{para}</p>' * 5}{comments}</article></body>", f"<body><article><h1>T</h1>{f'<p>{para}</p>' * 5}</article>{comments}</body>"):
+        assert html_extract.main_text(page) == "\n".join(["T"] + [para] * 5)
+
+
 def brute_scores(path, chars, marks):
     """Ratios, sums and smoothing by plain loops."""
     rows = {}
@@ -372,9 +380,10 @@ def brute_scores(path, chars, marks):
     weight = [math.exp(-(d**2) / 2) for d in (-2, -1, 0, 1, 2)]
     n = len(score)
     fused = [s * sum(w * score[min(max(i + d, 0), n - 1)] for w, d in zip(weight, (-2, -1, 0, 1, 2), strict=True)) / sum(weight) for i, s in enumerate(score)]
-    m = mean(fused)
-    least = min(max(0.6 * math.sqrt(mean([(f - m) ** 2 for f in fused])), 0.2 * m), max(fused))
-    return score, fused, least
+    by_path = {p: mean([f for f, q in zip(fused, path, strict=True) if q == p]) for p in path}
+    m = mean(list(by_path.values()))
+    least = min(max(0.6 * math.sqrt(mean([(f - m) ** 2 for f in by_path.values()])), 0.2 * m), max(by_path.values()))
+    return score, [by_path[p] for p in path], least
 
 
 @settings(max_examples=80, deadline=None)
@@ -384,7 +393,7 @@ def test_path_ratios_against_brute_force(rows):
     score = html_extract.path_scores(np.array(path), np.array(chars, float), np.array(marks, float))
     want, fused, least = brute_scores(path, chars, marks)
     assert np.allclose(score, want)
-    for got, f in zip(html_extract.selected(score).tolist(), fused, strict=True):
+    for got, f in zip(html_extract.selected(score, np.array(path)).tolist(), fused, strict=True):
         assert got == (f >= least) or abs(f - least) < 1e-9 * max(1.0, least)
 
 
@@ -395,7 +404,7 @@ def test_paths_decide_where_no_element_is_the_article(monkeypatch):
     found = html_extract.parse(page)
     tags = lambda i: tags(found.parent[i]) + [found.tag[i]] if i else []
     assert [tags(h) for h in found.holder] == [["body", "div"]] * 2 + [["body", "div", "p"]] * 6 + [["body", "div"]]
-    monkeypatch.setattr(html_extract, "selected", lambda score: np.ones(len(score), bool))
+    monkeypatch.setattr(html_extract, "selected", lambda score, path: np.ones(len(score), bool))
     assert html_extract.main_text(page) != "\n".join([para] * 6)
 
 
