@@ -160,7 +160,7 @@ def subject_clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, mo
     columns = [f"{a}_position" for a in axes]
     rows = positioned.dropna(subset=columns).select("subject_id", "date", *[F.col(c).cast("double").alias(c) for c in columns])
 
-    def run(key: tuple, days):
+    def run(key, days):
         import pandas as pd
 
         found = grouped(days.sort_values("date")[columns].to_numpy(float), most, seed)
