@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import embed_dedup, html_extract, licenses, minhash, mixing, piece_sampling, quality, quotes, repeats, token_store
+from chronolith.llm import embed_dedup, hard_negatives, html_extract, licenses, merkle, minhash, mixing, piece_sampling, quality, quotes, repeats, token_counts, token_store
 from chronolith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", hard_negatives.shifted(), positives=5, negatives=10, low=30, high=90)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_token_store": op2_token_store,
@@ -68,8 +80,37 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_minhash": op10_minhash,
+    "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _merkle_sql(levels: int = 9) -> str:
+    """Trees of up to 8 ** ``levels`` leaves a language, and as many languages, level by level. A node keeps the texts of
+    its siblings left and right of it; a row's path is that of its node on each level."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), CAST(4294967295 AS BIGINT))"
+    parts = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, lang, {leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS f FROM documents)",
+        "p0 AS MATERIALIZED (SELECT row, lang, leaf, f, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "m0 AS MATERIALIZED (SELECT lang, i, leaf AS h FROM p0)",
+        "q0 AS MATERIALIZED (SELECT row, lang, i, f, '' AS proof FROM p0)",
+    ]
+
+    def climb(m: str, q: str, grp: str) -> None:
+        for k in range(levels):
+            own, run = f"PARTITION BY {grp}, i // 8 ORDER BY i", f"PARTITION BY {grp}"
+            parts.append(f"{m}s{k} AS MATERIALIZED (SELECT {grp}, i, h, count(*) OVER ({run}) AS n, coalesce(string_agg(h, '') OVER ({own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER ({own} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {m}{k})")
+            parts.append(f"{m}{k + 1} AS MATERIALIZED (SELECT {grp}, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {m}s{k} GROUP BY {grp}, i // 8)")
+            parts.append(f"{q}{k + 1} AS MATERIALIZED (SELECT q.row, q.{grp}, q.i // 8 AS i, CASE WHEN s.n > 1 THEN sha256(s.a || q.f || s.b) ELSE q.f END AS f, q.proof || s.a || s.b AS proof FROM {q}{k} q JOIN {m}s{k} s ON s.{grp} IS NOT DISTINCT FROM q.{grp} AND s.i = q.i)")
+
+    climb("m", "q", "lang")
+    parts.append(f"o AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM m{levels})")
+    parts.append("u0 AS MATERIALIZED (SELECT 1 AS one, i, subroot AS h FROM o)")
+    parts.append(f"v0 AS MATERIALIZED (SELECT q.row, 1 AS one, o.i, q.f, q.proof FROM q{levels} q JOIN o ON o.lang IS NOT DISTINCT FROM q.lang)")
+    climb("u", "v", "one")
+    return f"WITH {', '.join(parts)} SELECT d.doc_id, d.leaf, o.subroot, u.h AS root, sha256(v.proof) AS proof_sha256, v.f AS folded_root, v.f = u.h AS verified FROM d JOIN v{levels} v USING (row) JOIN o ON o.lang IS NOT DISTINCT FROM d.lang JOIN u{levels} u ON true"
 
 
 def _quality_sql(levels: int = 15) -> str:
@@ -172,4 +213,16 @@ r AS (SELECT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l
 c AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op12_hard_negatives": r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT a AS anchor_id, b AS positive_id, CAST(r AS INT) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10""",
+    "op13_merkle_manifest": _merkle_sql(),
 }
