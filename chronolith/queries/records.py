@@ -209,17 +209,17 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RAW.format(utc=f"{_SECOND} - INTERVAL 3 HOUR", local=_SECOND))
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event is a document of its own here, with a metadata section that fits no schema."""
+    """Sections of events by hour in a few documents, each with a metadata section that fits no schema."""
     raw = _raw(spark, sf_dir)
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+03:00"))
     record = F.struct(F.when(F.col("asleep"), "SleepAnalysis").otherwise("HeartRate").alias("type"), F.col("name").alias("source_name"), F.when(~F.col("asleep"), "count/min").alias("unit"), "value", stamp.alias("creation_date"), stamp.alias("start_date"), stamp.alias("end_date"))
-    body = F.to_json(F.struct(F.struct(F.struct(F.array(record).alias("data")).alias("records")).alias("Section"), F.lit(7).alias("metadata")))
     path = scratch(spark)
-    raw.select(body.alias("value")).write.text(path)
-    lines = spark.read.text(path)
-    sections = lines.select(F.from_json("value", "map<string,string>").alias("sections")).select(F.explode("sections").alias("name", "section")).filter("name <> 'metadata'")
-    records = sections.select(F.from_json("section", nested_json._SECTION).alias("s")).select(F.inline("s.records.data"))
-    return _shown(nested_json.shaped(records, "subject_x"))
+    section = F.struct(F.struct(F.collect_list(record).alias("data")).alias("records"))
+    sections = raw.groupBy(F.pmod("event_id", F.lit(4)).alias("file"), F.hour("ts").alias("hour")).agg(section.alias("s"))
+    hours = sections.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("Hour"), "hour"), "s"))).alias("hours"))
+    body = F.concat(F.lit('{"metadata": {"records": {"data": [{"type": "none"}]}}, "Odd": [1, {"records": 2}], '), F.substring(F.to_json("hours"), 2, 2**31 - 1))
+    hours.select(body.alias("value")).write.text(path)
+    return _shown(nested_json.read(spark, path, "subject_x"))
 
 
 @query(f"""SELECT 'HKQuantityTypeIdentifierAppleExerciseTime' AS metric, 'min' AS unit, sum(m) AS value_num, d AS start_local FROM

@@ -1,4 +1,5 @@
-"""The nested JSON export: sections by metric, records inside; parsed in two steps so that an odd section spoils no other."""
+"""The nested JSON export: sections by metric, records inside. Records are cut out one by one, by many tasks where a file is
+large, so that an odd section spoils no other."""
 
 from __future__ import annotations
 
@@ -8,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import timestamps, vocabulary
+from chronolith.sources import json_split
 from chronolith.sources.common import finish
 
 FIELDS = ("type", "source_name", "unit", "value", "creation_date", "start_date", "end_date")
-_SECTION = f"struct<records:struct<data:array<struct<{','.join(f'{f}:string' for f in FIELDS)}>>>>"
+_RECORD = ", ".join(f"{f} string" for f in FIELDS)
+PLACE = json_split.Place(("records", "data"), without=("metadata",))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """The fields of records given as ``text``."""
+    return texts.select(F.from_json("text", _RECORD).alias("r")).select("r.*")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("sections"))
-    sections = whole.select(F.explode("sections").alias("name", "section")).filter("name <> 'metadata'")
-    return sections.select(F.from_json("section", _SECTION).alias("s")).select(F.inline("s.records.data"))
+    return parsed(json_split.elements(spark, path, PLACE))
 
 
 def shaped(rows: DataFrame, subject_id: str, overrides: Mapping[str, str] | None = None) -> DataFrame:

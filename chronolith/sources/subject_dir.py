@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import schema, timestamps, vocabulary
+from chronolith.sources import json_split
 
 #: Fixed offset of the clocks, minutes east of UTC.
 OFFSET = 60
@@ -155,7 +156,7 @@ TABLES: Mapping[str, Callable[[DataFrame], DataFrame]] = {"fitbit/sleep_score.cs
 
 def parts(spark: SparkSession, path: str) -> list[DataFrame]:
     """All parts of a directory that are there."""
-    json = lambda file, ddl: spark.read.schema(ddl).option("multiLine", True).json(f"{path}/{file}")
+    json = lambda file, ddl: json_split.elements(spark, f"{path}/{file}").select(F.from_json("text", ddl).alias("r")).select("r.*")
     out = [timeseries(json(s.file, f"dateTime string, value {s.value_type}"), s) for s in SERIES if exists(spark, f"{path}/{s.file}")]
     active = [f for f in EXERCISE if exists(spark, f"{path}/{f}")]
     if active:

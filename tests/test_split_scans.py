@@ -1,11 +1,13 @@
 """Large files in byte ranges: the same rows wherever the ranges are cut."""
 
+import json
 import random
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
-from chronolith.sources import split_scan, xml_export
+from chronolith.sources import json_split, nested_json, split_scan, xml_export
 
 
 @pytest.fixture
@@ -97,3 +99,76 @@ def test_states_of_pieces():
         ("doctype", "!-- ]>", "doctype comment"), ("doctype comment", "' -->", "doctype"), ("doctype comment", "--> ]>", "text"), ("doctype", "? ]>", "doctype instruction"), ("text", "Record a='-->'>", "text"),
     ]:
         assert xml_export.after(before, piece) == want, (before, piece)
+
+
+# JSON
+
+
+def made_value(draw, depth=0):
+    text = lambda: "".join(draw.choice(["a", "}", "{", "]", '"', "\\", "é", ",", ":", " "]) for _ in range(draw.randint(0, 6)))
+    kind = draw.random()
+    if depth < 3 and kind < 0.3:
+        return {text() + str(i): made_value(draw, depth + 1) for i in range(draw.randint(0, 3))}
+    if depth < 3 and kind < 0.45:
+        return [made_value(draw, depth + 1) for _ in range(draw.randint(0, 3))]
+    return text() if kind < 0.8 else draw.choice([1, -2.5, None, True])
+
+
+def dumped(draw, value):
+    return json.dumps(value, ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, 1]), separators=draw.choice([None, (",", ":"), (" , ", " : ")]))
+
+
+def read_back(rows):
+    return sorted((r.name or "", json.dumps(json.loads(r.text), sort_keys=True)) for r in rows)
+
+
+@pytest.mark.parametrize("size", [23, 90, 700, 1 << 22])
+def test_json_arrays_in_ranges(spark, cut, tmp_path, size):
+    cut(size)
+    for seed in range(4):
+        draw = random.Random(seed)
+        values = [made_value(draw) for _ in range(60)]
+        path = tmp_path / f"{seed}.json"
+        path.write_text(dumped(draw, values))
+        want = sorted(("", json.dumps(v, sort_keys=True)) for v in values if isinstance(v, dict | list))
+        assert read_back(json_split.elements(spark, str(path)).collect()) == want, seed
+
+
+@pytest.mark.parametrize("size", [29, 150, 1 << 22])
+def test_nested_json_in_ranges(spark, cut, tmp_path, size):
+    cut(size)
+    (tmp_path / "in").mkdir()
+    want = []
+    for seed in range(3):
+        draw = random.Random(seed)
+        document = {"metadata": {"records": {"data": [{"no": 1}]}}, "odd": [{"records": {"data": [{"no": 2}]}}], "odder": {"records": [{"data": [{"no": 3}]}], "data": [{"no": 4}]}}
+        for i in range(9):
+            rows = [v for v in (made_value(draw) for _ in range(draw.randint(0, 6)))]
+            document[f"Section{i} \\ \"é"] = {"x": made_value(draw), "records": {"data": rows, "more": [{"data": [{"no": 5}]}]}, "data": [{"no": 6}]}
+            want += [(f"Section{i} \\ \"é", json.dumps(v, sort_keys=True)) for v in rows if isinstance(v, dict | list)]
+        (tmp_path / f"in/{seed}.json").write_text(dumped(draw, document))
+    got = json_split.elements(spark, str(tmp_path / "in"), nested_json.PLACE)
+    assert read_back(got.collect()) == sorted(want)
+
+
+def test_json_equals_the_whole_file_reader(spark, cut, tmp_path):
+    """A series file as Spark reads it whole, cut at odd places."""
+    rows = [{"dateTime": f"2020-01-01 00:{i % 60:02}:00", "value": {"bpm": i, "confidence": i % 3}} for i in range(500)]
+    path = str(tmp_path / "hr.json")
+    (tmp_path / "hr.json").write_text(json.dumps(rows))
+    ddl = "dateTime string, value struct<bpm:string,confidence:string>"
+    want = sorted(spark.read.schema(ddl).option("multiLine", True).json(path).collect())
+    for size in (64, 333, 5000):
+        cut(size)
+        texts = json_split.elements(spark, path)
+        assert texts.rdd.getNumPartitions() > 3
+        assert sorted(texts.select(F.from_json("text", ddl).alias("r")).select("r.*").collect()) == want
+
+
+def test_brackets_and_names():
+    found = json_split.Brackets(rb'{"a\\": {"b\"}": [1, "]"] }')
+    at, step = found.outside(False)
+    assert bytes(found.data[i] for i in at) == b"{{[]}" and step.tolist() == [1, 1, 1, -1, -1]
+    assert [found.name(int(i)) for i in at[:3]] == [None, "a\\", 'b"}']
+    assert json_split.Brackets(rb'x\\" : {').outside(True)[0].tolist() == [7]
+    assert json_split.Brackets(b'x" : {').name(5) == json_split.CUT
