@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import identity, schema, timestamps, units, vocabulary
@@ -265,17 +265,22 @@ def pm_exertion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("p").alias("metric"), F.col("metric").alias("kind")).agg(F.count("*").alias("n"), F.min("start_local").alias("first_start"))
 
 
-@query("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, 'scalar' AS family FROM events")
+@query("""WITH e AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT event_type, date_diff('second', date_trunc('second', max(ts) FILTER (i = 1)), date_trunc('second', max(ts) FILTER (i = 2))) AS step FROM e GROUP BY 1)
+SELECT e.event_type AS stream, 'scalar' AS family, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last,
+  any_value(CASE step WHEN 5 THEN '5s' WHEN 60 THEN '1min' WHEN 86400 THEN '1day' ELSE CAST(step AS VARCHAR) || 's' END) AS grain, true AS counted FROM e JOIN s USING (event_type) GROUP BY 1""")
 def file_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON array written by time, known from its two ends."""
+    """A JSON array a kind of event, in order of time, probed by windows; ``counted``: the estimate is within a tenth."""
     path = scratch(spark)
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    rows = table(spark, sf_dir, "events").orderBy("ts").select(F.concat(F.lit("["), F.to_json(F.struct(stamp.alias("dateTime"), F.col("value").cast("string").alias("value")))).alias("value"))
-    rows.coalesce(1).write.text(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    (file,) = [f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().startswith("part-")]
-    first, last = inventory.json_span(spark, file)
-    return spark.createDataFrame([(first, last, inventory.family(inventory.first_record(spark, file)))], "first string, last string, family string")
+    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")))
+    record = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("dateTime"), F.col("value").cast("string").alias("value")))
+    lines = e.select("event_type", "i", F.concat(F.when(F.col("i") == 1, "[").otherwise(","), record).alias("value"))
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    lines = lines.unionByName(counts.select("event_type", (F.col("n") + 1).cast("int").alias("i"), F.lit("]").alias("value")))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "i").drop("i").write.partitionBy("event_type").text(path)
+    found = inventory.probe(spark, path, kind="json").withColumn("stream", F.regexp_extract("source", "event_type=(.*)", 1))
+    near = F.abs(F.col("records") - F.col("n")) <= F.col("n") / 10
+    return found.join(counts, found.stream == counts.event_type).select("stream", "family", "first", "last", "grain", near.alias("counted"))
 
 
 @query("SELECT min(ts) AS first, max(ts) AS last, CAST(count(*) AS BIGINT) AS rows FROM events")

@@ -135,7 +135,7 @@ def test_inventory(spark, root):
     assert inventory.files(spark, str(root / "ours")).count() == 3
 
 
-def test_probes_read_the_ends_of_files_only(spark, tmp_path):
+def test_probes_of_files(spark, tmp_path):
     folder = tmp_path / "p01" / "fitbit"
     folder.mkdir(parents=True)
     stamp = lambda i: (dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i)).strftime("%Y-%m-%d %H:%M:%S")
@@ -145,16 +145,19 @@ def test_probes_read_the_ends_of_files_only(spark, tmp_path):
     (folder / "sleep.json").write_text('[{"logId": 1, "levels": {"data": [{"dateTime": "2020-01-01T22:00:00"}, {"dateTime": "2020-01-01T22:00:30"}]}}]')
     (folder / "empty.json").write_text("[]")
     (folder / "score.csv").write_text("timestamp,score\n2020-01-02,5\n,6\n2020-01-04,7\n")
-    path = lambda name: str(folder / name)
-    assert inventory.json_span(spark, path("steps.json")) == (stamp(0), stamp(19_999))
-    assert inventory.json_span(spark, path("empty.json")) == (None, None)
-    assert abs(inventory.estimated_records(spark, path("steps.json"), 100_000) - 20_000) < 20
-    assert inventory.first_record(spark, path("steps.json")) == {"dateTime": stamp(0), "value": "0"}
-    got = [inventory.described(spark, path(f"{n}.json")) for n in ("steps", "heart_rate", "sleep")]
-    assert [(g["stream"], g["family"], g["grain"]) for g in got] == [("steps", "scalar", "1min"), ("heart_rate", "nested", "5s"), ("sleep", "session", None)]
-    rows = {r.stream: r for r in inventory.probed(spark, [path("steps.json"), path("score.csv")]).collect()}
-    assert (rows["steps"].rows, rows["steps"].first, rows["steps"].ext, rows["steps"].source) == (None, stamp(0), "json", "fitbit")
-    assert (rows["score"].rows, rows["score"].first, rows["score"].last) == (3, "2020-01-02", "2020-01-04")
+    (folder / "bare.json").write_text('[{"dateTime": "2020-01-01 00:00:00"}, {"dateTime": "2020-01-01 00:00:07", "value": "\\"dateTime\\": \\"x\\""}]')
+    (folder / "notes.txt").write_text("no")
+    rows = {r.stream: r for r in inventory.probe(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"steps", "heart_rate", "sleep", "empty", "bare", "score"} and {r.source for r in rows.values()} == {"fitbit"}
+    assert [(rows[n].family, rows[n].grain) for n in ("steps", "heart_rate", "sleep", "bare")] == [("scalar", "1min"), ("nested", "5s"), ("session", None), ("nested", "7s")]
+    assert (rows["steps"].first, rows["steps"].last, rows["steps"].rows) == (stamp(0), stamp(19_999), None) and abs(rows["steps"].records - 20_000) < 20
+    assert json.loads(rows["steps"].element) == {"dateTime": stamp(0), "value": "0"}
+    assert (rows["heart_rate"].records, rows["sleep"].records, rows["bare"].last) == (2, 1, "2020-01-01 00:00:07")
+    assert (rows["sleep"].first, rows["sleep"].last) == ("2020-01-01T22:00:00", "2020-01-01T22:00:30")
+    assert tuple(rows["empty"])[5:] == (None,) * 7
+    assert (rows["score"].rows, rows["score"].first, rows["score"].last, rows["score"].ext) == (3, "2020-01-02", "2020-01-04", "csv")
+    assert [r.stream for r in inventory.probe(spark, [str(folder / "score.csv")]).collect()] == ["score"]
+    assert inventory.probe(spark, str(folder / "notes.txt")).collect() == []
     (tmp_path / "report.json").write_text('{\n "days": 3,\n "scores": [{"name": "a", "mae": 0.5}]\n}')
     (r,) = inventory.report(spark, str(tmp_path / "report.json")).collect()
     assert r.days == 3 and r.scores[0].mae == 0.5
@@ -164,3 +167,12 @@ def test_parts_of_a_second_stay(spark):
     rows = [("2020-01-01T22:10:30.125", dt.datetime(2020, 1, 1, 22, 10, 30, 125000)), ("2020-01-01T22:10:30", dt.datetime(2020, 1, 1, 22, 10, 30)), ("2020-01-01 22:10:30", None), ("2020-01-01", None), (None, None)]
     got = spark.createDataFrame(rows, "x string, want timestamp_ntz").select("want", subject_dir._fine_clock(F.col("x")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_probes_of_many_ranges(spark, tmp_path, monkeypatch):
+    """Windows all over a file whose records grow; tasks stop reading once they have seen enough."""
+    monkeypatch.setattr(inventory, "RANGE", 60_000)
+    rows = [{"dateTime": f"2020-01-01 {i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}", "value": {"bpm": "9" * (1 + i // 200), "}": '"'}} for i in range(12_000)]
+    (tmp_path / "hr.json").write_text(json.dumps(rows))
+    (r,) = inventory.probe(spark, str(tmp_path / "hr.json"), window=6000).collect()
+    assert (r.first, r.last, r.family, r.grain) == (rows[0]["dateTime"], rows[-1]["dateTime"], "nested", "1s") and abs(r.records - 12_000) < 600
