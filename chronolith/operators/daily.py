@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.functions import fourier
 from chronolith.functions.vocabulary import CATEGORY, QUANTITY
 from chronolith.operators.intervals import night_seconds
 
@@ -48,6 +49,7 @@ CORE_FEATURES = ("steps", "sleep_hours", "hr_mean_bpm")
 #: Readings of a day below which quantiles stay empty.
 LEAST_READINGS = 10
 BINS, LEAST_BINS, LEAST_SPAN_MINUTES, LOW_CYCLES = 96, 48, 720, 6
+RADICES = (3, 2, 4, 4)
 
 
 def keys(observations: DataFrame) -> DataFrame:
@@ -102,37 +104,39 @@ def heart(observations: DataFrame) -> DataFrame:
     return out.withColumns({"hr_active_excess_bpm": F.col("hr_active_mean_bpm") - F.col("hr_p10_bpm"), "hr_daily_cv": cv})
 
 
-def heart_bins(observations: DataFrame) -> DataFrame:
-    """Mean heart rate by quarter hour, gaps filled linearly, the day's ends held: 96 rows for days dense enough."""
+def heart_arrays(observations: DataFrame) -> DataFrame:
+    """``subject_id, date, v``: mean heart rate by quarter hour as one array of 96, gaps filled linearly, the day's ends
+    held; days dense enough."""
     minute = F.hour("start_local") * 60 + F.minute("start_local") + F.floor(F.second("start_local")) / F.lit(60.0)
     readings = heart_readings(observations).withColumn("minute", minute)
-    span = readings.groupBy(*DAY).agg((F.max("minute") - F.min("minute")).alias("span"))
-    bins = readings.groupBy(*DAY, F.floor(F.col("minute") / 15).cast("int").alias("bin")).agg(F.avg("v").alias("v"))
-    dense = bins.groupBy(*DAY).agg(F.count("*").alias("bins")).join(span, DAY).filter(f"bins >= {LEAST_BINS} AND span >= {LEAST_SPAN_MINUTES}").select(*DAY)
-    grid = dense.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1)))).join(bins, [*DAY, "bin"], "left")
-    w = Window.partitionBy(*DAY).orderBy("bin")
-    behind, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("v").isNotNull(), F.col("bin"))
-    grid = grid.withColumns({"b0": F.last(at, True).over(behind), "b1": F.first(at, True).over(ahead), "v0": F.last("v", True).over(behind), "v1": F.first("v", True).over(ahead)})
-    line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("bin") - F.col("b0")) / F.col("b1").try_cast("double").__sub__(F.col("b0"))
-    value = F.when(F.col("v0").isNull(), F.col("v1")).when(F.col("v1").isNull() | (F.col("b0") == F.col("b1")), F.col("v0")).otherwise(line)
-    return grid.select(*DAY, "bin", value.alias("v"))
+    bins = readings.groupBy(*DAY, F.floor(F.col("minute") / 15).cast("int").alias("bin")).agg(F.avg("v").alias("v"), F.min("minute").alias("first"), F.max("minute").alias("last"))
+    held = bins.groupBy(*DAY).agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("b"), (F.max("last") - F.min("first")).alias("span"))  # at most 96 entries
+    dense = held.filter((F.size("b") >= LEAST_BINS) & (F.col("span") >= LEAST_SPAN_MINUTES))
 
+    def line(a: Column, b: Column) -> Column:
+        return F.transform(F.sequence(a["bin"], b["bin"] - 1), lambda i: a["v"] + (b["v"] - a["v"]) * (i - a["bin"]) / (b["bin"] - a["bin"]))
 
-def heart_spectrum(observations: DataFrame) -> DataFrame:
-    """Entropy of a day's spectrum, and the share of its power at six cycles a day or fewer.
+    b = F.col("b")
+    lines = F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: line(F.get(b, i - 1), F.get(b, i)))
+    first, last = F.get(b, F.lit(0)), F.get(b, F.size(b) - 1)
+    ends = F.array_repeat(first["v"], first["bin"]), F.array_repeat(last["v"], BINS - last["bin"])
+    return dense.select(*DAY, F.concat(ends[0], F.flatten(lines), ends[1]).alias("v"))
 
-    A discrete Fourier transform as one aggregate: each quarter hour meets 48 frequencies.
-    """
-    v = heart_bins(observations)
-    v = v.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy(*DAY)))
-    turn = F.lit(2 * math.pi / BINS) * F.pmod(F.col("bin") * F.col("f"), F.lit(BINS))
-    waves = v.withColumn("f", F.explode(F.sequence(F.lit(1), F.lit(BINS // 2)))).groupBy(*DAY, "f").agg(F.sum(F.col("v") * F.cos(turn)).alias("c"), F.sum(F.col("v") * F.sin(turn)).alias("s"))
-    power = waves.withColumn("p", F.col("c") * F.col("c") + F.col("s") * F.col("s")).withColumn("total", F.sum("p").over(Window.partitionBy(*DAY)))
-    q = F.col("p") / F.col("total")
-    entropy = -F.sum(q * F.log(q + 1e-12)) / F.lit(math.log(BINS // 2))
-    some = power.filter("total > 0")
-    return some.groupBy(*DAY).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), entropy)).alias("hr_spectral_entropy"), F.sum(F.when(F.col("f") <= LOW_CYCLES, q).otherwise(0.0)).alias("hr_low_frequency_power"))
+
+def heart_bins(observations: DataFrame) -> DataFrame:
+    """The quarter hours as rows: 96 a day."""
+    return heart_arrays(observations).select(*DAY, F.posexplode("v").alias("bin", "v"))
+
+
+def heart_spectrum(observations: DataFrame) -> DataFrame:
+    """Entropy of a day's spectrum, and the share of its power at six cycles a day or fewer: a mixed radix transform of one
+    array a day."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    centred = heart_arrays(observations).withColumn("mean", total(F.col("v")) / BINS).withColumn("v", F.transform("v", lambda v: v - F.col("mean")))
+    power = centred.select(*DAY, fourier.powers(F.col("v"), BINS, BINS // 2, RADICES).alias("p")).withColumn("total", total(F.col("p")))
+    share = power.filter("total > 0").select(*DAY, F.transform("p", lambda p: p / F.col("total")).alias("q"))
+    entropy = -total(F.transform("q", lambda q: q * F.log(q + 1e-12))) / F.lit(math.log(BINS // 2))
+    return share.select(*DAY, F.greatest(F.lit(0.0), F.least(F.lit(1.0), entropy)).alias("hr_spectral_entropy"), total(F.slice("q", 1, LOW_CYCLES)).alias("hr_low_frequency_power"))
 
 
 def completeness(columns: list[str] | tuple[str, ...]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.operators.calendar import ordered, differenced, filled, lagged, led, temporal_split
+from chronolith.operators.calendar import filled, in_blocks, ordered, temporal_split, with_differences, with_lags, with_leads, with_orders
 from chronolith.operators.scores import mean_of
 
 #: Lags, targets, inputs and horizons.
@@ -47,11 +47,15 @@ def lag_table(daily: DataFrame, horizon: int, targets: Sequence[str] = TARGETS,
     used = sorted({*lags, 0, 1, 2, 3, seasonal_lag(horizon)})
     columns = [c for c in dict.fromkeys([*inputs, *targets]) if c in daily.columns]
     full = filled(daily.select("subject_id", "date", *columns))
-    anchors = {f"anchor__{t}__origin": F.col(t) for t in targets} | {f"anchor__{t}__previous": F.lag(t).over(ordered()) for t in targets} | {f"actual__{t}": F.lead(t, horizon).over(ordered()) for t in targets}
-    full = full.withColumns(anchors)
-    if orders is not None:
-        full = differenced(full, orders, columns)
-    table = led(lagged(full, columns, used), list(targets), horizon)
+    full = full if orders is None else with_orders(full, orders, columns)
+
+    def made(days: DataFrame, by: list[str]) -> DataFrame:
+        anchors = {f"anchor__{t}__origin": F.col(t) for t in targets} | {f"anchor__{t}__previous": F.lag(t).over(ordered(by)) for t in targets} | {f"actual__{t}": F.lead(t, horizon).over(ordered(by)) for t in targets}
+        days = days.withColumns(anchors)
+        days = days if orders is None else with_differences(days, columns, by)
+        return with_leads(with_lags(days, columns, used, by), list(targets), horizon, by)
+
+    table = in_blocks(full, made, max(used) + 2, horizon)
     whole = table.dropna(subset=[f"target__{t}" for t in targets]).drop(*columns)
     return LagTable(whole, [f"{c}__lag_{k}" for c in columns for k in used], list(targets), horizon, orders, tuple(used))
 

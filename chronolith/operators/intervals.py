@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 
 
 def merged(df: DataFrame, keys: Sequence[str], start: str = "start_local", end: str = "end_local") -> DataFrame:
-    """Overlapping and touching intervals of a key as one: keys, ``start``, ``end``. Rows without both ends are left out."""
-    ordered = Window.partitionBy(*keys).orderBy(start, end)
+    """Overlapping and touching intervals of a key as one: keys, ``start``, ``end``. Rows without both ends are left out.
+
+    Intervals are merged by the day they start on first, so no key meets in one task. How far a key's days reach, a row a
+    day, tells which of a day's merged intervals go on from an earlier day: those that start before its reach ends.
+    """
+    whole = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__day", F.to_date(start))
+    day = [*keys, "__day"]
+    ordered = Window.partitionBy(*day).orderBy(start, end)
     reach = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    whole = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
     flagged = whole.withColumn("__new", F.when(F.col(start) > reach, 1).when(reach.isNull(), 1).otherwise(0))
-    return flagged.withColumn("__island", island).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    island = F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    local = flagged.withColumn("__island", island).groupBy(*day, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+
+    before = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = local.groupBy(*day).agg(F.max(end).alias("__end"), F.max(start).alias("__start")).withColumn("__reach", F.max("__end").over(before))
+    fresh = F.when(F.col("__reach").isNull() | (F.col("__start") > F.col("__reach")), F.col("__start"))  # the day's last new start
+    days = days.withColumn("__last", F.last(fresh, ignorenulls=True).over(before)).select(*[F.col(k).alias(f"__k_{k}") for k in day], "__reach", "__last")
+    same = F.lit(True)
+    for k in day:
+        same = same & local[k].eqNullSafe(days[f"__k_{k}"])
+    first = F.when(F.col(start) <= F.col("__reach"), F.col("__last")).otherwise(F.col(start))
+    return local.join(days, same).groupBy(*keys, first.alias("__first")).agg(F.max(end).alias(end)).select(*keys, F.col("__first").alias(start), end)
 
 
 def seconds(start: Column, end: Column) -> Column:

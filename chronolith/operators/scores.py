@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.calendar import filled, trailing_mean
+from chronolith.operators import quantiles
+from chronolith.operators.calendar import filled, with_trailing_means
 
 WINDOW_DAYS, THRESHOLD = 30, 0.6
 #: The ingredients of each axis and their sign.
@@ -57,28 +58,19 @@ def apply_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
 def smoothed(daily: DataFrame, columns: Sequence[str] = SMOOTHED) -> DataFrame:
     """Trailing means over 7 days (3 observations) and 28 days (7), and their difference for two heart-rate features; a week less four weeks."""
     present = [c for c in columns if c in daily.columns]
-    made: dict[str, Column] = {}
-    for c in present:
-        made |= {f"{c}_7d": trailing_mean(c, 7, 3), f"{c}_28d": trailing_mean(c, 28, 7)}
-    out = daily.withColumns(made) if made else daily
+    out = with_trailing_means(daily, {f"{c}_{days}d": (c, days, least) for c in present for days, least in ((7, 3), (28, 7))})
     changes = {name: F.col(f"{c}_7d") - F.col(f"{c}_28d") for c, name in CHANGES.items() if c in present}
     return out.withColumns(changes) if changes else out
 
 
-def nearest_quantile(column: str, p: float) -> Column:
-    """An aggregate: the value at the rank nearest to a quantile, no interpolation. A group is one subject's days."""
-    values = F.sort_array(F.collect_list(column))
-    at = F.greatest(F.round((F.count(column) - 1) * F.lit(float(p))) + 1, F.lit(1.0))
-    return F.try_element_at(values, at.cast("int"))
-
-
 def axis_components(daily: DataFrame, axes: dict[str, dict[str, int]] = AXES) -> DataFrame:
     """``<axis>__<feature>``: sign * (value - personal median) / personal interquartile range, null where that is 0."""
     used = sorted({c for parts in axes.values() for c in parts if c in daily.columns})
     if not used:
         return daily
-    spread = lambda c: nearest_quantile(c, 0.75) - nearest_quantile(c, 0.25)
-    stats = daily.groupBy("subject_id").agg(*[F.median(c).alias(f"__m_{c}") for c in used], *[spread(c).alias(f"__q_{c}") for c in used])
+    wanted = {f"__{k}_{c}": (c, p, kind) for c in used for k, p, kind in (("m", 0.5, "linear"), ("a", 0.25, "nearest"), ("b", 0.75, "nearest"))}
+    stats = quantiles.exact(daily, ["subject_id"], wanted)
+    stats = stats.select("subject_id", *[f"__m_{c}" for c in used], *[(F.col(f"__b_{c}") - F.col(f"__a_{c}")).alias(f"__q_{c}") for c in used])
     joined = daily.join(stats, "subject_id", "left")
     part = lambda c, sign: F.when(F.col(f"__q_{c}") > 0, F.lit(sign) * (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__q_{c}"))
     made = {f"{axis}__{c}": part(c, sign) for axis, parts in axes.items() for c, sign in parts.items() if c in used}

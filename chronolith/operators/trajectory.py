@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.calendar import ordered, filled, split_dates
+from chronolith.operators.calendar import filled, in_blocks, ordered, split_dates
 from chronolith.operators.scores import AXES
 
 HALF_LIFE, HORIZONS, LAGS, ALPHA, BANDS = 7, 30, (0, 7), 1.0, (0.1, 0.9)
@@ -172,9 +172,14 @@ def subject_clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, mo
 
 def lagged_positions(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, horizons: Sequence[int] = range(1, HORIZONS + 1)) -> DataFrame:
     """One row per subject, day and horizon: positions now and a week ago, and at the horizon."""
-    columns = {f"{a}_lag_{k}": F.lag(f"{a}_position", k).over(ordered()) for a in axes for k in LAGS}
-    leads = F.array(*[F.struct(F.lit(h).alias("horizon"), F.date_add("date", h).alias("target_date"), *[F.lead(f"{a}_position", h).over(ordered()).alias(f"{a}_target") for a in axes]) for h in horizons])
-    return positioned.withColumns(columns).withColumn("__l", leads).select("subject_id", "date", *columns, F.inline("__l"))
+    columns = [f"{a}_lag_{k}" for a in axes for k in LAGS]
+
+    def made(days: DataFrame, by: list[str]) -> DataFrame:
+        w = ordered(by)
+        leads = F.array(*[F.struct(F.lit(h).alias("horizon"), F.date_add("date", h).alias("target_date"), *[F.lead(f"{a}_position", h).over(w).alias(f"{a}_target") for a in axes]) for h in horizons])
+        return days.withColumns({f"{a}_lag_{k}": F.lag(f"{a}_position", k).over(w) for a in axes for k in LAGS}).withColumn("__l", leads)
+
+    return in_blocks(positioned, made, max(LAGS), max(horizons)).select("subject_id", "date", *columns, F.inline("__l"))
 
 
 def ridge_sums(rows: DataFrame, features: Sequence[str], targets: Sequence[str], keys: Sequence[str]) -> DataFrame:

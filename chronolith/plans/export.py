@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import calendar, scores, trajectory
+from chronolith.operators import calendar, quantiles, scores, trajectory
 from chronolith.sources import sinks
 
 HISTORY_DAYS, SERIES_DAYS = 180, 365
@@ -18,8 +18,9 @@ CARDS = ("steps", "resting_hr_bpm", "sleep_hours", "hrv_sdnn_ms", "active_energy
 
 def spreads(days: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``subject_id, feature, iqr`` by nearest ranks."""
-    long = days.select("subject_id", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot("subject_id", list(columns), "feature", "v").filter("v IS NOT NULL")
-    return long.groupBy("subject_id", "feature").agg((scores.nearest_quantile("v", 0.75) - scores.nearest_quantile("v", 0.25)).alias("iqr"))
+    wanted = {f"{k}_{c}": (c, p, "nearest") for c in columns for k, p in (("a", 0.25), ("b", 0.75))}
+    found = quantiles.exact(days, ["subject_id"], wanted).select("subject_id", *[(F.col(f"b_{c}") - F.col(f"a_{c}")).alias(c) for c in columns])
+    return found.unpivot("subject_id", list(columns), "feature", "iqr").filter("iqr IS NOT NULL")
 
 
 def _listed(df: DataFrame, name: str, *fields: Column) -> DataFrame:

@@ -15,7 +15,8 @@ def scored_days(observations: DataFrame, window_columns: Sequence[str] = daily.C
     """Daily features of the dense periods, smoothed, with axis scores. Smoothing comes first: a change is an ingredient."""
     days = daily.build(observations)
     kept = scores.apply_windows(days, scores.dense_windows(days, window_columns))
-    scored = scores.axis_scores(scores.smoothed(kept))
+    kept = scores.smoothed(kept).persist()  # exact quantiles read the days three times
+    scored = scores.axis_scores(kept)
     return scores.smoothed(scored, ["activity_score", "recovery_score"])
 
 

@@ -387,7 +387,7 @@ def smoothed_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(by_day("SELECT subject_id, date, round(avg(steps) OVER (PARTITION BY subject_id ORDER BY date RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW), 6) AS mean FROM days"))
 def trend_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = days(spark, sf_dir)
-    return rounded(d.select("subject_id", "date", calendar.trailing_mean("steps", 14).alias("mean")))
+    return rounded(calendar.with_trailing_means(d, {"mean": ("steps", 14, 1)}).select("subject_id", "date", "mean"))
 
 
 @query(by_day("SELECT name, kind, CAST(rank AS INT) AS rank FROM (SELECT name, kind, row_number() OVER (PARTITION BY kind ORDER BY abs(height) DESC, name) AS rank FROM (SELECT subject_id AS name, avg(steps) - 180000 AS height, CASE WHEN avg(steps) >= 180000 THEN 'peak' ELSE 'valley' END AS kind FROM days GROUP BY 1)) WHERE kind = 'peak' AND rank <= 3 OR kind = 'valley' AND rank <= 2"))
