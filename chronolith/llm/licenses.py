@@ -54,36 +54,41 @@ def postfix(expression: str) -> list[str] | None:
     """Shunting yard: the longest well-formed licence expression at the start of a text, in postfix order; else None."""
     output: list[str] = []
     waiting: list[str] = []
-    best: list[str] | None = None
-    at, operand_next = 0, True
+    kept, rest = 0, [""]  # the longest well-formed start: so many steps of the output, and what waited behind them
+    at, operand_next, open_brackets = 0, True, 0
 
-    def closed() -> list[str] | None:
-        return None if "(" in waiting else output + waiting[::-1]
+    def closed() -> None:
+        """What waits outside brackets are at most three operators, one of each precedence."""
+        nonlocal kept, rest
+        if not open_brackets:
+            kept, rest = len(output), waiting[::-1]
 
     while m := _TOKEN.match(expression, at):
         token, at = m[1].rstrip(".-"), m.end()
         if operand_next:
             if token == "(":
                 waiting.append(token)
+                open_brackets += 1
                 continue
             if token in _PRECEDENCE or token == ")" or token in _NO_ID:
                 break
             output.append(token)
             operand_next = False
-            best = closed() or best
+            closed()
         elif token in _PRECEDENCE:
             while waiting and waiting[-1] != "(" and _PRECEDENCE[waiting[-1]] >= _PRECEDENCE[token]:
                 output.append(waiting.pop())
             waiting.append(token)
             operand_next = True
-        elif token == ")" and "(" in waiting:
+        elif token == ")" and open_brackets:
             while waiting[-1] != "(":
                 output.append(waiting.pop())
             waiting.pop()
-            best = closed() or best
+            open_brackets -= 1
+            closed()
         else:
             break
-    return best
+    return output[:kept] + rest if kept else None
 
 
 def evaluate(steps: list[str]) -> tuple[set[str], bool]:
@@ -99,7 +104,9 @@ def evaluate(steps: list[str]) -> tuple[set[str], bool]:
             if s == "with":
                 stack.append((a_labels, a_free))
             else:
-                stack.append((a_labels | b_labels, a_free or b_free if s == "or" else a_free and b_free))
+                small, large = sorted((a_labels, b_labels), key=len)
+                large |= small  # each set is in one place only
+                stack.append((large, a_free or b_free if s == "or" else a_free and b_free))
         else:
             known = family(s)
             stack.append(({known[0] if known else s.rstrip("+")}, bool(known and known[1])))
@@ -163,7 +170,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the findings of every row, from its whole text.
 
     Null and empty texts have no words, no labels (empty strings) and score 0. ``score`` is the chance that a notice is
-    meant, each distinct piece of evidence taken as independent. ``permissive`` is null without an expression. Repeated
+    meant, each distinct piece of evidence taken as independent. A text of any length is scanned whole, and an expression of
+    any length read to its end, in time in proportion to them. ``permissive`` is null without an expression. Repeated
     rows and null ids are scanned like any other; only ``doc_id`` and ``text`` are read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)

@@ -72,12 +72,13 @@ def parts(text: str) -> tuple[str, int, int, dict[int, int], dict[int, tuple[int
     lines = levels(text)
     quoted_any = any(k for k, _ in lines)
     own = []
-    for i, (k, line) in enumerate(lines):
-        if k == 0:
-            follows = next((lv for lv, x in lines[i + 1 :] if x.strip() or lv), 0)
-            if quoted_any and follows and _HEADER.match(line):
-                continue
+    follows = 0  # the level of the next line that is quoted or not blank
+    for k, line in reversed(lines):
+        if k == 0 and not (quoted_any and follows and _HEADER.match(line)):
             own.append(line)
+        if k or line.strip():
+            follows = k
+    own.reverse()
     body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if quoted_any else text
     mine = {_hash(p): len(p) for p in _passages(own) if p}
     theirs: dict[int, tuple[int, int]] = {}
@@ -114,7 +115,8 @@ def linked(messages: DataFrame) -> DataFrame:
     message answers earlier ones only (by ``conv_id, turn``), so the order has every message after the one it answers.
 
     A null or empty text stays as it is and quotes nothing; a message with a null ``conv_id`` or ``turn`` is kept,
-    answers nothing and is not answered; repeated rows all stay. Other columns are not read; an empty table gives no rows.
+    answers nothing and is not answered; repeated rows all stay; a text of any length is read whole, in time in proportion
+    to it. Other columns are not read; an empty table gives no rows.
     """
     prepare(messages.sparkSession)
 

@@ -428,3 +428,20 @@ def test_quote_parsing():
 
 def test_tokenizer_files_are_where_they_should_be():
     assert public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_time_in_proportion_to_long_messages_and_expressions():
+    import time
+
+    from chronolith.llm import licenses, quotes
+
+    began = time.thread_time()
+    body, depth, quoted, mine, _ = quotes.parts("a\n" * 500_000)
+    assert (len(body), depth, quoted) == (999_999, 0, 0) and mine
+    _, depth, quoted, _, _ = quotes.parts("On Monday, Al wrote:\n\n> a\n" * 30_000)
+    assert (depth, quoted) == (1, 30_000)
+    steps = licenses.postfix(" and ".join(f"x{i}" for i in range(120_000)))
+    assert len(steps) == 239_999 and len(licenses.evaluate(steps)[0]) == 120_000
+    assert licenses.postfix("(" * 300_000 + "mit") is None
+    assert licenses.postfix("mit or (gpl-2.0 and " * 2) == ["mit"]
+    assert time.thread_time() - began < 30
