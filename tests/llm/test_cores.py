@@ -437,7 +437,7 @@ def test_time_in_proportion_to_long_messages_and_expressions():
 
     began = time.thread_time()
     body, depth, quoted, mine, _ = quotes.parts("a\n" * 500_000)
-    assert (len(body), depth, quoted) == (999_999, 0, 0) and mine
+    assert (len(body), depth, quoted) == (1_000_000, 0, 0) and mine
     _, depth, quoted, _, _ = quotes.parts("On Monday, Al wrote:\n\n> a\n" * 30_000)
     assert (depth, quoted) == (1, 30_000)
     steps = licenses.postfix(" and ".join(f"x{i}" for i in range(120_000)))
