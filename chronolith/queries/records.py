@@ -112,9 +112,13 @@ def metric_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("*", vocabulary.is_healthkit(F.col("metric")).alias("healthkit"), vocabulary.rule_of(F.col("metric")).alias("daily_rule"), vocabulary.series_name(F.col("metric"), F.col("value")).alias("series"))
 
 
-@query("SELECT * FROM (VALUES ('activity', 9), ('body', 6), ('cardiac', 8), ('energy', 3), ('exposure', 5), ('hygiene', 1), ('mobility', 8), ('nutrition', 16), ('sleep', 6), ('wellbeing', 7), ('workout', 12)) t(domain, n_metrics)")
+@query(obs("""SELECT domain, n_metrics, CAST(coalesce(n, 0) AS BIGINT) AS n_rows FROM (VALUES ('activity', 9), ('body', 6), ('cardiac', 8), ('energy', 3), ('exposure', 5), ('hygiene', 1), ('mobility', 8), ('nutrition', 16), ('sleep', 6), ('wellbeing', 7), ('workout', 12)) t(domain, n_metrics)
+LEFT JOIN (SELECT CASE WHEN metric LIKE '%Sleep%' THEN 'sleep' WHEN metric LIKE '%HeartRate' THEN 'cardiac' ELSE 'activity' END AS domain, count(*) AS n FROM obs GROUP BY 1) USING (domain)"""))
 def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.catalogue(spark).groupBy("domain").agg(F.count("*").cast("int").alias("n_metrics"))
+    """The catalogue's metrics by domain, and the rows recorded of each."""
+    known = vocabulary.catalogue(spark)
+    recorded = observations(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("n"))
+    return known.join(recorded, "metric", "left").groupBy("domain").agg(F.count("*").cast("int").alias("n_metrics"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 @query("SELECT DISTINCT l_returnflag AS unit FROM lineitem")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.operators import calendar, embedding, forecast, insight, scores, stationarity, trajectory
@@ -61,12 +61,14 @@ def diff_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _H = 3
-_LAGS = (0, 1, 2, 3, 4)
-_LAG_SQL = "lt AS (SELECT * FROM (SELECT subject_id, date, date + 3 AS target_date, " + ", ".join(f"lag({c}, {k}) OVER w AS {c}__lag_{k}" for c in ("sleep_hours", "steps") for k in _LAGS) + ", lead(steps, 3) OVER w AS target__steps, lead(steps, 3) OVER w AS actual__steps, steps AS anchor__steps__origin, lag(steps) OVER w AS anchor__steps__previous FROM cal WINDOW w AS (PARTITION BY subject_id ORDER BY date)) WHERE target__steps IS NOT NULL)"
+_LAGS = forecast.LAGS  # those of baselines, the weekday of three days ahead among them, are there already
+_INPUTS = ("steps", "sleep_hours", "hr_mean_bpm", "resting_hr_bpm")
+_LAG_SQL = "lt AS (SELECT * FROM (SELECT subject_id, date, date + 3 AS target_date, " + ", ".join(f"lag({c}, {k}) OVER w AS {c}__lag_{k}" for c in _INPUTS for k in _LAGS) + ", lead(steps, 3) OVER w AS target__steps, lead(steps, 3) OVER w AS actual__steps, steps AS anchor__steps__origin, lag(steps) OVER w AS anchor__steps__previous FROM cal WINDOW w AS (PARTITION BY subject_id ORDER BY date)) WHERE target__steps IS NOT NULL)"
 
 
 def _lag_table(spark: SparkSession, sf_dir: str) -> forecast.LagTable:
-    return forecast.lag_table(days(spark, sf_dir), _H, targets=("steps",), inputs=("sleep_hours",), lags=(0,))
+    """All default inputs that the table has, and all default lags."""
+    return forecast.lag_table(days(spark, sf_dir), _H, targets=("steps",))
 
 
 @query(on_calendar(f"SELECT * FROM (WITH {_LAG_SQL} SELECT * FROM lt)"))
@@ -103,7 +105,7 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forecast_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six models; trees and coordinate descent have no SQL."""
-    lags = forecast.lag_table(days(spark, sf_dir), _H, targets=("steps",), inputs=("sleep_hours", "resting_hr_bpm"), lags=(0, 7), orders=None)
+    lags = _lag_table(spark, sf_dir)
     return rounded(forecast.evaluate(lags)[1], 4)
 
 
@@ -295,17 +297,28 @@ def _height(x: str, y: str) -> str:
     return f"(SELECT sum(sign * exp(-(vy * pow({x} - x, 2) - 2 * cov * ({x} - x) * ({y} - y) + vx * pow({y} - y, 2)) / (vx * vy - cov * cov) / 2) / (2 * pi() * sqrt(vx * vy - cov * cov))) FROM c)"
 
 
-_GRID = f"WITH {_C_SQL}, g AS (SELECT -1 + i * (2 / 20.0::DOUBLE) AS gx, -1 + j * (2 / 20.0::DOUBLE) AS gy FROM range(21) a(i), range(21) b(j)), d AS (SELECT gx, gy, {_height('gx', 'gy')} AS height FROM g)"
+_FITTED = """f AS (SELECT subject_id, date, steps / avg(steps) OVER (PARTITION BY subject_id) - 1 AS a, sedentary_hours / avg(sedentary_hours) OVER (PARTITION BY subject_id) - 1 AS r FROM days),
+c AS (SELECT * FROM (SELECT avg(a) AS x, avg(r) AS y, var_pop(a) AS vx, var_pop(r) AS vy, covar_pop(a, r) AS cov, CASE WHEN avg(a) + avg(r) >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM f GROUP BY subject_id, date_trunc('month', date)) WHERE vx * vy - cov * cov > 0)"""
+_GRID = f"{_FITTED}, g AS (SELECT -1 + i * (2 / 20.0::DOUBLE) AS gx, -1 + j * (2 / 20.0::DOUBLE) AS gy FROM range(21) a(i), range(21) b(j)), d AS (SELECT gx, gy, {_height('gx', 'gy')} AS height FROM g)"
+
+
+def _monthly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Gaussian of every subject's month, fitted by its moments: two features against the subject's mean."""
+    d = days(spark, sf_dir)
+    usual = lambda c: F.col(c) / F.avg(c).over(Window.partitionBy("subject_id")) - 1
+    placed = d.select("subject_id", F.trunc("date", "month").alias("month"), usual("steps").alias("a"), usual("sedentary_hours").alias("r"))
+    fitted = placed.groupBy("subject_id", "month").agg(F.avg("a").alias("x"), F.avg("r").alias("y"), F.var_pop("a").alias("var_x"), F.var_pop("r").alias("var_y"), F.covar_pop("a", "r").alias("cov"))
+    return fitted.withColumn("sign", F.when(F.col("x") + F.col("y") >= 0, 1.0).otherwise(-1.0))
 
 
-@query(f"{_GRID} SELECT round(gx, 6) + 0.0::DOUBLE AS gx, round(gy, 6) + 0.0::DOUBLE AS gy, round(height, 6) + 0.0::DOUBLE AS height FROM d")
+@query(by_day(f"SELECT * FROM (WITH {_GRID} SELECT round(gx, 6) + 0.0::DOUBLE AS gx, round(gy, 6) + 0.0::DOUBLE AS gy, round(height, 6) + 0.0::DOUBLE AS height FROM d)"))
 def terrain_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(insight.terrain(_made_clusters(spark), -1.0, 1.0, 21))
+    return rounded(insight.terrain(_monthly_clusters(spark, sf_dir), -1.0, 1.0, 21))
 
 
-@query(f"{_GRID} SELECT CAST(k AS INT) AS level, round((k + 0.5::DOUBLE) * (SELECT max(abs(height)) FROM d) / 9.0::DOUBLE, 6) AS threshold FROM range(9) t(k)")
+@query(by_day(f"SELECT * FROM (WITH {_GRID} SELECT CAST(k AS INT) AS level, round((k + 0.5::DOUBLE) * (SELECT max(abs(height)) FROM d) / 9.0::DOUBLE, 4) AS threshold FROM range(9) t(k))"))
 def contour_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(insight.contours(insight.terrain(_made_clusters(spark), -1.0, 1.0, 21)))
+    return rounded(insight.contours(insight.terrain(_monthly_clusters(spark, sf_dir), -1.0, 1.0, 21)), 4)
 
 
 @query(by_day("SELECT subject_id, round(avg(CASE WHEN age < 30 THEN steps END), 6) AS now, round(avg(CASE WHEN age >= 30 THEN steps END), 6) AS before, round(avg(CASE WHEN age < 30 THEN steps END) - avg(CASE WHEN age >= 30 THEN steps END), 6) AS change FROM (SELECT *, date_diff('day', date, max(date) OVER (PARTITION BY subject_id)) AS age FROM days) WHERE age < 60 GROUP BY 1"))
@@ -313,19 +326,27 @@ def period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(insight.period_change(days(spark, sf_dir), "steps", 30))
 
 
-@query(by_day(f"SELECT * FROM (WITH {SCORES.split(', cp AS')[0]} SELECT subject_id, preset, axis, round(sum(signed / q / 2), 6) AS delta FROM (SELECT subject_id, 'walk' AS preset, 'activity' AS axis, 5000.0::DOUBLE AS signed, q_steps AS q FROM st UNION ALL SELECT subject_id, 'walk', 'activity', 0.75, q_sedentary_hours FROM st UNION ALL SELECT subject_id, 'lateNight', 'recovery', -2.0, q_sleep_hours FROM st UNION ALL SELECT subject_id, 'lateNight', 'recovery', -3.0, q_resting_hr_bpm FROM st) WHERE q > 0 GROUP BY 1, 2, 3)"))
+_USED = {"steps": "activity", "sedentary_hours": "activity", "sleep_hours": "recovery", "resting_hr_bpm": "recovery"}
+_CHANGES_SQL = " UNION ALL ".join(f"SELECT subject_id, '{p}' AS preset, '{_USED[c]}' AS axis, {float(change * scores.AXES[_USED[c]][c])}::DOUBLE AS signed, q_{c} AS q, n_{_USED[c]} AS n FROM st JOIN td USING (subject_id)" for p, changes in insight.PRESETS.items() for c, change in changes.items() if c in _USED)
+_TODAY_SQL = "td AS (SELECT subject_id, " + ", ".join("arg_max(" + " + ".join(f"({c} IS NOT NULL)::INT" for c, a in _USED.items() if a == axis) + f", date) AS n_{axis}" for axis in ("activity", "recovery")) + " FROM days GROUP BY 1)"
+
+
+@query(by_day(f"SELECT * FROM (WITH {SCORES.split(', cp AS')[0]}, {_TODAY_SQL} SELECT subject_id, preset, axis, round(sum(signed / q / n), 6) AS delta FROM ({_CHANGES_SQL}) WHERE q > 0 AND n > 0 GROUP BY 1, 2, 3)"))
 def whatif_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = {"steps": "activity", "sedentary_hours": "activity", "sleep_hours": "recovery", "resting_hr_bpm": "recovery"}
-    spread = export.spreads(days(spark, sf_dir), list(used))
-    axis = F.create_map(*[F.lit(v) for pair in used.items() for v in pair])[F.col("feature")]
-    presets = {k: insight.PRESETS[k] for k in ("walk", "lateNight")}
-    return rounded(insight.whatif(spread.withColumn("axis", axis).withColumn("n", F.lit(2)), presets))
+    """All presets, of whose features the table has four; an axis has the ingredients of the subject's last day."""
+    d = days(spark, sf_dir)
+    spread = export.spreads(d, list(_USED))
+    axis = F.create_map(*[F.lit(v) for pair in _USED.items() for v in pair])[F.col("feature")]
+    today = calendar.latest(d, 1).select("subject_id", F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), sum((F.col(c).isNotNull().cast("int") for c, own in _USED.items() if own == a), F.lit(0)).alias("n")) for a in ("activity", "recovery")])))
+    return rounded(insight.whatif(spread.withColumn("axis", axis).join(today, ["subject_id", "axis"])))
 
 
-@query("SELECT CAST(d AS INT) AS d, round((1 - pow(0.5::DOUBLE, 1 / 7.0::DOUBLE)) * pow(0.5::DOUBLE, d / 7.0::DOUBLE), 9) AS once, round(1 - pow(0.5::DOUBLE, (d + 1) / 7.0::DOUBLE), 9) AS habit FROM range(31) t(d)")
+@query(by_day("SELECT subject_id, date, CAST(age AS INT) AS age, round(steps * (1 - pow(0.5::DOUBLE, 1 / 7.0::DOUBLE)) * pow(0.5::DOUBLE, age / 7.0::DOUBLE), 4) AS once, round(steps * (1 - pow(0.5::DOUBLE, (age + 1) / 7.0::DOUBLE)), 4) AS habit FROM (SELECT *, date_diff('day', date, max(date) OVER (PARTITION BY subject_id)) AS age FROM days)"))
 def position_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(31).select(F.col("id").cast("int").alias("d"))
-    return rounded(d.select("d", trajectory.effect_once(F.col("d")).alias("once"), trajectory.effect_habit(F.col("d")).alias("habit")), 9)
+    """What each day's value still moves on the subject's last day, as a change of that day alone and as one kept up."""
+    age = F.datediff(F.max("date").over(Window.partitionBy("subject_id")), "date")
+    d = days(spark, sf_dir).select("subject_id", "date", "steps", age.alias("age"))
+    return rounded(d.select("subject_id", "date", "age", (F.col("steps") * trajectory.effect_once(F.col("age"))).alias("once"), (F.col("steps") * trajectory.effect_habit(F.col("age"))).alias("habit")), 4)
 
 
 @query(by_day("SELECT subject_id, date, round(steps + 2 * (1 - pow(0.5::DOUBLE, (date_diff('day', f, date) + 2) / 7.0::DOUBLE)), 6) AS simulated FROM (SELECT *, min(date) OVER (PARTITION BY subject_id) AS f FROM days)"))
