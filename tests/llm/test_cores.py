@@ -445,3 +445,56 @@ def test_time_in_proportion_to_long_messages_and_expressions():
     assert licenses.postfix("(" * 300_000 + "mit") is None
     assert licenses.postfix("mit or (gpl-2.0 and " * 2) == ["mit"]
     assert time.thread_time() - began < 30
+
+
+STORY = "<h1>Title</h1><p>" + "A real sentence of the story, with commas, and a stop. " * 6 + "</p>" + "".join("<p>" + f"Paragraph {i} tells more of it, slowly, and at length. " * 5 + "</p>" for i in range(5))
+#: What the page adds to its article, under names of several words.
+ADDED = {
+    "reader": '<section class="reader-comments"><p>Junk: I agree, it is so. Really, all of it.</p><p>Junk: No, not at all.</p></section>',
+    "post": '<section id="post-comments"><p>Junk: I agree, it is so. Really, all of it.</p></section>',
+    "header": '<header><a href="/">Junk site</a><p>Junk motto</p></header>',
+    "related": '<div class="related-posts"><p>Junk: another story, told here.</p></div>',
+    "ad": '<div class="ad-slot-1"><p>Junk: buy it, now.</p></div>',
+    "newsletter": '<div class="newsletter-signup-form"><p>Junk: sign up, it is free.</p></div>',
+    "teaser": '<article><h2><a href="/x">Junk, another</a></h2><p>Junk: it was so, they say.</p></article>',
+    "card": '<div class="comment-card"><p>Junk: I agree, it is so.</p></div><div class="comment-card"><p>Junk: me too, a lot.</p></div>',
+}
+
+
+@pytest.mark.parametrize("page", ["<main>{0}{1}</main>", "<main><article>{0}</article>{1}</main>", "<main>{1}{0}</main>"])
+@pytest.mark.parametrize("name", ADDED)
+def test_what_a_page_adds_inside_main(name, page):
+    text = html_extract.main_text(f"<html><body>{page.format(STORY, ADDED[name])}</body></html>")
+    assert "Junk" not in text or (name, page) == ("teaser", "<main>{1}{0}</main>")
+    assert "Title\nA real" in text and text.count("\n") >= 6
+
+
+def test_what_a_page_adds_without_an_article():
+    text = html_extract.main_text(f"<body><h1>Title</h1><div class=story>{STORY[14:]}</div>{ADDED['card']}</body>")
+    assert "Junk" not in text and text.startswith("Title\nA real") and text.count("\n") == 6
+
+
+@pytest.mark.parametrize("kept", ['<section id="social-history"><h2>Social history</h2><p>{0}</p></section>', '<h2 id="related-work">Related work</h2><p>{0}</p>', '<section id="search-algorithms"><p>{0}</p></section>', '<section id="how-we-read-comments"><p>{0}</p></section>', "<header><h1>Title</h1><p>{0}</p></header>", '<article class="commentary"><p>{0}</p></article>'])
+def test_names_that_articles_have(kept):
+    para = "Kept: a sentence of the article, with commas, and a stop."
+    assert para in html_extract.main_text(f"<body><main>{STORY}{kept.format(para)}</main></body>")
+
+
+def test_paths_decide_without_names(monkeypatch):
+    """Generated pages without <article>, with no list of names: the headline and the paths leave out what stands apart."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [p or "" for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()]
+    want = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "NAMES", frozenset())
+    monkeypatch.setattr(html_extract, "ENDS", frozenset())
+    got = [html_extract.main_text(re.sub(r"</?(?:article|main)[^>]*>", "", p)) for p in pages]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(pages)
+    monkeypatch.setattr(html_extract, "BEFORE", 1.0)  # the paths alone
+    got = [html_extract.main_text(re.sub(r"</?(?:article|main)[^>]*>", "", p)) for p in pages]
+    alone = sum(a == b for a, b in zip(got, want, strict=True))
+    monkeypatch.setattr(html_extract, "path_scores", lambda path, chars, marks: chars * 0 + 1.0)
+    got = [html_extract.main_text(re.sub(r"</?(?:article|main)[^>]*>", "", p)) for p in pages]
+    assert alone >= 0.7 * len(pages) and sum(a == b for a, b in zip(got, want, strict=True)) < alone / 4
