@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import hashlib
 import os
 import re
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +17,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text handled at once inside a Python worker. A single longer text is handled alone.
@@ -29,6 +30,7 @@ _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and keep Arrow batches small."""
     environment = spark.sparkContext.environment
+    environment.setdefault(SECRET, secrets.token_hex(8))
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
@@ -215,6 +217,16 @@ class HashIndex:
             h, numbers, slot = h[left], numbers[left], (slot[left] + 1) & (self.slots - 1)
 
 
+#: Where workers find the number that words are hashed with: drawn by the driver for every run, the same for all workers,
+#: and unknown to those who write the texts, so that nobody can make words that share a hash.
+SECRET = "CHRONOLITH_SECRET"
+
+
+@functools.cache
+def secret() -> int:
+    return int(os.environ.get(SECRET) or "0", 16)
+
+
 #: Spans of more bytes are hashed one by one.
 LONG_SPAN = 64
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -225,12 +237,13 @@ def carried(h: np.ndarray, part: np.ndarray) -> np.ndarray:
     return mix64(h * np.uint64(0x9E3779B97F4A7C15) + part)
 
 
-def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a text: eight bytes at a time, each mixed into what went before. Spans of one length up
-    to eight bytes never collide, others by chance only."""
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, key: int | None = None) -> np.ndarray:
+    """64-bit hashes of spans of a text under the run's secret (or ``key``): eight bytes at a time, each mixed into what
+    went before. Spans of one length up to eight bytes never collide, others by chance only."""
+    key = secret() if key is None else key
     size = ends - starts
     words = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
-    h = mix64(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    h = mix64((size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) ^ np.uint64(key))
     h = carried(h, words[starts] & _LOW_BYTES[np.minimum(size, 8)])
     for k in range(8, LONG_SPAN, 8):
         live = np.flatnonzero((size > k) & (size <= LONG_SPAN))
@@ -239,5 +252,5 @@ def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         h[live] = carried(h[live], words[starts[live] + k] & _LOW_BYTES[np.minimum(size[live] - k, 8)])
     view = memoryview(data)
     for i in np.flatnonzero(size > LONG_SPAN).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+        h[i] = int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
     return h

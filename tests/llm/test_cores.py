@@ -498,3 +498,15 @@ def test_paths_decide_without_names(monkeypatch):
     monkeypatch.setattr(html_extract, "path_scores", lambda path, chars, marks: chars * 0 + 1.0)
     got = [html_extract.main_text(re.sub(r"</?(?:article|main)[^>]*>", "", p)) for p in pages]
     assert alone >= 0.7 * len(pages) and sum(a == b for a, b in zip(got, want, strict=True)) < alone / 4
+
+
+def test_made_words_share_no_hash():
+    """Two words made to collide under a known key don't under another, long or short; equal ones always do."""
+    pairs = [(b"il5pj3joabcdefgh", b"qqpefcog1xok70eo")]
+    hashes = lambda words, key: span_hashes(b"".join(words), np.cumsum([0, *map(len, words[:-1])]), np.cumsum([*map(len, words)]), key).tolist()
+    for a, b in pairs:
+        assert len(set(hashes([a, b], 0))) == 1  # the attack
+        for key in np.random.default_rng(1).integers(1, 2**63, 200).tolist():
+            assert len(set(hashes([a, b], key))) == 2 and len(set(hashes([a, a], key))) == 1
+    words = [f"w{i}".encode() * (1 + i % 40) for i in range(3000)]
+    assert len(set(hashes(words, 12345))) == 3000 and hashes(words, 1) != hashes(words, 2)

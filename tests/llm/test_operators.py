@@ -515,3 +515,17 @@ def test_near_duplicates_of_words_that_defeat_polynomial_hashes(spark):
     rows = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits))]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True)}
+
+
+def test_made_words_are_told_apart(spark):
+    """Words that collide under a known key: all documents keep their own ids, pieces and sets."""
+    from tokenizers import Tokenizer
+
+    texts = [" ".join([w] * 3 + ["of the same words as before and then some more of them"]) for w in ("il5pj3joabcdefgh", "qqpefcog1xok70eo")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    path = token_store.tokenizer_path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in token_store.read(token_store.write(docs, path)).collect()}
+    assert got == {i: whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert [r.kept for r in minhash.near_duplicates(docs, size=1, percent=99).orderBy("doc_id").collect()] == [True, True]
+    assert all(r.round_trip for r in piece_sampling.encode(docs, piece_sampling.model_path()).collect())
