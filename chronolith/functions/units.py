@@ -39,8 +39,10 @@ def converted(df: DataFrame) -> DataFrame:
 
 
 def canonicalize(df: DataFrame) -> DataFrame:
-    """As ``converted``, after an error for unknown units (at most 20 are named)."""
-    found = [r.unit for r in unknown_units(df).limit(20).collect()]
-    if found:
-        raise UnknownUnitError(f"no conversion for {sorted(found)}")
+    """As ``converted``, after an error for unknown units: twenty are named, the others counted."""
+    unknown = unknown_units(df)
+    count = unknown.count()
+    if count:
+        some = [r.unit for r in unknown.orderBy("unit").limit(20).collect()]
+        raise UnknownUnitError(f"no conversion for {some}" + (f" and {count - 20} more" if count > 20 else ""))
     return converted(df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions import schema, vocabulary
@@ -16,12 +16,17 @@ MOST = 500
 FINDING = "check string, detail string"
 
 
-def value_counts(df: DataFrame) -> DataFrame:
-    """Rows with both values, with neither, and nulls in required columns: one row."""
+def measures() -> list[Column]:
+    """Aggregates of rows with both values, with neither, and nulls in required columns."""
     both = F.col("value_num").isNotNull() & F.col("value_str").isNotNull()
     neither = F.col("value_num").isNull() & F.col("value_str").isNull()
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return df.agg(count(both).alias("both_values"), count(neither).alias("no_value"), *[count(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED])
+    return [count(both).alias("both_values"), count(neither).alias("no_value"), *[count(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED]]
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """``measures`` as one row."""
+    return df.agg(*measures())
 
 
 def unknown_metrics(df: DataFrame) -> DataFrame:
@@ -46,12 +51,12 @@ def crowded(df: DataFrame) -> DataFrame:
     return counts.filter(F.col("n") > MOST)
 
 
-def check(df: DataFrame) -> DataFrame:
-    """All findings. Wrong columns are the only finding where they are wrong."""
+def check(df: DataFrame, counted: dict[str, int] | None = None) -> DataFrame:
+    """All findings. Wrong columns are the only finding where they are wrong. ``counted``: the ``measures``, if known."""
     spark = df.sparkSession
     if df.columns != schema.COLUMNS:
         return spark.createDataFrame([("schema", f"columns are {df.columns}")], FINDING)
-    counts = value_counts(df)
+    counts = value_counts(df) if counted is None else spark.createDataFrame([tuple(counted.values())], ", ".join(f"{c} long" for c in counted))
     counted = counts.unpivot([], counts.columns, "check", "n").filter("n > 0").select("check", F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
     named = lambda d, name, c: d.select(F.lit(name).alias("check"), F.col(c).alias("detail"))
     parts = [

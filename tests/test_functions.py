@@ -112,3 +112,38 @@ def test_stub_is_never_overwritten(tmp_path):
     assert identity.load_subject_id(tmp_path / "s.toml", "a/b") == "subject_x"
     with pytest.raises(KeyError):
         identity.load_subject_id(tmp_path / "s.toml", "c")
+
+
+def test_the_gate_computes_its_input_once_and_publishes_whole_partitions(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = canonical(spark)
+    counted = rows.repartition(1).mapInArrow(passing, rows.schema)
+    out = str(tmp_path / "out")
+    sinks.write_observations(counted, out)
+    assert seen.value == rows.count()
+    other = canonical(spark, subject_id="subject_other")
+    sinks.write_observations(other, out)
+    before = sorted(map(str, spark.read.parquet(out).select(*schema.COLUMNS).collect()))
+    assert len(before) == 2 * rows.count()
+    with pytest.raises(sinks.FindingsError, match="metric"):
+        sinks.write_observations(rows.unionByName(canonical(spark, metric="Wobble")), out)
+    with pytest.raises(sinks.FindingsError, match="both_values: 1 rows"):
+        sinks.write_observations(canonical(spark, value_num=1.0, value_str="HKCategoryValueX"), out)
+    with pytest.raises(sinks.FindingsError, match="schema"):
+        sinks.write_observations(rows.drop("unit"), out)
+    assert sorted(map(str, spark.read.parquet(out).select(*schema.COLUMNS).collect())) == before
+    sinks.write_observations(rows.unionByName(rows), out)  # its own partition only
+    assert spark.read.parquet(out).count() == 3 * rows.count()
+    assert not [p for p in tmp_path.rglob("_*") if p.is_dir()]
+
+
+def test_units_that_are_not_named_are_counted(spark):
+    df = spark.createDataFrame([(f"u{i:02}", 1.0) for i in range(25)], "unit string, value_num double")
+    with pytest.raises(units.UnknownUnitError, match="u19'\\] and 5 more"):
+        units.canonicalize(df)
