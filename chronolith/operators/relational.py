@@ -119,11 +119,14 @@ def set_summary(coverage: DataFrame) -> DataFrame:
 
 
 def cooccurrence(long: DataFrame) -> DataFrame:
-    """How often two series fall on the same subject's day: share of the first's days, and Jaccard."""
-    days = long.filter("value IS NOT NULL").select("subject_id", "date", "series").distinct()
-    total = days.groupBy("series").agg(F.count("*").alias("n"))
-    a, b = days.withColumnRenamed("series", "a"), days.withColumnRenamed("series", "b")
-    both = a.join(b, ["subject_id", "date"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    """How often two series fall on the same subject's day: share of the first's days, and Jaccard.
+
+    A day's series are one array, of as many entries as there are series; its pairs are counted in each task first. A
+    series with itself counts its days.
+    """
+    days = long.filter("value IS NOT NULL").groupBy("subject_id", "date").agg(F.collect_set("series").alias("s"))
+    both = days.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.count("*").alias("both"))
+    total = both.filter("a = b").select("a", F.col("both").alias("n"))
     out = both.join(total.toDF("a", "n_a"), "a").join(total.toDF("b", "n_b"), "b")
     return out.select("a", "b", "both", (F.col("both") / F.col("n_a")).alias("given_a"), (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
 
