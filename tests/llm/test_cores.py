@@ -510,3 +510,47 @@ def test_made_words_share_no_hash():
             assert len(set(hashes([a, b], key))) == 2 and len(set(hashes([a, a], key))) == 1
     words = [f"w{i}".encode() * (1 + i % 40) for i in range(3000)]
     assert len(set(hashes(words, 12345))) == 3000 and hashes(words, 1) != hashes(words, 2)
+
+
+def test_whole_pages_by_another_parser():
+    """Generated pages through the standard library's parser: what their only <article> holds, cut at block elements."""
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.held, self.blocks = False, [], []
+
+        def flush(self):
+            words = " ".join("".join(self.held).split())
+            self.held = []
+            if words:
+                self.blocks.append(words)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.held.append(" ")
+            elif tag in html_extract.BLOCK:
+                self.flush()
+            self.inside |= tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCK:
+                self.flush()
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.held.append(data)
+
+    pages = [p or "" for p in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()]
+    for page in pages:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        reader.flush()
+        assert html_extract.main_text(page) == "\n".join(reader.blocks)
+    assert len(pages) == 250
