@@ -162,7 +162,24 @@ def ridge_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sums.select("horizon", "n", F.col("xx_0_1").alias("xx"), F.col("xy_0_activity_target").alias("xy"), F.col("xx_3_3").alias("rr"), F.col("s_activity_target").alias("y")), 4)
 
 
-@query()
+def _ridge_sql() -> str:
+    """The normal equations of every horizon and both axes, solved by elimination, a step a table."""
+    f, y = _RIDGE_FEATURES, ("activity_target", "recovery_target")
+    p = len(f)
+    sums = [f"avg({c}) AS m{i}" for i, c in enumerate(f)] + [f"avg({t}) AS t{k}" for k, t in enumerate(y)]
+    sums += [f"sum({a} * {b}) AS s{i}_{j}" for i, a in enumerate(f) for j, b in enumerate(f)] + [f"sum({a} * {t}) AS s{i}_{p + k}" for i, a in enumerate(f) for k, t in enumerate(y)]
+    mean = lambda j: f"m{j}" if j < p else f"t{j - p}"
+    first = [f"s{i}_{j} - n * m{i} * {mean(j)}{f' + {float(trajectory.ALPHA)}::DOUBLE' if i == j else ''} AS a{i}_{j}" for i in range(p) for j in range(p + 2)]
+    parts = [f"su AS (SELECT horizon, count(*) AS n, {', '.join(sums)} FROM lp GROUP BY 1)", f"e0 AS (SELECT horizon, {', '.join(first)} FROM su)"]
+    for k in range(p):
+        made = [(f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}") + f" AS a{i}_{j}" for i in range(p) for j in range(p + 2)]
+        parts.append(f"e{k + 1} AS (SELECT horizon, {', '.join(made)} FROM e{k})")
+    rows = " UNION ALL ".join(f"SELECT horizon, '{a}' AS axis, {i} AS term, round(a{i}_{p + k}, 4) + 0.0::DOUBLE AS weight FROM e{p}" for k, a in enumerate(("activity", "recovery")) for i in range(p))
+    lp = _LP.replace("t.activity_position AS activity_target", "t.activity_position AS activity_target, t.recovery_position AS recovery_target")
+    return by_day(f"SELECT * FROM (WITH {_POS}, {lp}, {', '.join(parts)} {rows})")
+
+
+@query(_ridge_sql())
 def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trajectory.lagged_positions(trajectory.positions(_axes(spark, sf_dir))).dropna()
     found = trajectory.ridge(rows)
