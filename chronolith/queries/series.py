@@ -102,16 +102,21 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.errors(out, {m: (f"{m}__steps", "actual__steps") for m in ("persistence", "seasonal", "moving_mean")}), 4)
 
 
+def _fit_table(spark: SparkSession, sf_dir: str) -> forecast.LagTable:
+    """What the regressors are fitted on: one input and the lags of the baselines."""
+    return forecast.lag_table(days(spark, sf_dir), _H, targets=("steps",), inputs=("sleep_hours",), lags=(0,))
+
+
 @query()
 def forecast_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six models; trees and coordinate descent have no SQL."""
-    lags = _lag_table(spark, sf_dir)
+    lags = forecast.lag_table(days(spark, sf_dir), _H, targets=("steps",), inputs=("sleep_hours", "resting_hr_bpm"), lags=(0, 7), orders=None)
     return rounded(forecast.evaluate(lags)[1], 4)
 
 
 @query()
 def elasticnet_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lags = _lag_table(spark, sf_dir)
+    lags = _fit_table(spark, sf_dir)
     model = forecast.fit(lags.frame, lags.features, "target__steps", "elastic_net", 0.01)
     rows = [(c, float(w)) for c, w in zip(lags.features, model.model.coefficients, strict=True)]
     return rounded(spark.createDataFrame(rows, "feature string, coefficient double"), 4)
@@ -119,7 +124,7 @@ def elasticnet_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lags = _lag_table(spark, sf_dir)
+    lags = _fit_table(spark, sf_dir)
     model = forecast.fit(lags.frame, lags.features, "target__steps", "boosted")
     rows = [(c, float(w)) for c, w in zip(lags.features, model.model.featureImportances.toArray(), strict=True)]
     return rounded(spark.createDataFrame(rows, "feature string, importance double"), 4)
