@@ -80,7 +80,7 @@ def payloads(days: DataFrame, fitted: dict) -> DataFrame:
     ``scaling``: iqr (spreads above 0, by name) and counts. ``days`` has the axes' components and scores.
     """
     axes = trajectory.AXIS_NAMES
-    positioned = trajectory.positions(days)
+    positioned = trajectory.positions(days).persist()  # five parts of a document read it
     ahead = trajectory.forecast(positioned, fitted)
     prediction = _listed(ahead, "prediction", F.col("date").cast("string").alias("date"), _axis_struct("{}_predicted", "position"), _axis_struct("{}_low_value", "low"), _axis_struct("{}_high_value", "high"))
     center = F.struct(F.col("x").alias(axes[0]), F.col("y").alias(axes[1])).alias("center")
