@@ -276,12 +276,13 @@ SELECT e.event_type AS stream, 'scalar' AS family, strftime(min(ts), '%Y-%m-%d %
 def file_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON array a kind of event, in order of time, probed by windows; ``counted``: the estimate is within a tenth."""
     path = scratch(spark)
-    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")))
+    kind = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumns({"i": F.row_number().over(kind), "last": F.lead(F.lit(True)).over(kind).isNull()})
     record = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("dateTime"), F.col("value").cast("string").alias("value")))
-    lines = e.select("event_type", "i", F.concat(F.when(F.col("i") == 1, "[").otherwise(","), record).alias("value"))
+    # the bracket that closes an array is in its last row: rows of their own could be written by another task, to a file of their own
+    line = F.concat(F.when(F.col("i") == 1, "[").otherwise(","), record, F.when(F.col("last"), "\n]").otherwise(""))
+    e.select("event_type", "i", line.alias("value")).sortWithinPartitions("event_type", "i").drop("i").write.partitionBy("event_type").text(path)
     counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    lines = lines.unionByName(counts.select("event_type", (F.col("n") + 1).cast("int").alias("i"), F.lit("]").alias("value")))
-    lines.repartition("event_type").sortWithinPartitions("event_type", "i").drop("i").write.partitionBy("event_type").text(path)
     found = inventory.probe(spark, path, kind="json").withColumn("stream", F.regexp_extract("source", "event_type=(.*)", 1))
     near = F.abs(F.col("records") - F.col("n")) <= F.col("n") / 10
     return found.join(counts, found.stream == counts.event_type).select("stream", "family", "first", "last", "grain", near.alias("counted"))
