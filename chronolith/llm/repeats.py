@@ -3,7 +3,8 @@
 A repeated string of ``least`` bytes holds, at the same place in all its occurrences, an anchor: the byte window of
 ``GRAM`` bytes with the least hash among those inside the string. Only suffixes at anchors are sorted.
 
-1. Documents are packed into chunks of about ``CHUNK`` bytes; a chunk finds its anchors.
+1. Documents are packed into chunks of about ``CHUNK`` bytes; a chunk finds its anchors. Up to ``GROUP`` chunks in a row are
+   a group: what they send to a bucket, and what it answers, is one row.
 2. It asks, by an anchor's hash and by that of its context (all ``least``-byte strings around it), which document is the
    first to have them. A question is asked once a chunk, however many documents share it, so a passage that is
    everywhere costs no more than one row a chunk. Most anchors occur in one document only and end here.
@@ -22,6 +23,7 @@ a stack scan of the interval tree.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -37,16 +39,20 @@ from chronolith.llm.suffix_core import intervals, neighbour_lcp, suffix_array
 LEAST = 50
 GRAM = 16
 CHUNK = 512_000
+#: Chunks and bytes of text of a group at most (a longer chunk is a group of its own).
+GROUP, GROUP_BYTES = 16, 8_000_000
 #: Bytes of text whose questions meet in a bucket, and bytes of text that a task of an exchange answers for, about.
-BUCKET, SHARE = 8_000_000, 32_000_000
+BUCKET, SHARE = 16_000_000, 32_000_000
 #: Contexts of one anchor that a bucket takes; an anchor with more is answered string by string.
 HOT = 4096
 LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Kinds of rows that meet at a chunk, in this order.
-TEXT, STATE, ANSWER, HOT_ANSWER = 0, 1, 2, 3
+#: Kinds of rows that meet at a group, in this order: all that its texts need is there before them.
+STATE, ANSWER, HOT_ANSWER, TEXT = 0, 1, 2, 3
+#: A chunk's number ends in its place in the group; a question's in the group is that place, then its number in the chunk.
+PLACE_BITS, NUMBER_BITS = 4, 28
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -163,12 +169,14 @@ def chunked(docs: DataFrame) -> DataFrame:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
-        part, number = TaskContext.get().partitionId(), 0
+        part, group, place, grouped = TaskContext.get().partitionId(), 0, 0, 0
         held: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, size
+            nonlocal group, place, grouped, size
+            if place == GROUP or place and grouped + size > GROUP_BYTES:
+                group, place, grouped = group + 1, 0, 0
             whole = pa.Table.from_batches(held)
             texts = [t for b in held for t in utf8(b.column("text"))]
             ids = whole.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
@@ -176,8 +184,8 @@ def chunked(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as writer:
                 writer.write_table(rest)
-            row = (part << 32) + number, pack(ids, np.array([len(t) for t in texts], np.int64)), compress(b"".join(texts)), sink.getvalue().to_pybytes()
-            number, size = number + 1, 0
+            row = (part << 32) + (group << PLACE_BITS) + place, pack(ids, np.array([len(t) for t in texts], np.int64)), compress(b"".join(texts)), sink.getvalue().to_pybytes()
+            place, grouped, size = place + 1, grouped + size, 0
             held.clear()
             return _rows([[x] for x in row], CHUNKS)
 
@@ -211,35 +219,65 @@ def _widen(b: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _ask(kind: int, chunk: int, buckets: int, gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """Questions sorted by ``gram`` as one row a bucket: the number of its first, the hashes, and documents from a base."""
-    number, starts = _by_bucket(gram, buckets)
-    base = doc.min() if len(doc) else np.int64(0)
-    far = doc.astype(np.uint64) - base.astype(np.uint64)
-    near = far.astype(np.uint32) if len(far) and int(far.max()) < 1 << 32 else far
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(gram))[: len(starts)].tolist(), strict=True):
-        yield kind, int(number[a]), chunk, pack(np.array([a], np.uint32), _narrow(gram[a:b]), _narrow(context[a:b]), base.reshape(1), near[a:b])
+class Outbox:
+    """What the chunks of a group send to the buckets, a row a kind and bucket for all of them."""
+
+    def __init__(self, chunk: int) -> None:
+        self.group, self.questions, self.classes = chunk >> PLACE_BITS, {}, {}
+
+    def ask(self, kind: int, chunk: int, buckets: int, gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> None:
+        """A chunk's questions, sorted by ``gram``: their hashes, and documents."""
+        number, starts = _by_bucket(gram, buckets)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(gram))[: len(starts)].tolist(), strict=True):
+            self.questions.setdefault((kind, int(number[a])), []).append((int(_numbered(chunk, a)), gram[a:b], context[a:b], doc[a:b]))
+
+    def add(self, bucket: int, *columns: np.ndarray) -> None:
+        """A chunk's classes for a bucket."""
+        self.classes.setdefault(bucket, []).append(columns)
+
+    def rows(self) -> Iterator[tuple[int, int, int, bytes]]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for (kind, bucket), parts in self.questions.items():
+            first, gram, context, doc = zip(*parts, strict=True)
+            sizes, doc = [len(g) for g in gram], np.concatenate(doc)
+            base = doc.min()
+            far = doc.astype(np.uint64) - base.astype(np.uint64)
+            near = far.astype(np.uint32) if int(far.max()) < 1 << 32 else far
+            yield kind, bucket, self.group << PLACE_BITS, pack(np.array(first, np.uint32), np.array(sizes, np.uint32), _narrow(np.concatenate(gram)), _narrow(np.concatenate(context)), base.reshape(1), near)
+        for bucket, parts in self.classes.items():
+            yield ANSWER, bucket, self.group << PLACE_BITS, squeeze(pack(*(np.concatenate(c) for c in zip(*parts, strict=True))))
+
+
+def _numbered(chunk: int, number: np.ndarray | int) -> np.ndarray:
+    """A question's number in its group."""
+    return np.asarray(number, np.uint32) | np.uint32((chunk & (1 << PLACE_BITS) - 1) << NUMBER_BITS)
 
 
 def _asked(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    first, gram, context, base, far = columns
-    return first[0] + np.arange(len(far), dtype=np.uint32), _widen(gram), _widen(context), (base.astype(np.uint64) + far.astype(np.uint64)).astype(np.int64)
+    first, sizes, gram, context, base, far = columns
+    inside = np.arange(len(far), dtype=np.int64) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+    return (np.repeat(first.astype(np.int64), sizes) + inside).astype(np.uint32), _widen(gram), _widen(context), (base.astype(np.uint64) + far.astype(np.uint64)).astype(np.int64)
 
 
 def _questions(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, blob, z in zip(*(batch.column(c).to_pylist() for c in ("chunk", "blob", "z")), strict=True):
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "blob", "z")), strict=True))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0] >> PLACE_BITS):
+            out = None
+            for chunk, blob, z in own:
+                out = out or Outbox(chunk)
                 a = Anchors(_texts(blob, z), least)
-                out = list(_ask(ANSWER, chunk, buckets, a.q_gram, a.q_context, a.q_doc))
-                yield _rows(list(zip(*out, strict=True)) or [[]] * 4, ASKED)
+                out.ask(ANSWER, chunk, buckets, a.q_gram, a.q_context, a.q_doc)
+            yield _rows(list(zip(*out.rows(), strict=True)) or [[]] * 4, ASKED)
 
     return chunks.select("chunk", "blob", "z").mapInArrow(run, ASKED_DDL)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
-    """Buckets of a partition sorted by bucket: the chunks that ask, and their columns."""
+    """Buckets of a partition sorted by bucket: the groups that ask (by their first chunk's number), and their columns."""
     import zstandard
 
     bucket, chunks, columns = None, [], []
@@ -256,7 +294,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int
 
 
 def _answer(kind: int, chunks: list[int], sizes: list[int], live: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Answers to the questions of ``live`` (places in the chunks' questions laid end to end), a row a chunk."""
+    """Answers to the questions of ``live`` (places in the groups' questions laid end to end), a row a group."""
     bounds = np.searchsorted(live, np.concatenate([[0], np.cumsum(sizes)]))
     out = []
     for chunk, a, b in zip(chunks, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -308,24 +346,53 @@ def _spread(df: DataFrame, tasks: int, number: Column) -> DataFrame:
 
 
 def _meet(chunks: DataFrame, tasks: int, *others: DataFrame) -> DataFrame:
-    """Chunks beside the rows addressed to them, sorted by chunk and kind, the chunk itself first."""
+    """Chunks beside the rows addressed to their groups, sorted by group and kind, the chunks last."""
     own = chunks.select("chunk", F.lit(TEXT).alias("kind"), "blob", "z", "rest")
     for o in others:
         own = own.union(o.select("chunk", "kind", "blob", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
-    return _spread(own, tasks, F.shiftright("chunk", 32) * 7919 + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))).sortWithinPartitions("chunk", "kind")
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    chunk, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != chunk and rows:
-                yield chunk, rows
-                rows = []
-            chunk = row[0]
-            rows.append(row[1:])
-    if rows:
-        yield chunk, rows
+    group = F.shiftright("chunk", PLACE_BITS)
+    number = F.shiftright("chunk", 32) * 7919 + group.bitwiseAND(F.lit((1 << 32 - PLACE_BITS) - 1))
+    return _spread(own, tasks, number).sortWithinPartitions(group, "kind", "chunk")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+    """The rows of every group."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, own in itertools.groupby(rows, key=lambda row: row[0] >> PLACE_BITS):
+        yield own
+
+
+def _joined(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Answers of several buckets by number."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, 1), np.uint8)
+    number = np.concatenate([n for n, _ in parts]).astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    return number[order], np.concatenate([found.reshape(len(n), -1) for n, found in parts])[order]
+
+
+def _own(answers: tuple[np.ndarray, np.ndarray], chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those to one chunk, by its own numbers."""
+    number, found = answers
+    first = (chunk & (1 << PLACE_BITS) - 1) << NUMBER_BITS
+    a, b = np.searchsorted(number, [first, first + (1 << NUMBER_BITS)])
+    return number[a:b] - first, found[a:b]
+
+
+def _chunks(own: Iterator[tuple]) -> Iterator[tuple]:
+    """A group's chunks: number, texts, other columns, state, answers by anchor and by string."""
+    state: dict[int, bytes] = {}
+    sent: dict[int, list] = {ANSWER: [], HOT_ANSWER: []}
+    found = None
+    for chunk, kind, blob, z, rest in own:
+        if kind == STATE:
+            state[chunk] = blob
+        elif kind != TEXT:
+            sent[kind].append(unpack(blob))
+        else:
+            if found is None:
+                found = [_joined(sent.pop(k)) for k in (ANSWER, HOT_ANSWER)]
+            yield chunk, _texts(blob, z), rest, state.pop(chunk, None), *(_own(f, chunk) for f in found)
 
 
 def _covered_by(questions: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -338,59 +405,58 @@ def _classes(chunks: DataFrame, answers: DataFrame, least: int, buckets: int, ta
     """What the answers cover at once (kind STATE), and the classes that go on (ANSWER: by anchor, HOT_ANSWER: by string)."""
     reach = least - GRAM
 
+    def prepared(chunk: int, texts: Texts, answers: tuple[np.ndarray, np.ndarray], out: Outbox) -> bytes:
+        a = Anchors(texts, least)
+        code = np.zeros(len(a.q_gram), np.uint8)
+        code[answers[0]] = answers[1][:, 0]
+        own = code[a.question]
+        covered = (own == ELSEWHERE) | (a.doc > a.q_doc[a.question])
+        delta = np.zeros(len(texts.bytes) + 1, np.int32)
+        np.add.at(delta, (a.place - a.left)[covered], 1)
+        np.add.at(delta, (a.place + a.right)[covered], -1)
+        starts, ends = _spans(np.cumsum(delta[:-1]) > 0)
+        go = np.flatnonzero(~covered & (own == SHARED))
+        if len(go):
+            order = go[np.argsort(a.gram[go], kind="stable")]
+            rank = np.empty(len(a.place), np.uint32)
+            rank[go] = np.arange(len(go))
+            around = np.zeros((len(order), reach + least), np.uint8)
+            offset = np.arange(-reach, least)
+            inside = (offset >= -a.left[order, None]) & (offset < a.right[order, None])
+            around[inside] = texts.bytes[(a.place[order, None] + offset)[inside]]
+            number, cut = _by_bucket(a.gram[order], buckets)
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+                o = order[i:j]
+                out.add(int(number[i]), _numbered(chunk, rank[o]), a.doc[o], a.left[o].astype(np.uint8), a.right[o].astype(np.uint8), around[i:j].reshape(-1))
+        hot = np.flatnonzero(~covered & (own == CROWDED))
+        grid = np.zeros((0, 2), np.int64)
+        if len(hot):
+            back = np.arange(reach + 1)
+            fits = (back <= a.left[hot, None]) & (least - back <= a.right[hot, None])
+            which, j = np.nonzero(fits)
+            begin = a.place[hot][which] - j
+            string = texts.hashes(begin, begin + least)
+            key = mix64(string ^ a.gram[hot][which])
+            order = np.lexsort((a.doc[hot][which], string, key))
+            first = np.append(True, (key[order][1:] != key[order][:-1]) | (string[order][1:] != string[order][:-1]))
+            number = np.cumsum(first) - 1
+            head = order[first]
+            doc = a.doc[hot][which]
+            out.ask(HOT_ANSWER, chunk, buckets, key[head], string[head], doc[head])
+            grid = np.stack([begin[order], number], axis=1)
+            later = doc[order] > doc[head][number]
+            grid[later, 1] = -1
+        return pack(starts.astype(np.uint32), ends.astype(np.uint32), a.place[go].astype(np.uint32), grid[:, 0].astype(np.uint32), grid[:, 1].astype(np.int32))
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for chunk, rows in _met(batches):
-            texts = _texts(rows[0][1], rows[0][2])
-            a = Anchors(texts, least)
-            code = np.zeros(len(a.q_gram), np.uint8)
-            for _, blob, *_ in rows[1:]:
-                number, found = unpack(blob)
-                code[number] = found
-            own = code[a.question]
-            covered = (own == ELSEWHERE) | (a.doc > a.q_doc[a.question])
-            delta = np.zeros(len(texts.bytes) + 1, np.int32)
-            np.add.at(delta, (a.place - a.left)[covered], 1)
-            np.add.at(delta, (a.place + a.right)[covered], -1)
-            starts, ends = _spans(np.cumsum(delta[:-1]) > 0)
-            out = []
-            go = np.flatnonzero(~covered & (own == SHARED))
-            out_state = [starts.astype(np.uint32), ends.astype(np.uint32), a.place[go].astype(np.uint32)]
-            if len(go):
-                order = go[np.argsort(a.gram[go], kind="stable")]
-                rank = np.empty(len(a.place), np.uint32)
-                rank[go] = np.arange(len(go))
-                around = np.zeros((len(order), reach + least), np.uint8)
-                offset = np.arange(-reach, least)
-                inside = (offset >= -a.left[order, None]) & (offset < a.right[order, None])
-                around[inside] = texts.bytes[(a.place[order, None] + offset)[inside]]
-                number, cut = _by_bucket(a.gram[order], buckets)
-                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-                    o = order[i:j]
-                    out.append((ANSWER, int(number[i]), chunk, squeeze(pack(rank[o], a.doc[o], a.left[o].astype(np.uint8), a.right[o].astype(np.uint8), around[i:j].reshape(-1)))))
-            hot = np.flatnonzero(~covered & (own == CROWDED))
-            grid = np.zeros((0, 2), np.int64)
-            if len(hot):
-                back = np.arange(reach + 1)
-                fits = (back <= a.left[hot, None]) & (least - back <= a.right[hot, None])
-                which, j = np.nonzero(fits)
-                begin = a.place[hot][which] - j
-                string = texts.hashes(begin, begin + least)
-                key = mix64(string ^ a.gram[hot][which])
-                order = np.lexsort((a.doc[hot][which], string, key))
-                first = np.append(True, (key[order][1:] != key[order][:-1]) | (string[order][1:] != string[order][:-1]))
-                number = np.cumsum(first) - 1
-                head = order[first]
-                doc = a.doc[hot][which]
-                out += _ask(HOT_ANSWER, chunk, buckets, key[head], string[head], doc[head])
-                grid = np.stack([begin[order], number], axis=1)
-                later = doc[order] > doc[head][number]
-                grid[later, 1] = -1
-            out.append((STATE, None, chunk, pack(*out_state, grid[:, 0].astype(np.uint32), grid[:, 1].astype(np.int32))))
-            yield _rows(list(zip(*out, strict=True)), ASKED)
+        for own in _met(batches):
+            out, state = None, []
+            for chunk, texts, _, _, answers, _ in _chunks(own):
+                out = out or Outbox(chunk)
+                state.append((STATE, None, chunk, prepared(chunk, texts, answers, out)))
+            if out:
+                yield _rows(list(zip(*state, *out.rows(), strict=True)), ASKED)
 
     return _meet(chunks.withColumn("rest", F.lit(None).cast("binary")), tasks, answers).mapInArrow(run, ASKED_DDL)
 
@@ -465,29 +531,20 @@ def _finished(chunks: DataFrame, state: DataFrame, answers: DataFrame, hot: Data
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _met(batches):
-            texts = _texts(rows[0][1], rows[0][2])
-            delta = np.zeros(len(texts.bytes) + 1, np.int32)
-            places = begin = number = None
-            for kind, blob, *_ in rows[1:]:
-                if kind == STATE:
-                    starts, ends, places, begin, number = unpack(blob)
-                    np.add.at(delta, starts, 1)
-                    np.add.at(delta, ends, -1)
-                    more = begin[number < 0].astype(np.int64)
-                elif kind == ANSWER:
-                    which, bits = unpack(blob)
-                    found = np.unpackbits(bits.reshape(len(which), -1), axis=1)[:, : reach + 1].astype(bool)
-                    row, j = np.nonzero(found)
-                    more = places[which[row]].astype(np.int64) - j
-                else:
-                    which, code = unpack(blob)
-                    asked = np.zeros(max(int(number.max()), int(which.max())) + 1, bool)
-                    asked[which[code == ELSEWHERE]] = True
-                    more = begin[(number >= 0) & asked[np.maximum(number, 0)]].astype(np.int64)
-                np.add.at(delta, more, 1)
-                np.add.at(delta, more + least, -1)
-            yield finish(texts, np.cumsum(delta[:-1]) > 0, rows[0][3])
+        for own in _met(batches):
+            for _, texts, rest, state_of, (which, bits), (hot_which, code) in _chunks(own):
+                delta = np.zeros(len(texts.bytes) + 1, np.int32)
+                starts, ends, places, begin, number = unpack(state_of)
+                np.add.at(delta, starts, 1)
+                np.add.at(delta, ends, -1)
+                found = np.unpackbits(bits, axis=1)[:, : reach + 1].astype(bool)
+                row, j = np.nonzero(found)
+                asked = np.zeros(max(int(number.max(initial=0)), int(hot_which.max(initial=0))) + 1, bool)
+                asked[hot_which[code[:, 0] == ELSEWHERE]] = True
+                for more in (begin[number < 0].astype(np.int64), places[which[row]].astype(np.int64) - j, begin[(number >= 0) & asked[np.maximum(number, 0)]].astype(np.int64)):
+                    np.add.at(delta, more, 1)
+                    np.add.at(delta, more + least, -1)
+                yield finish(texts, np.cumsum(delta[:-1]) > 0, rest)
 
     return _meet(chunks, tasks, state, answers, hot).mapInArrow(run, ddl)
 
@@ -505,8 +562,13 @@ def _run(docs: DataFrame, least: int, finish, ddl: str, hot: int) -> DataFrame:
     discard(answers)
     release(spark)
     state, by_anchor, by_string = (classes.filter(F.col("kind") == k) for k in (STATE, ANSWER, HOT_ANSWER))
-    shared = _sharers(by_anchor, least, tasks)
-    strings = _first_documents(by_string, HOT_ANSWER, 0, tasks)
+    # small tables of their own, so that the classes and both exchanges are gone before the texts meet once more
+    state = materialize(state, "repeat-state")
+    shared = materialize(_sharers(by_anchor, least, tasks), "repeat-shared")
+    release(spark)
+    strings = materialize(_first_documents(by_string, HOT_ANSWER, 0, tasks), "repeat-strings")
+    discard(classes)
+    release(spark)
     return _finished(chunks, state, shared, strings, least, tasks, finish, ddl)
 
 

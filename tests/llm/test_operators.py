@@ -529,3 +529,18 @@ def test_made_words_are_told_apart(spark):
     assert got == {i: whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert [r.kept for r in minhash.near_duplicates(docs, size=1, percent=99).orderBy("doc_id").collect()] == [True, True]
     assert all(r.round_trip for r in piece_sampling.encode(docs, piece_sampling.model_path()).collect())
+
+
+def test_repeats_send_a_row_a_group_and_bucket(spark):
+    """Chunks in a row share what they send, so rows don't grow with chunks times buckets; answers find their chunk."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(10_000)) for _ in range(60)]
+    rows = [(i, t + texts[i // 3][500 * (i % 7) : 500 * (i % 7) + 300] + t[:80]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    chunks = repeats.chunked(df).persist()
+    assert chunks.count() >= 6
+    asked = repeats._questions(chunks, 50, 8).groupBy("bucket").count().collect()
+    assert len(asked) == 8 and {r["count"] for r in asked} == {1}
+    chunks.unpersist()
+    assert sorted(tuple(r) for r in repeats.removed(df).collect()) == brute_removed(rows, 50)
