@@ -446,8 +446,9 @@ def export_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def subject_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON documents; a test rebuilds them day by day."""
-    d = _axes(spark, sf_dir)
+    """JSON documents; a test rebuilds them day by day. A row a subject's day is kept, so orders are read once, not by every
+    model and part of a document."""
+    d = _axes(spark, sf_dir).persist()
     return export.payloads(d, trajectory.fit(trajectory.positions(d)))
 
 
