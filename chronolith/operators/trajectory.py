@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,8 @@ FACTORS = {
 
 #: Observations of a block of the running sums: keep to the power of two blocks stays within a double's range.
 BLOCK = 2048
+#: Rows of a task of the mixture's fit.
+TASK_ROWS = 100_000
 
 
 def _position(axis: str, keep: float) -> tuple[dict[str, Column], Column]:
@@ -79,19 +83,27 @@ def contributions(positioned: DataFrame, axis: str, parts: Mapping[str, int], ke
 def clusters(positioned: DataFrame, axes: Sequence[str] = AXIS_NAMES, most: int = 6, seed: int = 42) -> tuple[object, list[dict]]:
     """The Gaussian mixture of 2 to ``most`` components with the least BIC, and its components.
 
-    Fitted on every row that has a position on all axes.
+    Fitted on every row that has a position on all axes. A fit is some hundred short Spark jobs, so the rows are kept
+    without their history, a task a ``TASK_ROWS`` rows whatever the session's partitions, and the fits run at once.
     """
     columns = [f"{a}_position" for a in axes]
-    data = positioned.dropna(subset=columns).orderBy(F.xxhash64("subject_id", "date"))
-    x = VectorAssembler(inputCols=columns, outputCol="x").transform(data).select("x").persist()
-    n = x.count()
-    best = (math.inf, None)
-    for k in range(2, min(most, n // 10) + 1):
+    spark = positioned.sparkSession
+    rows = positioned.dropna(subset=columns).select("subject_id", "date", *columns).persist()
+    n = rows.count()
+    data = rows.repartition(max(1, math.ceil(n / TASK_ROWS)), "subject_id", "date").sortWithinPartitions(F.xxhash64("subject_id", "date"), "subject_id", "date")
+    x = VectorAssembler(inputCols=columns, outputCol="x").transform(data).select("x")
+    x = (x.checkpoint() if spark.sparkContext.getCheckpointDir() else x.localCheckpoint()).persist()
+    rows.unpersist()
+
+    def fitted(k: int) -> tuple[float, object]:
         model = GaussianMixture(k=k, featuresCol="x", seed=seed).fit(x)
-        bic = -2 * model.summary.logLikelihood + (k * 5 + k - 1) * math.log(n)
-        if math.isfinite(bic) and bic < best[0]:
-            best = bic, model
+        return -2 * model.summary.logLikelihood + (k * 5 + k - 1) * math.log(n), model
+
+    tried = range(2, min(most, n // 10) + 1)
+    with ThreadPoolExecutor(max(1, len(tried))) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(fitted), tried))
     x.unpersist()
+    best = min((f for f in found if math.isfinite(f[0])), key=lambda f: f[0], default=(math.inf, None))
     if best[1] is None:
         return None, []
     found = best[1].gaussiansDF.collect()
