@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("subject_id", "date")
+#: Rows of a map that the driver makes by itself; most points of a block of a larger one's attractions.
+ALONE, BLOCK = 20_000, 50_000
 
 
 def selected(train: DataFrame, columns: Sequence[str], least: float = 0.3) -> list[str]:
@@ -152,22 +157,85 @@ def latent(scaled: DataFrame, columns: Sequence[str], net: dict[str, np.ndarray]
     return scaled.select(*KEYS, *names).mapInPandas(run, f"subject_id string, date date, {', '.join(f'{prefix}_{k} double' for k in (1, 2, 3))}")
 
 
-def nearest(x: np.ndarray, k: int, block_cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` nearest other rows of every row and their distances, nearest first. All pairs are compared, a block of
-    rows at a time, so memory is linear in the rows and time is not."""
-    n = len(x)
-    x = x - x.mean(axis=0)
-    norm = (x**2).sum(axis=1)
-    index, dist = np.empty((n, k), np.int64), np.empty((n, k))
-    step = max(1, block_cells // n)
-    for at in range(0, n, step):
-        rows = np.arange(at, min(n, at + step))
-        d = norm[None] - 2 * x[rows] @ x.T
-        d[np.arange(len(rows)), rows] = np.inf
+#: Points of a leaf of the neighbour search, twice the neighbours asked for at least.
+LEAF = 256
+
+
+@dataclass
+class Leaves:
+    """Points in the order of a k-d tree's leaves: leaf ``t`` holds those from ``start[t]`` on, in a box of its own."""
+
+    order: np.ndarray
+    points: np.ndarray
+    start: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def leaves(x: np.ndarray, size: int = LEAF) -> Leaves:
+    """Points halved by rank along their widest side until ``size`` or fewer are left; copies are dealt out too."""
+    order, start, parts = np.arange(len(x)), [], [(0, len(x))]
+    while parts:
+        at, end = parts.pop()
+        if end - at <= size:
+            start.append(at)
+            continue
+        own, half = x[order[at:end]], (end - at) // 2
+        order[at:end] = order[at:end][np.argpartition(own[:, np.ptp(own, axis=0).argmax()], half)]
+        parts += [(at + half, end), (at, at + half)]
+    points, start = x[order], np.array(start)
+    return Leaves(order, points, np.append(start, len(x)), np.minimum.reduceat(points, start), np.maximum.reduceat(points, start))
+
+
+def leaf_nearest(tree: Leaves, leaf: int, k: int, block_cells: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest other points (by rank in the tree's order) of a leaf's points and their distances, nearest first.
+
+    A point's ``k``-th distance within its leaf bounds the boxes that can hold nearer ones; all points of those are compared.
+    """
+    at, end = tree.start[leaf], tree.start[leaf + 1]
+    n, own = len(tree.points), tree.points[at:end]
+    gaps = ((own[:, None] - own[None]) ** 2).sum(axis=2)
+    gaps[np.diag_indices(len(own))] = np.inf
+    bound = np.sqrt(np.partition(gaps, k - 1, axis=1)[:, k - 1]) * (1 + 1e-9) if k < len(own) else np.full(len(own), np.inf)
+    index, dist = np.empty((len(own), k), np.int64), np.empty((len(own), k))
+    todo, step = np.argsort(bound, kind="stable"), 64
+    while len(todo):
+        rows = todo[:step]
+        out = np.maximum(np.maximum(tree.low[None] - own[rows][:, None], own[rows][:, None] - tree.high[None]), 0)
+        reached = (np.sqrt((out**2).sum(axis=2)) < bound[rows][:, None]).any(axis=0)
+        reached[leaf] = True
+        others = np.concatenate([np.arange(tree.start[t], tree.start[t + 1]) for t in np.flatnonzero(reached)])
+        others = others[np.argsort(tree.order[others])]
+        if len(rows) > 1 and len(rows) * len(others) > block_cells:
+            step = max(1, block_cells // len(others))
+            continue
+        todo = todo[step:]
+        d = np.zeros((len(rows), len(others)))
+        for c in range(own.shape[1]):
+            d += np.subtract.outer(own[rows, c], tree.points[others, c]) ** 2
+        d[others[None] == at + rows[:, None]] = np.inf
         near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(d, axis=1)[:, :k], axis=1)
-        exact = np.sqrt(((x[rows][:, None] - x[near]) ** 2).sum(axis=2))
-        order = np.argsort(exact, axis=1, kind="stable")
-        index[rows], dist[rows] = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
+        exact = np.sqrt(np.take_along_axis(d, near, axis=1))
+        sorting = np.argsort(exact, axis=1, kind="stable")
+        index[rows], dist[rows] = others[np.take_along_axis(near, sorting, axis=1)], np.take_along_axis(exact, sorting, axis=1)
+    return index, dist
+
+
+def nearest(x: np.ndarray, k: int, block_cells: int = 8_000_000, spark: SparkSession | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest other rows of every row and their distances, nearest first: exact, a leaf at a time, by Spark's
+    tasks where a session is given."""
+    tree = leaves(x, max(LEAF, 2 * k))
+    count = len(tree.start) - 1
+    if spark is None:
+        found = (leaf_nearest(tree, t, k, block_cells) for t in range(count))
+    else:
+        sent = spark.sparkContext.broadcast(tree)
+        found = spark.sparkContext.parallelize(range(count), min(count, 4 * spark.sparkContext.defaultParallelism)).map(lambda t: leaf_nearest(sent.value, t, k, block_cells)).collect()
+        sent.destroy()
+    index, dist = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+    for t, (i, d) in enumerate(found):
+        rows = tree.order[tree.start[t] : tree.start[t + 1]]
+        index[rows], dist[rows] = tree.order[i], d
     return index, dist
 
 
@@ -201,10 +269,13 @@ def repulsion(y: np.ndarray, nodes: int = 3, boxes: int = 20, direct: int = 1500
     size = 2 * m
     offset = np.minimum(np.arange(size), size - np.arange(size)) * h
     kernel = np.fft.rfft2((1 + offset[:, None] ** 2 + offset[None] ** 2) ** -2)
-    felt = np.empty((4, n))
-    for c in range(4):
-        field = np.fft.irfft2(np.fft.rfft2(grid[c].reshape(m, m), (size, size)) * kernel, (size, size))[:m, :m].ravel()
-        felt[c] = sum(field[cell] * w for _, _, cell, w in pairs)
+
+    def field_at_points(charge: np.ndarray) -> np.ndarray:
+        field = np.fft.irfft2(np.fft.rfft2(charge.reshape(m, m), (size, size)) * kernel, (size, size))[:m, :m].ravel()
+        return sum(field[cell] * w for _, _, cell, w in pairs)
+
+    with ThreadPoolExecutor(4) as pool:
+        felt = np.stack(list(pool.map(field_at_points, grid)))
     push = y * felt[0][:, None] - felt[1:3].T
     total = ((1 + charges[3]) * felt[0] - 2 * (y[:, 0] * felt[1] + y[:, 1] * felt[2]) + felt[3]).sum()
     held = np.stack([w for *_, w in pairs])
@@ -213,15 +284,10 @@ def repulsion(y: np.ndarray, nodes: int = 3, boxes: int = 20, direct: int = 1500
     return push, max(float(total), 1e-12)
 
 
-def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, steps: int = 500) -> np.ndarray:
-    """t-SNE in two dimensions (van der Maaten, Hinton 2008) of all rows: attraction among the 3 * perplexity nearest
-    (van der Maaten 2014), repulsion among all."""
-    n = len(x)
-    if n < 3:
-        raise ValueError("a map needs three rows")
-    perplexity = min(perplexity, max(2.0, (n - 1) / 3))
-    near, d = nearest(x, min(n - 1, math.ceil(3 * perplexity)))
+def affinities(d: np.ndarray, perplexity: float) -> np.ndarray:
+    """Each row's share of its neighbours, of the given perplexity, from their distances, nearest first."""
     d = d**2 - d[:, :1] ** 2
+    n = len(d)
     low, high, beta = np.zeros((n, 1)), np.full((n, 1), np.inf), np.ones((n, 1))
     for _ in range(50):
         e = np.exp(-d * beta)
@@ -229,18 +295,93 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, steps: int = 5
         flat = -(q * np.log(q + 1e-300)).sum(axis=1, keepdims=True) > np.log(perplexity)
         low, high = np.where(flat, beta, low), np.where(flat, high, beta)
         beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
-    p = q / (2 * n)
+    return q
+
+
+def edges_of(tree: Leaves, leaf: int, k: int, perplexity: float, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A leaf's attractions, both ways, by the block of ``size`` points that they pull: rows of (point, other, share)."""
+    near, d = leaf_nearest(tree, leaf, k)
+    share = (affinities(d, perplexity) / (2 * len(tree.points))).ravel()
+    here, there = np.repeat(np.arange(tree.start[leaf], tree.start[leaf + 1]), k), near.ravel()
+    both = np.empty(2 * len(here), [("point", np.int32), ("other", np.int32), ("share", np.float64)])
+    both["point"], both["other"], both["share"] = np.append(here, there), np.append(there, here), np.append(share, share)
+    block = both["point"] // size
+    both, block = both[(by := np.argsort(block, kind="stable"))], block[by]
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    return zip(block[np.append(0, cuts)].tolist(), np.split(both, cuts), strict=True)
+
+
+def packed(parts: Iterable[np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's edges in the order of its points, both ways of a pair as one: edges a point, others, shares."""
+    edges = np.concatenate(list(parts))
+    edges = edges[np.lexsort((edges["share"], edges["other"], edges["point"]))]
+    new = np.flatnonzero(np.append(True, (np.diff(edges["point"]) != 0) | (np.diff(edges["other"]) != 0)))
+    return np.bincount(edges["point"][new] - first, minlength=last - first), edges["other"][new], np.add.reduceat(edges["share"], new)
+
+
+def pulled(first: int, edges: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The attraction of a block's points by their neighbours, each has some, given the map so far."""
+    count, other, share = edges
+    last, at = first + len(count), np.cumsum(count) - count
+    a, b = np.repeat(x[first:last], count) - x[other], np.repeat(y[first:last], count) - y[other]
+    weight = share / (1 + a * a + b * b)
+    return np.stack([np.add.reduceat(a * weight, at), np.add.reduceat(b * weight, at)], axis=1)
+
+
+def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, steps: int = 500, spark: SparkSession | None = None) -> np.ndarray:
+    """t-SNE in two dimensions (van der Maaten, Hinton 2008) of all rows: attraction among the 3 * perplexity nearest
+    (van der Maaten 2014), repulsion among all.
+
+    With a session, neighbours are found and their attractions kept and summed by Spark's tasks; the driver holds rows,
+    map and the grid of the repulsion."""
+    n = len(x)
+    if n < 3:
+        raise ValueError("a map needs three rows")
+    perplexity = min(perplexity, max(2.0, (n - 1) / 3))
+    k = min(n - 1, math.ceil(3 * perplexity))
     y = np.random.default_rng(seed).normal(0, 1e-4, (n, 2))
-    speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(200.0, n / 48)
-    for t in range(steps):
-        gap = y[:, None] - y[near]
-        gap *= (p * (12 if t < 100 else 1) / (1 + (gap**2).sum(axis=2)))[:, :, None]
-        pull = gap.sum(axis=1) - np.stack([np.bincount(near.ravel(), gap[:, :, c].ravel(), n) for c in (0, 1)], axis=1)
-        push, total = repulsion(y)
-        grad = 4 * (pull - push / total)
-        gain = np.maximum(np.where(np.sign(grad) != np.sign(speed), gain + 0.2, gain * 0.8), 0.01)
-        speed = (0.5 if t < 250 else 0.8) * speed - rate * gain * grad
-        y = y + speed - (y + speed).mean(axis=0)
+    if spark is None:
+        near, d = nearest(x, k)
+        p = affinities(d, perplexity) / (2 * n)
+
+        def pull(y: np.ndarray) -> np.ndarray:
+            gap = y[:, None] - y[near]
+            gap *= (p / (1 + (gap**2).sum(axis=2)))[:, :, None]
+            return gap.sum(axis=1) - np.stack([np.bincount(near.ravel(), gap[:, :, c].ravel(), n) for c in (0, 1)], axis=1)
+
+        return _descended(y, pull, steps)
+    sc, tree = spark.sparkContext, leaves(x, max(LEAF, 2 * k))
+    count, size = len(tree.start) - 1, min(BLOCK, math.ceil(n / sc.defaultParallelism))
+    sent = sc.broadcast(tree)
+    found = sc.parallelize(range(count), min(count, 4 * sc.defaultParallelism)).flatMap(lambda t: edges_of(sent.value, t, k, perplexity, size))
+    kept = found.groupByKey(math.ceil(n / size), int).map(lambda b: (b[0] * size, packed(b[1], b[0] * size, min(n, (b[0] + 1) * size)))).persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    sent.destroy()
+
+    def pull(y: np.ndarray) -> np.ndarray:
+        now = sc.broadcast((y[:, 0].copy(), y[:, 1].copy()))
+        parts = kept.map(lambda b: (b[0], pulled(*b, *now.value))).collect()
+        now.destroy()
+        return np.concatenate([v for _, v in sorted(parts, key=lambda b: b[0])])
+
+    out = np.empty_like(y)
+    out[tree.order] = _descended(y[tree.order], pull, steps)
+    kept.unpersist()
+    return out
+
+
+def _descended(y: np.ndarray, pull: Callable[[np.ndarray], np.ndarray], steps: int) -> np.ndarray:
+    """The map after gradient descent with momentum and gains from a start; ``pull`` gives the attraction, beside the
+    repulsion."""
+    speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(200.0, len(y) / 48)
+    with ThreadPoolExecutor(1) as beside:
+        for t in range(steps):
+            pulling = beside.submit(pull, y)
+            push, total = repulsion(y)
+            grad = 4 * ((12 if t < 100 else 1) * pulling.result() - push / total)
+            gain = np.maximum(np.where(np.sign(grad) != np.sign(speed), gain + 0.2, gain * 0.8), 0.01)
+            speed = (0.5 if t < 250 else 0.8) * speed - rate * gain * grad
+            y = y + speed - (y + speed).mean(axis=0)
     return y
 
 
@@ -256,14 +397,19 @@ def _spectral(rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, n: int, rn
     return (q @ turn)[:, np.argsort(-values, kind="stable")[1:3]]
 
 
-def neighbour_map(x: np.ndarray, neighbours: int = 15, seed: int = 42, epochs: int = 200) -> np.ndarray:
+def added(at: np.ndarray, moves: np.ndarray, n: int) -> np.ndarray:
+    """Moves in the plane summed by row."""
+    return np.stack([np.bincount(at, moves[:, c], n) for c in (0, 1)], axis=1)
+
+
+def neighbour_map(x: np.ndarray, neighbours: int = 15, seed: int = 42, epochs: int = 200, spark: SparkSession | None = None) -> np.ndarray:
     """A UMAP-style map (McInnes, Healy, Melville 2018) of all rows: fuzzy neighbour graph, spectral start, sampled
     attraction."""
     n = len(x)
     if n < 3:
         raise ValueError("a map needs three rows")
     k = min(neighbours, n - 1)
-    near, dist = nearest(x, k)
+    near, dist = nearest(x, k, spark=spark)
     rho = dist[:, :1]
     low, high = np.full((n, 1), 1e-9), np.full((n, 1), 1e3)
     for _ in range(60):
@@ -285,21 +431,21 @@ def neighbour_map(x: np.ndarray, neighbours: int = 15, seed: int = 42, epochs: i
         gap = y[i] - y[j]
         r2 = (gap**2).sum(axis=1, keepdims=True)
         move = np.clip(-2 * gap / (1 + r2), -4, 4) * rate
-        np.add.at(y, i, move)
-        np.add.at(y, j, -move)
+        y += added(i, move, n) - added(j, move, n)
         other = rng.integers(0, n, len(i))
         gap = y[i] - y[other]
         r2 = (gap**2).sum(axis=1, keepdims=True)
-        np.add.at(y, i, np.clip(2 * gap / ((0.001 + r2) * (1 + r2)), -4, 4) * rate)
+        y += added(i, np.clip(2 * gap / ((0.001 + r2) * (1 + r2)), -4, 4) * rate, n)
     return y
 
 
 def mapped(coordinates: DataFrame, columns: Sequence[str], kind: str, seed: int = 42) -> DataFrame:
-    """Keys and two coordinates of a t-SNE or neighbour map of every row. A map is made of all rows together, on the
-    driver, in memory linear in them."""
+    """Keys and two coordinates of a t-SNE or neighbour map of every row. A map is made of all rows together: beyond
+    ``ALONE`` rows Spark's tasks find the neighbours and sum t-SNE's attractions, the driver holds what is linear in the rows."""
     frame = coordinates.orderBy(*KEYS).toPandas()
     x = frame[list(columns)].to_numpy(np.float64)
-    y = tsne(x, seed=seed) if kind == "tsne" else neighbour_map(x, seed=seed)
+    spark = coordinates.sparkSession if len(x) > ALONE else None
+    y = (tsne if kind == "tsne" else neighbour_map)(x, seed=seed, spark=spark)
     out = pd.DataFrame({"subject_id": frame["subject_id"], "date": frame["date"], f"{kind}_1": y[:, 0], f"{kind}_2": y[:, 1]})
     return coordinates.sparkSession.createDataFrame(out, f"subject_id string, date date, {kind}_1 double, {kind}_2 double")
 
