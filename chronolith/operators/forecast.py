@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -149,8 +149,10 @@ def errors(predictions: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> Data
 
 
 def evaluate(table: LagTable, test_share: float = 0.2, models: Sequence[str] = MODELS) -> tuple[DataFrame, DataFrame]:
-    """Predictions of the test rows in raw units, and the scores of every model and target."""
-    train, test = split(baselines(table), test_share)
+    """Predictions of the test rows in raw units, and the scores of every model and target.
+
+    The lag table is kept: every model reads it several times, and it is small beside what its days are made from."""
+    train, test = split(baselines(replace(table, frame=table.frame.persist())), test_share)
     pairs = {}
     for t in table.targets:
         if table.orders is not None:
